@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import fingerprints
+from tallyspark.llm import fingerprints, pii
 from tallyspark.llm.common import table
 
 
@@ -12,8 +12,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
+    "op4_pii": op4_pii,
 }
 
 ORACLE: dict[str, str] = {}
