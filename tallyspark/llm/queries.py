@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import fingerprints, pii
-from tallyspark.llm.common import table
+from tallyspark.llm import chat, fingerprints, pii
+from tallyspark.llm.common import table, written
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +16,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.sql("SELECT -1L AS conv_id, posexplode(array('user', 'assistant')) AS (turn, role), '</s>[INST] ok [/INST]' AS text")
+    return chat.read_back(written(chat.format_turns(rows.unionByName(hard)), "chat"))
+
+
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
+    "op9_chat": op9_chat,
 }
 
 ORACLE: dict[str, str] = {}
