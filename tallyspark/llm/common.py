@@ -57,6 +57,11 @@ def spans_of(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def small_or_shuffled(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``rows`` rows at most (of a few short columns); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, salt_from: str, per: int = 5000) -> DataFrame:
     """Left join of many ``rows`` to one row a key in ``groups``, large groups dealt over several tasks.
 
@@ -66,8 +71,7 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, salt_fr
     """
     large = groups.where(F.col(size) > per).select(key, F.ceil(F.col(size) / per).cast("int").alias("__salts"))
     small = groups.where(F.col(size) <= per)
-    big_keys = F.broadcast(large) if large.limit(20_001).count() <= 20_000 else large
-    dealt = rows.join(big_keys, key, "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(F.col(salt_from)), F.col("__salts"))).otherwise(F.lit(0)).cast("int"))
+    dealt = rows.join(small_or_shuffled(large, 20_000), key, "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(F.col(salt_from)), F.col("__salts"))).otherwise(F.lit(0)).cast("int"))
     spread = groups.where(F.col(size) > per).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / per).cast("int") - 1)))
     right = small.withColumn("__salt", F.lit(0)).unionByName(spread)
     return dealt.join(right, [key, "__salt"], "left").drop("__salt", "__salts")

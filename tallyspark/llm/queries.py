@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import chat, fingerprints, pii
+from tallyspark.llm import chat, exactdedup, fingerprints, pii
 from tallyspark.llm.common import table, written
 
 
@@ -22,10 +22,20 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_turns(rows.unionByName(hard)), "chat"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.classify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_chat": op9_chat,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
