@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, pii
+from tallyspark.llm import chat, exactdedup, fingerprints, pii, urlfilter
 from tallyspark.llm.common import table, written
 
 
@@ -22,6 +23,18 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_turns(rows.unionByName(hard)), "chat"))
 
 
+#: Verdict, host and path of the rules that the URL query applies.
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: The list of blocked URLs is drawn from the pages: those on hosts with one of these labels.
+LISTED_HOSTS = "(^|[.])(adult|free|spam)-[a-z]+[.]"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(urlfilter.host_of(F.col("url")).rlike(LISTED_HOSTS))
+    return urlfilter.judge(pages, listed, RULES)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.classify(table(spark, sf_dir, "documents"))
 
@@ -29,11 +42,28 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
+    "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_chat": op9_chat,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+        c AS (
+            SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)\z', '')
+                || regexp_replace(regexp_replace(path, '[.]html?\z', ''), '(/index)?/*\z', '') END AS canonical FROM u),
+        listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|[.])(adult|free|spam)-[a-z]+[.]')),
+        rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        best AS (
+            SELECT page_id, max_by(struct_pack(rule := h || p, verdict := verdict), length(h || p)) AS r FROM c, rules
+            WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, r.rule AS rule,
+               coalesce(r.verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+               listed.canonical IS NOT NULL AS listed
+        FROM c LEFT JOIN best USING (page_id) LEFT JOIN listed USING (canonical)""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
