@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import salted_join, shared_dir, small_or_shuffled, written
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, of which each of many small stores would hold megabytes.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _state(digests: DataFrame, folder: str, files_a_batch: int | None) -> DataFrame:
@@ -37,9 +41,9 @@ def _state(digests: DataFrame, folder: str, files_a_batch: int | None) -> DataFr
     state = rows.groupBy("__digest").agg(best.alias("best"), F.count(F.lit(1)).alias("__n"))
     log_schema = "__digest string, best struct<known:boolean,id:long,at:int>, __n long"
     spark.createDataFrame([], log_schema).write.parquet(f"{folder}/log/batch=-1")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -50,7 +54,8 @@ def _state(digests: DataFrame, folder: str, files_a_batch: int | None) -> DataFr
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     log = spark.read.schema(f"{log_schema}, batch long").parquet(f"{folder}/log")
     last = log.groupBy("__digest").agg(F.max_by(F.struct("best", "__n"), "__n").alias("s")) if files_a_batch else log.select("__digest", F.struct("best", "__n").alias("s"))
     return last.select("__digest", F.col("s.best.id").alias("__keep"), F.col("s.best.at").alias("__at"), F.col("s.__n").alias("__n"))
