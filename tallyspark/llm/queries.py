@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, packing, pii, urlfilter
+from tallyspark.llm import chat, exactdedup, fingerprints, packing, pii, tokenout, urlfilter
 from tallyspark.llm.common import table, written
 
 
@@ -21,6 +21,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.write_and_check(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.sql("SELECT -1L AS conv_id, posexplode(array('user', 'assistant')) AS (turn, role), '</s>[INST] ok [/INST]' AS text")
@@ -49,6 +59,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_ids": op8_token_ids,
     "op9_chat": op9_chat,
 }
 
