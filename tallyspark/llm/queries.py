@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, packing, pii, tokenout, urlfilter
+from tallyspark.llm import chat, exactdedup, fingerprints, packing, pii, tokenout, toxicity, urlfilter
 from tallyspark.llm.common import table, written
 
 
@@ -53,6 +53,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.classify(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_fingerprints": op3_fingerprints,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_ids": op8_token_ids,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
