@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, packing, pii, tokenout, toxicity, urlfilter
+from tallyspark.llm import chat, exactdedup, fingerprints, minhash, packing, pii, tokenout, toxicity, urlfilter
 from tallyspark.llm.common import table, written
 
 
@@ -37,6 +37,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_turns(rows.unionByName(hard)), "chat"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Verdict, host and path of the rules that the URL query applies.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: The list of blocked URLs is drawn from the pages: those on hosts with one of these labels.
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
+    "op5_minhash": op5_minhash,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_ids": op8_token_ids,
