@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, minhash, packing, pii, tokenout, toxicity, urlfilter
+from tallyspark.llm import chat, exactdedup, fingerprints, minhash, packing, pii, sentencepieces, tokenout, toxicity, urlfilter
 from tallyspark.llm.common import table, written
 
 
@@ -13,6 +13,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return sentencepieces.round_trips(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_minhash": op5_minhash,
