@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +57,22 @@ def spans_of(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def id_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    """About ``n - 1`` ascending bounds that cut the rows by a whole-number column into even ranges; one pass over that column."""
+    if n < 2:
+        return []
+    ids = df.select(F.col(column).cast("long").alias("id"))
+    return sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)})
+
+
+def range_of(column: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below the value: the ranges' numbers ascend with the ids, null is in the last one."""
+    if not bounds:
+        return F.lit(0)
+    at = F.array(*[F.lit(b).cast("long") for b in bounds])
+    return F.when(column.isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(at, lambda b: b < column)))
+
+
 def small_or_shuffled(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has ``rows`` rows at most (of a few short columns); else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

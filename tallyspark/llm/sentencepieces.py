@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -132,24 +133,25 @@ class Pieces:
             self.pool += reversed(path)
             self.number[word] = len(self.starts) - 1
             self.starts.append(len(self.pool))
+        old, at = self.arrays
+        self.arrays = np.concatenate([old, np.array(self.pool[len(old) :], np.int32)]), np.concatenate([at, np.array(self.starts[len(at) :], np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and how many each text has."""
         if len(self.number) > KEPT_WORDS:
             self.begin()
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*split) - self.number.keys() if split else set()
-        self.learn(sorted(new))
-        old, at = self.arrays
-        if len(at) < len(self.starts):
-            self.arrays = np.concatenate([old, np.array(self.pool[len(old) :], np.int32)]), np.concatenate([at, np.array(self.starts[len(at) :], np.int64)])
+        words = list(chain.from_iterable(split))
+        numbers = list(map(self.number.get, words))
+        if None in numbers:
+            self.learn(sorted({w for w, k in zip(words, numbers, strict=True) if k is None}))
+            numbers = list(map(self.number.get, words))
         pool, starts = self.arrays
-        number = self.number
-        flat = np.fromiter((number[w] for words in split for w in words), np.int64, sum(map(len, split)))
+        flat = np.array(numbers, np.int64)
         size = starts[flat + 1] - starts[flat]
         ends = np.cumsum(size)
         ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[flat] - ends + size, size)]
-        upto = np.r_[0, ends][np.cumsum([len(words) for words in split], dtype=np.int64)]
+        upto = np.r_[0, ends][np.cumsum([len(own) for own in split], dtype=np.int64)]
         return ids, np.diff(np.r_[0, upto])
 
     def decode(self, ids: list[int]) -> str:

@@ -1,9 +1,9 @@
 """Token ids as binary blocks under one canonical length-limited Huffman code.
 
-1. Texts become ids (tokenizers library) and an end id each. Words that come again in a task are
-   encoded once: a plain text splits at its spaces into chunks, a chunk into the pieces of the
-   tokenizer's own pre-tokenization, and the library encodes every distinct piece; chunks with other
-   than ASCII and Latin-1 letters go to the library whole.
+1. Texts become ids (tokenizers library) and an end id each. Words that come again are
+   encoded once: a plain text splits into the pieces of the tokenizer's own pre-tokenization, and
+   the library encodes every distinct piece; texts with other than ASCII and Latin-1 letters go to
+   the library whole.
 2. The ids are sorted by ascending document id (range partitions) and cut into blocks of whole
    documents, about 65,536 ids each.
 3. Counts over all ids (one number an id of the vocabulary) give code lengths of ``limit`` bits at
@@ -25,85 +25,96 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import parts, shared_dir, spans_of, written
+from tallyspark.llm.common import id_bounds, parts, range_of, shared_dir, spans_of, written
 
 LIMIT = 16
 BLOCK_IDS = 1 << 16
 EVERY = 64
-KEPT_CHUNKS = 300_000
+KEPT_PIECES = 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
 #: The pre-tokenizer's pieces for lower-cased plain text; white space between them goes.
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\x09-\x0d\x20{_LETTERS}0-9]+")
+_PIECE = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\x09-\x0d\x20{_LETTERS}0-9]+")
 
 
-class _Chunks(dict):
-    """Numbers of chunks; the ids of number ``k`` are ``pool[starts[k] : starts[k + 1]]``."""
+class _Words:
+    """Numbers of pieces of text; the ids of number ``k`` are ``pool[starts[k] : starts[k + 1]]``."""
 
     def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(tokenizer)
         self.encode.encode_special_tokens = True
-        self.pieces: dict[str, list[int]] = {}
+        vocabulary = self.encode.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.begin()
 
     def begin(self) -> None:
-        self.clear()
-        self.pieces.clear()
-        self.pool: list[int] = []
-        self.starts: list[int] = [0]
-        self.arrays = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def library(self, text: str) -> list[int]:
-        return self.encode.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, chunk: str) -> int:
-        if _PLAIN.fullmatch(chunk):
-            for piece in _PIECE.findall(chunk.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = self.pieces[piece] = self.library(piece)
-                self.pool += ids
-        else:
-            self.pool += self.library(chunk)
-        self.starts.append(len(self.pool))
-        self[chunk] = number = len(self.starts) - 2
-        return number
+        self.number: dict[str, int] = {}
+        self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.encode.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, many in one call: the id that ends a piece says so."""
+        ids = [self.library(" ".join(pieces[i : i + 4000])) for i in range(0, len(pieces), 4000)]
+        flat = np.concatenate(ids)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer cuts words in another way")
+        self.number.update(zip(pieces, range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + ends])
+        self.pool = np.concatenate([self.pool, flat])
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
-        if len(self) > KEPT_CHUNKS:
+        if len(self.number) > KEPT_PIECES:
             self.begin()
-        numbers = [[self[c] for c in t.replace("\n", " ").split(" ")] for t in texts]
-        if len(self.arrays[1]) < len(self.starts):
-            old, at = self.arrays
-            self.arrays = np.concatenate([old, np.array(self.pool[len(old) :], np.uint32)]), np.concatenate([at, np.array(self.starts[len(at) :], np.int64)])
-        pool, starts = self.arrays
-        flat = np.fromiter((n for own in numbers for n in own), np.int64, sum(map(len, numbers)))
-        size = starts[flat + 1] - starts[flat]
+        odd = {i: self.library(t) for i, t in enumerate(texts) if not _PLAIN.fullmatch(t)}
+        split = [[] if i in odd else _PIECE.findall(t.lower()) for i, t in enumerate(texts)]
+        pieces = list(chain.from_iterable(split))
+        numbers = list(map(self.number.get, pieces))
+        if None in numbers:
+            self.learn(list(dict.fromkeys(p for p, k in zip(pieces, numbers, strict=True) if k is None)))
+            numbers = list(map(self.number.get, pieces))
+        flat = np.array(numbers, np.int64)
+        size = self.starts[flat + 1] - self.starts[flat]
         ends = np.cumsum(size)
-        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[flat] - ends + size, size)]
-        upto = np.r_[0, ends][np.cumsum([len(own) for own in numbers], dtype=np.int64)]
-        return ids, np.diff(np.r_[0, upto])
+        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - ends + size, size)]
+        upto = np.r_[0, ends][np.cumsum([len(own) for own in split], dtype=np.int64)]
+        sizes = np.diff(np.r_[0, upto])
+        if odd:
+            cut = np.split(ids, upto[:-1])
+            ids = np.concatenate([odd.get(i, own) for i, own in enumerate(cut)])
+            sizes[list(odd)] = [len(x) for x in odd.values()]
+        return ids, sizes
+
+
+@lru_cache(maxsize=2)
+def _words(tokenizer: str) -> _Words:
+    """One a worker process, with what it has met in earlier tasks."""
+    return _Words(tokenizer)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id, __hash, __ids``: each row's ids with the end id, as little-endian 32-bit numbers; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = _Chunks(tokenizer)
+        words = _words(tokenizer)
         for batch in batches:
             texts = batch["__text"].tolist()
             for i, j in spans_of([len(t) for t in texts], 2_000_000):
-                ids, sizes = chunks.ids(texts[i:j])
+                ids, sizes = words.ids(texts[i:j])
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
                 cuts = np.r_[0, np.cumsum(sizes + 1)]
                 yield pd.DataFrame({"__id": batch["__id"].iloc[i:j].astype("Int64"), "__hash": batch["__hash"].iloc[i:j], "__ids": [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
@@ -195,13 +206,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        part, block, start, inside = TaskContext.get().partitionId(), 0, 0, 0
+        part, block, start, inside = -1, 0, 0, 0
         for batch in batches:
             known = batch["__id"].notna()
-            for doc, has, ids in zip(batch["__id"].fillna(0), known, batch["__ids"], strict=True):
-                if held and inside + len(ids) // 4 > BLOCK_IDS:
+            for own, doc, has, ids in zip(batch["__range"], batch["__id"].fillna(0), known, batch["__ids"], strict=True):
+                if held and (own != part or inside + len(ids) // 4 > BLOCK_IDS):
                     yield raw(part, block, start, held)
                     start, block, held, inside = start + inside, block + 1, [], 0
+                if own != part:
+                    part, block, start = own, 0, 0
                 held.append((doc, has, ids))
                 inside += len(ids) // 4
         if held:
@@ -212,8 +225,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
         low, high = (ids & np.uint32(0xFFFF)).astype("<u2"), (ids >> np.uint32(16)).astype("<u2")
         return pd.DataFrame([(part, block, start, len(ids), np.array([x[0] for x in held], "<i8").tobytes(), bytes(x[1] for x in held), np.array([len(x[2]) // 4 for x in held], "<u4").tobytes(), low.tobytes(), high.tobytes() if high.any() else b"")], columns=list(_RAW))
 
-    rows = tokenize(docs, tokenizer, end_id, id_col, text_col)
-    rows = rows.repartitionByRange(parts(spark), F.col("__id").asc_nulls_last()).sortWithinPartitions(F.col("__id").asc_nulls_last(), "__hash")
+    # Ranges of the ids by their quantiles: a range partitioner would tokenize everything once more to draw its sample.
+    n = parts(spark)
+    bounds = id_bounds(docs, id_col, n)
+    rows = tokenize(docs, tokenizer, end_id, id_col, text_col).withColumn("__range", range_of(F.col("__id"), bounds))
+    rows = rows.repartition(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_last(), "__hash").select("__range", "__id", "__ids")
     blocks = written(rows.mapInPandas(cut, ", ".join(f"{k} {v}" for k, v in _RAW.items())), "tokens")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

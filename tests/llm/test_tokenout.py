@@ -20,10 +20,10 @@ def library(text):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from("aB's'llÉéßçÿ×÷İΣς́ \n\t\x0b\x1c\x1f\x85\xa0 　1²½.,'<|>x-中日"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=6))
-def test_chunks_encode_like_the_library(texts):
-    chunks = test_chunks_encode_like_the_library.__dict__.setdefault("chunks", tokenout._Chunks(FILE))
-    whole = chunks.encode
-    ids, sizes = chunks.ids(texts)
+def test_words_encode_like_the_library(texts):
+    words = test_words_encode_like_the_library.__dict__.setdefault("words", tokenout._Words(FILE))
+    whole = words.encode
+    ids, sizes = words.ids(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
