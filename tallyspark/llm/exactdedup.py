@@ -93,6 +93,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = classify(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).distinct()
-    same = docs[id_col].eqNullSafe(kept["__kept_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == kept["__kept_sha"])
-    return docs.join(kept, same, "left_semi")
+    gone = classify(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    gone = small_or_shuffled(written(gone, "exactdedup-gone"))
+    same = docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone["__gone_sha"])
+    return docs.join(gone, same, "left_anti")

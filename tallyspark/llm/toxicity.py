@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,23 +287,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r["__text"] for r in rows], [r["__y"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, score`` of every row, and the columns named in ``keep`` as they are."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, column: str = "score", below: float | None = None) -> DataFrame:
+    """Every row with its columns in ``keep`` (all by default) and its score; with ``below``, only rows that score less."""
+    names = docs.columns if keep is None else keep
     if model is None:
-        return docs.select(F.col(id_col), *keep, F.lit(0.0).alias("score"))
+        return docs.select(*names, F.lit(0.0).alias(column))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["score"] = sent.value.scores(batch.pop("__text").tolist())
-            yield batch
+            values = sent.value.scores(batch.column(batch.num_columns - 1).to_pylist())
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*names, column])
+            yield out if below is None else out.filter(pa.array(values < below))
 
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
+    rows = docs.select(*names, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInPandas(run, f"{fields}, score double")
+    return rows.mapInArrow(run, f"{fields}, `{column}` double")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    names = docs.columns
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, column="__score", below=THRESHOLD).select(*names)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row of ``docs``."""
-    out = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+    out = score(docs, fit(docs, labels, id_col, text_col), text_col, keep=[id_col])
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -68,6 +68,7 @@ def test_labels_of_held_out_rows_and_one_label(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0) for i, _, _ in rows], "doc_id long, toxic int")
     assert tox.fit(docs, labels) is None and {r.score for r in tox.judge(docs, labels).collect()} == {0.0}
+    assert tox.keep_clean(docs, labels).columns == ["doc_id", "text"] and tox.keep_clean(docs, labels).count() == 60
     none = docs.limit(0)
     assert tox.judge(none, labels.limit(0)).count() == 0
 
