@@ -1,6 +1,499 @@
-"""The registered queries of the filings operators and the SQL each must agree with."""
+"""The registered queries of the filings operators and the SQL each must agree with.
+
+The test tables stand in for filings: an order is a reading of a company's (customer's) figure in a
+year, its priority the confidence, its status the field; documents, pages and conversations are texts.
+Every query covers its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import amounts, names, quality, units
+from tallyspark.operators import cells, edits, grid, labels, pages, reconcile, registry, summary, winners
+from tallyspark.plans import exports
+from tallyspark.sources import filings
+from tallyspark.streaming.ingest import ingest_new
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+READINGS = """readings AS (
+    SELECT o_orderkey AS id, 'C' || o_custkey AS company, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS field, o_totalprice AS value,
+           CASE WHEN o_orderpriority LIKE '1%' THEN 1.0E0 WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 0.9E0 ELSE 0.75E0 END AS confidence,
+           CASE o_orderkey % 4 WHEN 1 THEN 'IDR' WHEN 2 THEN 'IDR' WHEN 3 THEN 'USD' END AS currency, o_orderkey % 97 AS document_id
+    FROM orders)"""
+WINNERS = f"""{READINGS}, winners AS (
+    SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY company, year, field ORDER BY confidence DESC, id) AS rn FROM readings) WHERE rn = 1)"""
+FIELDS = ("F", "O", "P")
+KEYS = ["company", "year", "field"]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.substring("o_orderpriority", 1, 1)
+    code = F.col("o_orderkey") % 4
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("company"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("field"), F.col("o_totalprice").alias("value"),
+        F.when(p == "1", 1.0).when(p.isin("2", "3"), 0.9).otherwise(0.75).alias("confidence"), F.when(code.isin(1, 2), "IDR").when(code == 3, "USD").alias("currency"), (F.col("o_orderkey") % 97).alias("document_id"),
+    )
+
+
+def won(spark: SparkSession, sf: str) -> DataFrame:
+    return winners.cell_winner(readings(spark, sf), KEYS)
+
+
+@query(f"WITH {WINNERS} SELECT company, year, field, id, value, confidence FROM winners")
+def grid_winner(spark, sf):
+    return won(spark, sf).select(*KEYS, "id", "value", "confidence")
+
+
+@query(f"""WITH {READINGS} SELECT company, year, field, count(*) AS readings,
+    coalesce(CASE WHEN count(value) >= 2 AND max(value) > 0 THEN (max(value) - min(value)) / max(value) END > 0.5, false) AS disputed,
+    string_agg(CAST(id AS VARCHAR), ',' ORDER BY value DESC, id) AS candidates FROM readings GROUP BY ALL""")
+def grid_dispute(spark, sf):
+    out = winners.dispute(readings(spark, sf), KEYS)
+    return out.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: c["id"].cast("string")), ","))
+
+
+@query(f"""WITH {WINNERS} SELECT company, year, max(value) FILTER (field = 'F') AS "F", max(value) FILTER (field = 'O') AS "O", max(value) FILTER (field = 'P') AS "P" FROM winners GROUP BY company, year""")
+def grid_pivot(spark, sf):
+    return grid.pivot(won(spark, sf), FIELDS)
+
+
+@query(f"""WITH {WINNERS} SELECT company, year, max(value) FILTER (field = 'F') AS "F", max(value) FILTER (field = 'O') AS "O", max(value) FILTER (field = 'P') AS "P" FROM winners GROUP BY company, year
+    ORDER BY lower(company), year DESC LIMIT 50 OFFSET 100""")
+def grid_page(spark, sf):
+    """A page of the grid: the limit is the feature."""
+    return grid.page(grid.pivot(won(spark, sf), FIELDS), [F.lower("company"), F.col("year").desc_nulls_last()], 3, 50)
+
+
+@query(f"""WITH {WINNERS}, c AS (SELECT company, year, CASE WHEN count(DISTINCT coalesce(currency, '')) > 1 THEN 'Mixed' ELSE coalesce(max(currency), 'Not detected') END AS currency FROM winners GROUP BY ALL)
+    SELECT * FROM c""")
+def row_currency_rollup(spark, sf):
+    return grid.row_currency(won(spark, sf), ["company", "year"])
+
+
+@query(f"""WITH {WINNERS}, p AS (SELECT company, year, value FROM winners WHERE field = 'F') SELECT w.company, w.year, w.field, w.value FROM winners w JOIN p USING (company, year) WHERE p.value > 0 AND w.currency IS NULL""")
+def profit_and_currency_filter(spark, sf):
+    w = won(spark, sf)
+    return grid.profit_filter(w.where(grid.currency_is(F.col("currency"), "none")), w, ["company", "year"], "laba", "F").select(*KEYS, "value")
+
+
+@query("""WITH d AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN -2 WHEN l_linestatus = 'F' THEN 3 WHEN l_returnflag = 'A' THEN 2 ELSE 1 END AS rank FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, rank FROM d
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY rank DESC, l_discount DESC, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_shipdate) = 1""")
+def authority_winner(spark, sf):
+    rank = winners.extraction_rank(F.col("l_returnflag") == "R", F.lit(False), F.col("l_returnflag") == "A", F.col("l_linestatus") == "F")
+    rows = table(spark, sf, "lineitem").withColumn("rank", rank)
+    out = winners.authority_winner(rows, ["l_orderkey", "l_linenumber"], "rank", "l_discount", ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_shipdate"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "rank")
+
+
+_SUMS = """t AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS lines, max(abs(l_extendedprice)) AS top FROM lineitem GROUP BY 1),
+    r AS (SELECT o_orderkey, o_custkey, o_totalprice AS expected, CAST(lines AS DOUBLE) AS actual, CASE WHEN top >= 1e12 THEN 1e6 WHEN top >= 1e9 THEN 1e3 ELSE 1.0 END AS scale FROM orders JOIN t ON o_orderkey = l_orderkey),
+    c AS (SELECT o_orderkey, o_custkey, expected, actual, round(actual - expected, 2) AS difference,
+        CASE WHEN abs(actual - expected) <= 1000 * scale OR abs(actual - expected) / greatest(abs(expected), 1.0) <= 0.001 THEN 'VALID'
+             WHEN abs(actual - expected) / greatest(abs(expected), 1.0) <= 0.01 THEN 'WARNING' ELSE 'ERROR' END AS status FROM r)"""
+
+
+def order_checks(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("lines"), F.max(F.abs("l_extendedprice")).alias("top"))
+    rows = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return reconcile.reconcile(rows, ["o_orderkey", "o_custkey"], "o_totalprice", ["lines"], units.scale_hint(F.col("top")))
+
+
+@query(f"WITH {_SUMS} SELECT o_orderkey, expected, actual, difference, status, CASE status WHEN 'ERROR' THEN 'high' WHEN 'WARNING' THEN 'medium' ELSE 'info' END AS severity FROM c")
+def reconcile_orders(spark, sf):
+    return order_checks(spark, sf).withColumn("difference", F.round("difference", 2)).drop("o_custkey")
+
+
+@query(f"WITH {_SUMS} SELECT o_custkey, CASE WHEN bool_or(status = 'ERROR') THEN 'ERROR' WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'VALID' END AS status FROM c GROUP BY 1")
+def worst_status(spark, sf):
+    return order_checks(spark, sf).groupBy("o_custkey").agg(quality.worst_status(F.col("status")).alias("status"))
+
+
+@query(f"WITH {_SUMS} SELECT status, count(*) AS n, CAST(floor(count(*) * 100 / sum(count(*)) OVER ()) AS BIGINT) AS percent FROM c GROUP BY 1")
+def status_shares(spark, sf):
+    return summary.status_shares(order_checks(spark, sf))
+
+
+@query(f"WITH {_SUMS} SELECT o_custkey, count(*) AS findings FROM c WHERE status <> 'VALID' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def worst_companies(spark, sf):
+    """A top-ten report: the limit is the feature."""
+    return summary.worst(order_checks(spark, sf).where(F.col("status").isin(*quality.FINDINGS)), "o_custkey")
+
+
+_WIDE = """w AS (SELECT l_orderkey AS document_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_assets,
+        CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) FILTER (l_returnflag = 'A') AS DOUBLE) AS total_liabilities,
+        CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) FILTER (l_returnflag <> 'A') AS DOUBLE) AS total_equity,
+        CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) FILTER (l_linestatus = 'F') AS DOUBLE) AS current_assets,
+        CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) FILTER (l_linestatus = 'O' AND l_discount > 0.02) AS DOUBLE) AS non_current_assets FROM lineitem GROUP BY 1)"""
+
+
+def wide_rows(spark, sf):
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    of = lambda c: F.sum(F.when(c, price)).cast("double")
+    a, f, o = F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", F.col("l_linestatus") == "O"
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.sum(price).cast("double").alias("total_assets"), of(a).alias("total_liabilities"), of(~a).alias("total_equity"), of(f).alias("current_assets"), of(o & (F.col("l_discount") > 0.02)).alias("non_current_assets"))
+
+
+_COMPARE = "CASE WHEN abs({a} - {e}) <= 1000 OR abs({a} - {e}) / greatest(abs({e}), 1.0) <= 0.001 THEN 'VALID' WHEN abs({a} - {e}) / greatest(abs({e}), 1.0) <= 0.01 THEN 'WARNING' ELSE 'ERROR' END"
+
+
+@query(f"""WITH {_WIDE}
+    SELECT document_id, 'assets_equal_liabilities_plus_equity' AS name, CASE WHEN total_liabilities + total_equity IS NOT NULL THEN {_COMPARE.format(e='total_assets', a='(total_liabilities + total_equity)')} ELSE 'NOT_APPLICABLE' END AS status,
+        CASE WHEN total_liabilities + total_equity IS NULL THEN concat_ws(',', CASE WHEN total_liabilities IS NULL THEN 'total_liabilities' END, CASE WHEN total_equity IS NULL THEN 'total_equity' END) ELSE '' END AS missing FROM w
+    UNION ALL SELECT document_id, 'assets_split', CASE WHEN current_assets + non_current_assets IS NOT NULL THEN {_COMPARE.format(e='total_assets', a='(current_assets + non_current_assets)')} ELSE 'NOT_APPLICABLE' END,
+        CASE WHEN current_assets + non_current_assets IS NULL THEN concat_ws(',', CASE WHEN current_assets IS NULL THEN 'current_assets' END, CASE WHEN non_current_assets IS NULL THEN 'non_current_assets' END) ELSE '' END FROM w
+    UNION ALL SELECT document_id, 'liabilities_split', 'NOT_APPLICABLE', concat_ws(',', CASE WHEN total_liabilities IS NULL THEN 'total_liabilities' END, 'current_liabilities', 'non_current_liabilities') FROM w""")
+def identity_checks(spark, sf):
+    return reconcile.identity_checks(wide_rows(spark, sf), ["document_id"]).select("document_id", "name", "status", F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""WITH {_WIDE} SELECT document_id, round(total_liabilities / coalesce(total_assets, total_equity), 6) AS total_liabilities_share, round(total_equity / coalesce(total_assets, total_equity), 6) AS total_equity_share,
+    round(greatest(0, least(100, total_liabilities / total_assets * 100)), 4) AS liabilities_pct, round(greatest(0, least(100, total_equity / total_assets * 100)), 4) AS equity_pct,
+    abs(total_liabilities + total_equity - total_assets) / total_assets < 0.01 AS balanced FROM w""")
+def equity_composition(spark, sf):
+    wide = wide_rows(spark, sf)
+    shares = summary.equity_shares(wide, ["document_id"], ["total_liabilities", "total_equity"], ["total_assets", "total_equity"]).drop("base")
+    bars = summary.balance_bars(wide.withColumns({"a": F.col("total_assets")}), ["document_id"], "a", "total_liabilities", "total_equity")
+    missing = lambda c, n, v: F.when(F.col(n).isNotNull(), v)
+    out = shares.join(bars, "document_id")
+    return out.select("document_id", *[F.round(f"{p}_share", 6).alias(f"{p}_share") for p in ("total_liabilities", "total_equity")], *[F.when(F.col(s).isNotNull(), F.round(p, 4)).otherwise(F.round(F.coalesce(p, F.lit(100.0)), 4)).alias(p) for p, s in (("liabilities_pct", "total_liabilities_share"), ("equity_pct", "total_equity_share"))], "balanced")
+
+
+@query("SELECT l_suppkey, CASE WHEN max(abs(l_extendedprice)) >= 1e12 THEN 1e6 WHEN max(abs(l_extendedprice)) >= 1e9 THEN 1e3 ELSE 1.0 END::DOUBLE AS scale, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1")
+def scale_and_upper_median(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(units.scale_hint(F.max(F.abs("l_extendedprice"))).alias("scale"), units.upper_median(F.collect_list("l_extendedprice")).alias("upper_median"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal = 0 THEN '' WHEN abs(c_acctbal * 1e13) > 1e16 THEN 'IMPLAUSIBLE_MAGNITUDE'
+    WHEN abs(c_acctbal * 1e13) < CASE WHEN c_nationkey % 3 = 0 THEN 1e3 WHEN c_nationkey % 3 = 1 THEN 1e9 ELSE 1e5 END THEN 'IMPLAUSIBLE_SCALE' ELSE '' END AS flag FROM customer""")
+def plausibility_flags(spark, sf):
+    n = F.col("c_nationkey") % 3
+    unit, currency = F.when(n > 0, "juta"), F.when(n == 1, "IDR").when(n == 2, "USD")
+    return table(spark, sf, "customer").select("c_custkey", quality.export_flag(F.col("c_acctbal") * 1e13, F.lit("cash"), unit, currency).alias("flag"))
+
+
+@query(f"""WITH {READINGS} SELECT 'currency' AS facet, currency AS value, count(*) AS n FROM readings WHERE currency IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'field', field, count(*) FROM readings GROUP BY 2 UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM readings GROUP BY 2""")
+def facet_counts(spark, sf):
+    return grid.facets(readings(spark, sf), ["field", "year", "currency"])
+
+
+@query(f"""WITH {READINGS}, c AS (SELECT coalesce(currency, 'none') AS value, count(*) AS n FROM readings GROUP BY 1) SELECT * FROM c UNION ALL SELECT 'EUR', 0""")
+def facet_zero_selected(spark, sf):
+    return grid.facet_with_selected(grid.facet(readings(spark, sf), "currency"), ["EUR", "IDR"])
+
+
+@query(f"""WITH {READINGS}, p AS (SELECT company, field, count(*) AS n FROM readings GROUP BY ALL) SELECT company, CAST(sum(n) AS BIGINT) AS documents, string_agg(field || '=' || n, ',' ORDER BY field) AS statuses FROM p GROUP BY 1""")
+def status_map_by_company(spark, sf):
+    out = summary.status_map(readings(spark, sf), "company", "field")
+    return out.withColumn("statuses", F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
+
+
+@query(f"""WITH {READINGS}, b(bucket, low, high) AS (VALUES ('0-70%', 0, 0.7), ('70-80%', 0.7, 0.8), ('80-95%', 0.8, 0.95), ('95-100%', 0.95, 1.01)) SELECT bucket, count(id) AS n FROM b LEFT JOIN readings ON confidence >= low AND confidence < high GROUP BY 1""")
+def confidence_histogram(spark, sf):
+    return summary.confidence_histogram(readings(spark, sf), "confidence")
+
+
+@query(f"""WITH {READINGS} SELECT count(DISTINCT company) AS companies, count(*) AS documents, CAST(sum(document_id) AS BIGINT) AS pages, round(avg(confidence), 4) AS mean_confidence FROM readings""")
+def status_summary(spark, sf):
+    return summary.totals(readings(spark, sf), "company", "document_id", "confidence")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1995)""")
+def coverage_missing(spark, sf):
+    has = table(spark, sf, "orders").where("o_orderstatus = 'F' AND year(o_orderdate) = 1995").select(F.col("o_custkey").alias("c_custkey"))
+    return summary.without_values(table(spark, sf, "customer"), has, "c_custkey").select("c_custkey", "c_name")
+
+
+@query(f"""WITH {WINNERS}, f(field) AS (VALUES ('F'), ('O'), ('P'), ('X')) SELECT f.field, count(DISTINCT company) AS companies FROM f LEFT JOIN winners w ON f.field = w.field AND value IS NOT NULL GROUP BY 1""")
+def field_coverage(spark, sf):
+    return summary.field_coverage(won(spark, sf), [*FIELDS, "X"])
+
+
+@query(f"""WITH {WINNERS}, l AS (SELECT company, field, max_by(value, year) AS value, max(year) AS year FROM winners WHERE value IS NOT NULL GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY field ORDER BY value DESC, company) AS place FROM l QUALIFY place <= 8""")
+def latest_leaders(spark, sf):
+    """The eight largest latest values a field: the limit is the feature."""
+    last = winners.latest(won(spark, sf), ["company", "field"]).select("company", "field", "value", "year")
+    return winners.leaders(last, "field")
+
+
+_YOY = """CASE WHEN base > 0 THEN (value - base) / base END"""
+
+
+@query(f"""WITH {WINNERS}, s AS (SELECT company, field, year, value - 150000 AS value FROM winners), b AS (SELECT *, lag(value) OVER w AS base, lag(year) OVER w AS base_year FROM s WINDOW w AS (PARTITION BY company, field ORDER BY year))
+    SELECT company, field, year, base_year, round({_YOY}, 6) AS pct, CASE WHEN {_YOY} IS NOT NULL THEN CASE WHEN abs({_YOY}) < 0.0005 THEN 'flat' WHEN {_YOY} > 0 THEN 'up' ELSE 'down' END END AS tone,
+    CASE WHEN base <= 0 AND value IS NOT NULL THEN CASE WHEN value > 0 THEN 'back to profit' WHEN value < base THEN 'loss widened' WHEN value > base THEN 'loss narrowed' ELSE 'flat' END END AS state FROM b""")
+def yoy_change(spark, sf):
+    rows = won(spark, sf).withColumn("value", F.col("value") - 150000)
+    return winners.year_on_year(rows, ["company", "field"]).select("company", "field", "year", "base_year", F.round("pct", 6).alias("pct"), "tone", "state")
+
+
+@query(f"""WITH {WINNERS}, s AS (SELECT DISTINCT company, field FROM winners), y AS (SELECT DISTINCT year FROM winners) SELECT s.company, s.field, y.year, w.value FROM s CROSS JOIN y LEFT JOIN winners w ON w.company = s.company AND w.field = s.field AND w.year = y.year""")
+def gap_fill_series(spark, sf):
+    w = won(spark, sf)
+    return winners.fill_gaps(w, "company", "field", w.select("year").distinct()).select("company", "field", "year", "value")
+
+
+@query(f"""WITH {READINGS}, t AS (SELECT year, field, sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE AS value FROM readings GROUP BY ALL)
+    SELECT year, field, round(value / sum(value) OVER (PARTITION BY year), 9) AS fraction, round(coalesce(sum(value) OVER (PARTITION BY year ORDER BY field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(value) OVER (PARTITION BY year), 9) AS "offset" FROM t""")
+def ring_fractions(spark, sf):
+    sums = readings(spark, sf).groupBy("year", "field").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
+    return winners.running_fraction(sums, ["year"], "field", "value").select("year", "field", F.round("fraction", 9).alias("fraction"), F.round("offset", 9).alias("offset"))
+
+
+@query("""SELECT doc_id, sha256(text) AS file_hash, nullif(min(doc_id) OVER (PARTITION BY sha256(text)), doc_id) AS duplicate_of FROM documents""")
+def duplicate_registration(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+    return registry.first_of_hash(rows, "file_hash", "doc_id")
+
+
+@query("""WITH f AS (SELECT 'p' || doc_id AS file_path, sha256(text) AS file_hash, doc_id FROM documents WHERE doc_id % 3 > 0), k AS (SELECT sha256(text) AS file_hash FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0)
+    SELECT file_path, CASE WHEN file_hash IN (SELECT file_hash FROM k) OR row_number() OVER (PARTITION BY file_hash ORDER BY file_path) > 1 THEN 'DUPLICATE' ELSE 'DISCOVERED' END AS status FROM f""")
+def register_documents(spark, sf):
+    """Two thirds of the documents are found, those known already stand for the rest; half of the known failed."""
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("p"), "doc_id").alias("file_path"), F.sha2("text", 256).alias("file_hash"))
+    known = rows.where("doc_id % 3 = 0").withColumn("status", F.when(F.col("doc_id") % 2 == 0, "COMPLETED").otherwise("FAILED"))
+    return registry.register(rows, known).select("file_path", "status")
+
+
+@query("""SELECT s_suppkey, n_name, make_date(1970 + CAST(s_suppkey % 50 AS INTEGER), 1, 9) AS listed_on FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE 1970 + s_suppkey % 50 < 2000""")
+def listed_before(spark, sf):
+    text = F.concat(F.lit("09 Jan "), (F.lit(1970) + F.col("s_suppkey") % 50).cast("string"))
+    rows = table(spark, sf, "supplier").withColumn("listed_on", names.listing_date(text)).where(F.col("listed_on") < F.make_date(F.lit(2000), F.lit(1), F.lit(1)))
+    return rows.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "listed_on")
+
+
+@query("""WITH k AS (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9\\s]', ' ', 'g')) AS key FROM customer), r AS (SELECT trim(regexp_replace(lower(replace(s_name, 'Supplier', 'Customer')), '[^a-z0-9\\s]', ' ', 'g')) AS key, s_suppkey FROM supplier)
+    SELECT c_custkey, s_suppkey FROM k LEFT JOIN r USING (key)""")
+def cascade_key_join(spark, sf):
+    key = names.company_key
+    register = table(spark, sf, "supplier").select(key(F.concat(F.lit("PT "), F.replace("s_name", F.lit("Supplier"), F.lit("Customer")), F.lit(" Tbk."))).alias("key"), "s_suppkey")
+    return table(spark, sf, "customer").select("c_custkey", key(F.col("c_name")).alias("key")).join(register, "key", "left").select("c_custkey", "s_suppkey")
+
+
+_TOKENS = """t AS (SELECT doc_id, generate_subscripts(m, 1) - 1 AS "at", unnest(m) AS raw FROM (SELECT doc_id, regexp_extract_all(text, '[(+-]?[0-9][0-9.,]*\\)?') AS m FROM documents))"""
+
+
+def tokens(spark, sf):
+    found = F.regexp_extract_all("text", F.lit(r"[(+-]?[0-9][0-9.,]*\)?"), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("at", "raw"))
+
+
+@query(f"""WITH {_TOKENS}, a AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN raw LIKE '(%' THEN regexp_replace(raw, '^\\(|\\)$', '', 'g') ELSE raw END, '^-', ''), '[.,;:]+$', '') AS n,
+        regexp_matches(trim(raw, '()'), '^[^.,]*[.,]$') AS cut, raw LIKE '(%' OR raw LIKE '-%' AS neg FROM t),
+    p AS (SELECT *, CASE WHEN contains(n, '.') AND contains(n, ',') THEN CASE WHEN regexp_matches(n, '^[0-9.]*,[0-9]*$') THEN replace(replace(n, '.', ''), ',', '.') WHEN regexp_matches(n, '^[0-9,]*\\.[0-9]*$') THEN replace(n, ',', '') END
+        WHEN contains(n, ',') THEN CASE WHEN regexp_matches(n, '^[0-9]{{1,3}}(,[0-9]{{3}})+$') THEN replace(n, ',', '') WHEN regexp_matches(n, '^[0-9]+,[0-9]+$') THEN replace(n, ',', '.') END
+        WHEN contains(n, '.') THEN CASE WHEN regexp_matches(n, '^[0-9]{{1,3}}(\\.[0-9]{{3}})+$') THEN replace(n, '.', '') WHEN regexp_matches(n, '^[0-9]+\\.[0-9]+$') THEN n END
+        WHEN regexp_matches(n, '^[0-9]+$') THEN n END AS plain FROM a)
+    SELECT doc_id, "at", CASE WHEN NOT cut THEN CASE WHEN neg THEN -1 ELSE 1 END * TRY_CAST(plain AS DECIMAL(38, 6))::DOUBLE END AS value, NOT cut AND TRY_CAST(plain AS DECIMAL(38, 6)) IS NULL AS is_error FROM p""")
+def amount_parse(spark, sf):
+    return amounts.parse_amounts(tokens(spark, sf), "raw").select("doc_id", "at", F.col("value").cast("double").alias("value"), "is_error")
+
+
+@query("""WITH t AS (SELECT doc_id, generate_subscripts(m, 1) - 1 AS "at", unnest(m) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{1,3} [A-Za-z]') AS m FROM documents)) SELECT doc_id, "at", CAST(split_part(n, ' ', 1) AS DOUBLE) AS percent, CAST(split_part(n, ' ', 1) AS DOUBLE) AS shares FROM t""")
+def percent_and_share_tokens(spark, sf):
+    """Small numbers before a word, read once as a percentage and once as a number of shares."""
+    found = F.regexp_extract_all("text", F.lit("[0-9]{1,3} [A-Za-z]"), F.lit(0))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("at", "t")).withColumn("n", F.split("t", " ")[0])
+    rows = rows.withColumns({"p": F.concat("n", F.lit(" %")), "s": F.concat("n", F.lit(" shares"))})
+    out = amounts.parse_shares(amounts.parse_percentages(rows, "p"), "s")
+    return out.select("doc_id", "at", F.col("percent").cast("double").alias("percent"), F.col("shares").cast("double").alias("shares"))
+
+
+_WORDS = {"strong": ("the the", "license", "of the"), "medium": ("and", "token", "der", "que", "les")}
+_SECTIONS = (("license", "license"), ("german", r"\bder\b"), ("french", r"\bles\b"), ("spanish", r"\bque\b"))
+
+
+@query("""SELECT doc_id, CAST(least(20, 3 * (contains(lower(text), 'the the')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'of the')::INT)
+        + contains(lower(text), 'and')::INT + contains(lower(text), 'token')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'que')::INT + contains(lower(text), 'les')::INT
+        + CASE WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) > 200 THEN 2 WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) > 50 THEN 1 ELSE 0 END) AS INTEGER) AS score,
+    CASE WHEN regexp_matches(left(text, 1200), '(?i)license') THEN 'license' WHEN regexp_matches(left(text, 1200), '(?i)(^|[^\\p{L}\\p{N}_])der($|[^\\p{L}\\p{N}_])') THEN 'german'
+         WHEN regexp_matches(left(text, 1200), '(?i)(^|[^\\p{L}\\p{N}_])les($|[^\\p{L}\\p{N}_])') THEN 'french' WHEN regexp_matches(left(text, 1200), '(?i)(^|[^\\p{L}\\p{N}_])que($|[^\\p{L}\\p{N}_])') THEN 'spanish' END AS section FROM documents""")
+def page_score_and_section(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", pages.score(t, _WORDS["strong"], _WORDS["medium"]).alias("score"), pages.section(t, 1200, _SECTIONS).alias("section"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}')) AS y FROM documents), c AS (SELECT doc_id, y, count(*) AS n FROM t GROUP BY ALL) SELECT doc_id, y, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, y) = 1""")
+def text_number_mode(spark, sf):
+    found = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}"), F.lit(0)))
+    return summary.mode_of(table(spark, sf, "documents").select("doc_id", found.alias("y")), ["doc_id"], "y")
+
+
+@query("""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<head\\b.*?</head>', '', 'g') AS h FROM pages),
+    l AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '(?i)</(?:li|a)>|<br\\s*/?>|</p>|</div>|</tr>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10)) AS a FROM b),
+    s AS (SELECT page_id, list_filter(list_transform(a, lambda x: trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM l)
+    SELECT page_id, len(lines) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha256 FROM s""")
+def html_visible_lines(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", filings.visible_lines(F.col("html"), "li|a").alias("lines"))
+    return rows.select("page_id", F.size("lines").cast("long").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"))
+
+
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<ul\\b[^>]*>.*?</ul>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<ul\\b[^>]*>.*?</ul>'), 1) - 1 AS table_idx FROM pages),
+    r AS (SELECT page_id, table_idx, unnest(regexp_extract_all(t, '(?is)<li\\b[^>]*>.*?</li>')) AS r, generate_subscripts(regexp_extract_all(t, '(?is)<li\\b[^>]*>.*?</li>'), 1) - 1 AS row_idx FROM t),
+    c AS (SELECT page_id, table_idx, row_idx, unnest(regexp_extract_all(r, '(?is)<a\\b[^>]*>(.*?)</a>', 1)) AS raw, generate_subscripts(regexp_extract_all(r, '(?is)<a\\b[^>]*>(.*?)</a>', 1), 1) - 1 AS cell_idx FROM r)
+    SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx, CAST(row_idx AS INTEGER) AS row_idx, CAST(cell_idx AS INTEGER) AS cell_idx, trim(raw) AS raw FROM c WHERE trim(raw) <> ''""")
+def html_cells(spark, sf):
+    """Lists stand in for tables: ``ul``, ``li`` and ``a`` for table, row and cell."""
+    return filings.cell_grid(table(spark, sf, "pages"), "html", ["page_id"], "ul", "li", "a")
+
+
+@query(None)
+def free_text_rows(spark, sf):
+    """Possessive expressions, which the oracle's dialect lacks; tests hold it against plain Python."""
+    return filings.free_text_rows(table(spark, sf, "documents"), "text", ["doc_id"])
+
+
+@query("""WITH n AS (SELECT conv_id, turn, coalesce(text, '') AS t, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS INTEGER) AS "window" FROM conversations)
+    SELECT conv_id, "window", string_agg(t, chr(10) || chr(10) ORDER BY turn) AS content, count(*) AS n_pages, sha256('m' || conv_id || string_agg(t, chr(10) || chr(10) ORDER BY turn)) AS cache_key FROM n GROUP BY conv_id, "window\"""")
+def page_windows(spark, sf):
+    return pages.page_windows(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", 2, "m")
+
+
+@query("""WITH e AS (SELECT user_id * 3 AS id, max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events GROUP BY 1)
+    SELECT coalesce(e.id, o_orderkey) AS id, coalesce(e.value, o_totalprice) AS value, CASE WHEN e.id IS NOT NULL THEN o_totalprice END AS original_value, CASE WHEN e.id IS NOT NULL THEN 'manual' ELSE 'table' END AS method FROM orders FULL JOIN e ON e.id = o_orderkey""")
+def edit_overlay(spark, sf):
+    log = table(spark, sf, "events").select((F.col("user_id") * 3).alias("key"), F.col("event_id").alias("id"), "ts", "value")
+    state = edits.fold(log, ["key"], "ts", "value", "value", F.lit(False)).select(F.col("key").alias("id"), "value")
+    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), F.lit("table").alias("method"))
+    return edits.overlay(base, state, ["id"]).select("id", "value", "original_value", "method")
+
+
+@query("""WITH s AS (SELECT user_id, min_by(value, struct_pack(ts := ts, event_id := event_id)) AS original_value, max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value, max_by(event_type, struct_pack(ts := ts, event_id := event_id)) AS k, count(*) AS edits FROM events GROUP BY 1)
+    SELECT user_id, original_value, value, edits FROM s WHERE k <> (SELECT min(event_type) FROM events)""")
+def edit_fold(spark, sf):
+    log = table(spark, sf, "events").withColumn("id", F.col("event_id"))
+    first = log.agg(F.min("event_type").alias("undo"))
+    log = log.crossJoin(F.broadcast(first))
+    return edits.fold(log, ["user_id"], "ts", "value", "value", F.col("event_type") == F.col("undo")).select("user_id", "original_value", "value", "edits")
+
+
+_REMAP = """p AS (SELECT p_partkey AS id, p_brand AS document_id, p_size AS year, p_type AS old, p_name AS label, CASE WHEN p_partkey % 3 = 0 THEN (SELECT min(p_type) FROM part) END AS new FROM part),
+    m AS (SELECT * FROM p WHERE new IS NOT NULL AND old <> new AND NOT EXISTS (SELECT 1 FROM p q WHERE q.document_id = p.document_id AND q.year = p.year AND q.old = p.new)),
+    w AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY document_id, year, new ORDER BY id) = 1)"""
+
+
+@query(f"WITH {_REMAP} SELECT old, new, count(*) AS n, min_by(label, id) AS sample FROM w GROUP BY ALL")
+def remap_plan(spark, sf):
+    part = table(spark, sf, "part")
+    least = F.broadcast(part.agg(F.min("p_type").alias("least")))
+    rows = part.crossJoin(least).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("document_id"), F.col("p_size").alias("year"), F.col("p_type").alias("old"), F.col("p_name").alias("label"), F.when(F.col("p_partkey") % 3 == 0, F.col("least")).alias("new"))
+    return edits.remap_summary(edits.remap_plan(rows, ["document_id", "year"], "old", "new"), rows, "old", "new", "label")
+
+
+@query(f"""WITH {READINGS} SELECT company, year, field, id, document_id, CASE WHEN value < 1e3 AND value > 0 THEN 'IMPLAUSIBLE_SCALE' ELSE '' END AS data_flags, 'd' || document_id AS file_path,
+    row_number() OVER (ORDER BY company, year, CASE field WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, field, document_id, id) AS place FROM readings""")
+def report_sort(spark, sf):
+    """The report's order as a number; only this check numbers all rows, the report itself is a range sort."""
+    values = readings(spark, sf).withColumns({"statement": F.lit("balance_sheet"), "normalized_value": F.col("value"), "unit": F.lit(None).cast("string"), "page": F.col("document_id")})
+    documents = values.select(F.col("document_id").alias("id"), F.concat(F.lit("d"), "document_id").alias("file_path")).distinct()
+    report = exports.financial_report(values, documents, ["balance_sheet"], ["O", "F"])
+    rows = report.select("company", "year", "field", "id", "document_id", "data_flags", "file_path").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return spark.createDataFrame(rows, "company string, year int, field string, id long, document_id long, data_flags string, file_path string, place long")
+
+
+@query(f"""WITH {READINGS}, {_SUMS} SELECT 'low_confidence' AS output, count(*) AS n FROM readings WHERE confidence < 0.8 UNION ALL SELECT 'extraction_errors', 2 * count(*) FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'validation_errors', count(*) FROM c WHERE status = 'ERROR' UNION ALL SELECT 'validation_warnings', count(*) FROM c WHERE status = 'WARNING'
+    UNION ALL SELECT 'failed_documents', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'duplicates', count(*) FROM orders WHERE o_orderstatus = 'P'""")
+def review_split(spark, sf):
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company"), F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "DUPLICATE").otherwise("COMPLETED").alias("status"), F.lit("no table; no year").alias("error_message"))
+    return exports.review_counts(exports.review_queue(readings(spark, sf), order_checks(spark, sf), docs))
+
+
+@query(f"""WITH {READINGS} SELECT id, company, value FROM readings WHERE field = 'O' AND contains(lower(company), 'c1') AND confidence >= 0.9 AND contains(lower(concat_ws(' ', company, field, currency)), 'idr') ORDER BY value DESC, id LIMIT 25""")
+def values_list(spark, sf):
+    """A page of a filtered and sorted list: the limit is the feature."""
+    rows = readings(spark, sf).where((F.col("field") == "O") & grid.contains("company", "c1") & (F.coalesce("confidence", F.lit(0)) >= 0.9) & grid.search(["company", "field", "currency"], "idr"))
+    return grid.page(rows, grid.sort_columns("value", {"value": "value"}, "id", descending=True), 1, 25).select("id", "company", "value")
+
+
+@query("""WITH y(year) AS (VALUES (1995), (1996)), o AS (SELECT DISTINCT o_custkey AS company, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderstatus = 'P') SELECT c_custkey AS company, y.year, CASE WHEN o.company IS NOT NULL THEN 'AlreadyPresent' ELSE 'Missing' END AS status
+    FROM customer CROSS JOIN y LEFT JOIN o ON o.company = c_custkey AND o.year = y.year""")
+def acquisition_plan(spark, sf):
+    have = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("company"), F.year("o_orderdate").alias("year"))
+    return registry.acquisition_plan(table(spark, sf, "customer").select(F.col("c_custkey").alias("company")), range(1995, 1997), have)
+
+
+@query(f"""WITH {READINGS}, {_SUMS}, v AS (SELECT document_id AS id, count(*) AS n FROM readings GROUP BY 1), k AS (SELECT o_orderkey % 97 AS id, count(*) AS n FROM c WHERE status IN ('ERROR', 'WARNING') GROUP BY 1), d AS (SELECT DISTINCT o_orderkey % 100 AS id FROM orders)
+    SELECT id, coalesce(v.n, 0) AS n_values, coalesce(k.n, 0) AS n_findings FROM d LEFT JOIN v USING (id) LEFT JOIN k USING (id)""")
+def document_counts(spark, sf):
+    docs = table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("id")).distinct()
+    values = readings(spark, sf).withColumn("id", F.col("document_id"))
+    return summary.document_counts(docs, values, order_checks(spark, sf).withColumn("id", F.col("o_orderkey") % 97), "id")
+
+
+@query("""SELECT p_partkey AS row_id, lower(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_]+', ' ', 'g'), '^ | $', '', 'g')) AS field, CASE WHEN regexp_matches(p_name, '^[A-Za-z0-9_ ]+$') THEN 1 ELSE 2 END AS tier FROM part""")
+def label_mapping(spark, sf):
+    """Every part's name in upper case mapped by a dictionary of all distinct names."""
+    part = table(spark, sf, "part")
+    dictionary = part.select("p_name").distinct().select(F.lit("balance_sheet").alias("statement"), F.lit(0).alias("stmt_ord"), labels.normalized(F.col("p_name")).alias("field"), labels.normalized(F.col("p_name")).alias("label"), F.lit(0).alias("label_ord"))
+    rows = part.select(F.col("p_partkey").alias("row_id"), F.upper("p_name").alias("label"), F.lit("equity").alias("section"))
+    return labels.map_labels(rows, dictionary, "row_id").select("row_id", "field", "tier")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.2f', l_extendedprice) AS a, printf('%.2f', l_quantity) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Total part' AS label, CASE WHEN TRUE THEN a || '|' || b END AS "values" FROM r""")
+def row_split(spark, sf):
+    money = lambda c: F.format_string("%.2f", c)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(F.lit("Total part"), F.lit(""), F.lit("2020"), money("l_extendedprice"), F.lit(None), money("l_quantity"), F.lit("note")).alias("cells"))
+    out = cells.split_rows(rows)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.regexp_replace("label", " 2020$", "").alias("label"), F.array_join("values", "|").alias("values"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 900 + 1 || ',' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '|x' WHEN o_orderkey % 3 = 1 THEN 'a|' || (o_orderkey % 900 + 1) || '||b' ELSE '1.' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '.000|-' END AS merged FROM orders""")
+def fragment_merge(spark, sf):
+    """Numbers cut in three ways, put together again."""
+    k = F.col("o_orderkey")
+    head, tail = (k % 900 + 1).cast("string"), F.lpad((k % 1000).cast("string"), 3, "0")
+    cut = F.when(k % 3 == 0, F.array(head, F.lit(""), F.concat(F.lit(","), tail), F.lit("x"))).when(k % 3 == 1, F.array(F.lit("a"), head, F.lit(""), F.lit("b"))).otherwise(F.array(F.concat(F.lit("1."), F.substring(tail, 1, 1)), F.concat(F.substring(tail, 2, 2), F.lit(".000")), F.lit("-")))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(cells.merge_fragments(cut), "|").alias("merged"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, CAST(sum(event_id) AS BIGINT) AS total, 0 AS again FROM events")
+def incremental_ingest(spark, sf):
+    """All events by a stream, then a second run with the same checkpoint, which finds none."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-")
+    import uuid
+
+    folder = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    for run in ("first", "again"):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{run}/batch=-1")
+        ingest_new(spark, sf, schema, f"{folder}/state", lambda batch, n, run=run: batch.write.mode("overwrite").parquet(f"{folder}/{run}/batch={n}"), name="events.parquet")
+    first, again = spark.read.parquet(f"{folder}/first"), spark.read.parquet(f"{folder}/again")
+    out = first.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("ids"), F.sum("event_id").alias("total"))
+    return out.crossJoin(again.agg(F.count(F.lit(1)).cast("int").alias("again")))
+
+
+@query("""SELECT event_id, 'balance_sheet' AS statement, event_type AS label, value AS number, 2020 AS year FROM events WHERE event_id % 5 > 0 UNION ALL SELECT event_id, 'equity', event_type, -value, 2021 FROM events WHERE event_id % 5 > 0""")
+def external_observations(spark, sf):
+    """Replies around JSON built from the events; every fifth is cut off and parses to nothing."""
+    item = lambda sign, year: F.array(F.struct(F.lit("cash").alias("field"), F.col("event_type").alias("label"), (F.col("value") * sign).cast("string").alias("value"), F.lit(year).alias("year")))
+    body = F.to_json(F.struct(item(1, 2020).alias("balance_sheet"), item(-1, 2021).alias("equity")))
+    reply = F.when(F.col("event_id") % 5 == 0, F.lit('```json {"balance_sheet": [')).otherwise(F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")))
+    rows = table(spark, sf, "events").select("event_id", reply.alias("reply"))
+    return filings.external_observations(rows, "reply", ["event_id"]).select("event_id", "statement", "label", F.col("value").cast("double").alias("number"), "year")
