@@ -13,8 +13,8 @@
 6. Connected components of confirmed links, by rounds of label passing on distributed tables.
 7. What a star can't see: in buckets that still hold several components, the pairs across them,
    with none left out. Buckets are cut into blocks of 256 classes; each pair of blocks compares its
-   registers in one task, which sends on only pairs that pass step 4, each from the first bucket
-   that the two share. Then 5 and 6 again over all confirmed links.
+   registers, and small sets' 32-bit hashes, in one task, which sends on only pairs that pass, each
+   from the first bucket that the two share. Then 5 and 6 again over all confirmed links.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 
@@ -40,6 +40,8 @@ REGISTERS, BANDS = 128, 32
 MANTISSA = 10
 SLACK = 4.0
 BLOCK = 256
+#: Sets up to this size go along as 32-bit hashes where pairs are compared in blocks.
+SMALL_SET = 256
 CHARS = 1_000_000
 
 _SPACE = np.zeros(256, bool)
@@ -153,8 +155,16 @@ def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return (estimate(a, b, n, m) >= j - SLACK * np.sqrt(j * (1 - j) / own)) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
 
 
+def _small_link(a: np.ndarray | None, b: np.ndarray | None) -> bool:
+    """False only if 32-bit hashes of both sets show that the threshold isn't met (one chance collision allowed for)."""
+    if a is None or b is None:
+        return True
+    both = len(np.intersect1d(a, b, assume_unique=True)) + 1
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__id, __hash, __n, __node, __regs``: text hash, set size, the set's 64-bit name and the registers of each row; no shuffle."""
+    """``__id, __hash, __n, __node, __regs, __small``: text hash, set size, the set's 64-bit name, registers and, of a small set, 32-bit hashes; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,10 +173,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = shingle_sets(texts[i:j])
                 with np.errstate(over="ignore"):
                     node = [mix64(np.array([s.sum(dtype=np.uint64) + np.bitwise_xor.reduce(mix64(s ^ np.uint64(_BASE))) * np.uint64(31) + np.uint64(len(s))], np.uint64)).view(np.int64)[0] for s in sets]
-                yield pd.DataFrame({"__id": batch["__id"].iloc[i:j].astype("Int64"), "__hash": batch["__hash"].iloc[i:j], "__n": [len(s) for s in sets], "__node": node, "__regs": [r.tobytes() for r in registers(sets)]})
+                yield pd.DataFrame({"__id": batch["__id"].iloc[i:j].astype("Int64"), "__hash": batch["__hash"].iloc[i:j], "__n": [len(s) for s in sets], "__node": node, "__regs": [r.tobytes() for r in registers(sets)], "__small": [np.unique(s.astype(np.uint32)).tobytes() if len(s) <= SMALL_SET else b"" for s in sets]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return rows.withColumn("__hash", F.xxhash64("__text")).mapInPandas(run, "__id long, __hash long, __n long, __node long, __regs binary")
+    return rows.withColumn("__hash", F.xxhash64("__text")).mapInPandas(run, "__id long, __hash long, __n long, __node long, __regs binary, __small binary")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -272,6 +282,7 @@ def _across(buckets: DataFrame, sizes: DataFrame, labels: DataFrame, classes: Da
         key, lo, hi = rows[["key", "lo", "hi"]].iloc[0]
         regs = np.frombuffer(b"".join(rows["regs"]), "<u2").reshape(len(rows), REGISTERS)
         place, comp, n, node = (rows[c].to_numpy() for c in ("block", "comp", "n", "node"))
+        small = [np.frombuffer(x, "<u4") if x else None for x in rows["small"]]
         one, two = np.flatnonzero(place == lo), np.flatnonzero(place == hi)
         keys, out = band_keys(regs), []
         for start in range(0, len(one), 64):
@@ -285,6 +296,8 @@ def _across(buckets: DataFrame, sizes: DataFrame, labels: DataFrame, classes: Da
             pick = keys[i, first] == key
             i, j = i[pick], j[pick]
             pick = may_link(regs[i], regs[j], n[i], n[j])
+            i, j = i[pick], j[pick]
+            pick = np.array([_small_link(small[a], small[b]) for a, b in zip(i, j, strict=True)], bool)
             out.append(np.sort(np.stack([node[i[pick]], node[j[pick]]], axis=1), axis=1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -292,10 +305,10 @@ def _across(buckets: DataFrame, sizes: DataFrame, labels: DataFrame, classes: Da
     spark = buckets.sparkSession
     named = buckets.join(sizes.where("size > 2"), "key").join(labels, "node", "left").select("key", "size", "node", F.coalesce("comp", "node").alias("comp"))
     several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = named.join(several, "key", "left_semi").join(classes.select("node", "n", "regs"), "node")
+    rows = named.join(several, "key", "left_semi").join(classes.select("node", "n", "regs", "small"), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.select("key", "lo", "hi", "block", "node", "comp", "n", "regs")
+    rows = rows.select("key", "lo", "hi", "block", "node", "comp", "n", "regs", "small")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
 
@@ -305,8 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(sketch(docs, id_col, text_col), "minhash-sketches")
     some = sketches.where("__n > 0")
     best = F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__hash").alias("hash")))
-    classes = some.groupBy(F.col("__node").alias("node")).agg(best.alias("best"), F.count(F.lit(1)).alias("size"), F.max("__n").alias("n"), F.first("__regs").alias("regs"))
-    classes = written(classes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "size", "n", "regs"), "minhash-classes")
+    classes = some.groupBy(F.col("__node").alias("node")).agg(best.alias("best"), F.count(F.lit(1)).alias("size"), F.max("__n").alias("n"), F.first(F.struct("__regs", "__small")).alias("s"))
+    classes = written(classes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "size", "n", F.col("s.__regs").alias("regs"), F.col("s.__small").alias("small")), "minhash-classes")
     buckets = written(bucket_rows(classes), "minhash-buckets")
     sizes, star = _star(buckets)
     sizes, star = written(sizes, "minhash-sizes"), written(star, "minhash-star")
