@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyspark.functions.amounts import strip
 from tallyspark.functions.names import listing_date
@@ -59,7 +60,7 @@ def number_pages(pages: DataFrame, filing: list[str], max_pages: int = 1000) ->
     return pages.withColumn("page_number", F.row_number().over(order)).where(F.col("page_number") <= max_pages).where(strip(F.col("text")) != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All named and numeric entities; the only Python on this path, by Arrow batches."""
     return text.map(html.unescape, na_action="ignore")
@@ -146,9 +147,10 @@ def free_text_rows(pages: DataFrame, text_col: str, keys: list[str], preferred_y
 def listing_register(table: DataFrame) -> DataFrame:
     """``code, name, listed_on`` of every row whose fourth or a later column is a date: the two cells left of it."""
     cells = F.array(*[F.col(c).cast("string") for c in table.columns])
-    dates = F.transform(cells, listing_date)
-    at = F.filter(F.sequence(F.lit(4), F.greatest(F.lit(4), F.lit(len(table.columns)))), lambda i: F.try_element_at(dates, i).isNotNull())
-    rows = table.select(cells.alias("c"), dates.alias("d"), F.try_element_at(at, F.lit(1)).alias("i")).where("i IS NOT NULL")
+    dated = table.select(cells.alias("c")).withColumn("d", F.transform("c", listing_date))
+    places = F.sequence(F.lit(4), F.lit(max(4, len(table.columns))))
+    found = F.filter(places, lambda i: F.try_element_at("d", i).isNotNull())
+    rows = dated.withColumn("i", F.try_element_at(found, F.lit(1))).where("i IS NOT NULL")
     return rows.select(F.expr("c[i - 3]").alias("code"), F.expr("c[i - 2]").alias("name"), F.expr("d[i - 1]").alias("listed_on"))
 
 
