@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import amounts, names, quality, units
@@ -403,14 +404,14 @@ def remap_plan(spark, sf):
 
 
 @query(f"""WITH {READINGS} SELECT company, year, field, id, document_id, CASE WHEN value < 1e3 AND value > 0 THEN 'IMPLAUSIBLE_SCALE' ELSE '' END AS data_flags, 'd' || document_id AS file_path,
-    row_number() OVER (ORDER BY company, year, CASE field WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, field, document_id, id) AS place FROM readings""")
+    row_number() OVER (PARTITION BY company ORDER BY year, CASE field WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, field, document_id, id) AS place FROM readings""")
 def report_sort(spark, sf):
-    """The report's order as a number; only this check numbers all rows, the report itself is a range sort."""
+    """The report's rows with their place within their company."""
     values = readings(spark, sf).withColumns({"statement": F.lit("balance_sheet"), "normalized_value": F.col("value"), "unit": F.lit(None).cast("string"), "page": F.col("document_id")})
     documents = values.select(F.col("document_id").alias("id"), F.concat(F.lit("d"), "document_id").alias("file_path")).distinct()
     report = exports.financial_report(values, documents, ["balance_sheet"], ["O", "F"])
-    rows = report.select("company", "year", "field", "id", "document_id", "data_flags", "file_path").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(rows, "company string, year int, field string, id long, document_id long, data_flags string, file_path string, place long")
+    place = F.row_number().over(W.partitionBy("company").orderBy(*exports.report_order(["balance_sheet"], ["O", "F"])))
+    return report.select("company", "year", "field", "id", "document_id", "data_flags", "file_path", place.cast("long").alias("place"))
 
 
 @query(f"""WITH {READINGS}, {_SUMS} SELECT 'low_confidence' AS output, count(*) AS n FROM readings WHERE confidence < 0.8 UNION ALL SELECT 'extraction_errors', 2 * count(*) FROM orders WHERE o_orderstatus = 'F'

@@ -46,7 +46,7 @@ def field_coverage(winners: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def without_values(documents: DataFrame, values: DataFrame, company: str) -> DataFrame:
-    return documents.join(values.select(company).distinct(), company, "left_anti")
+    return documents.join(values.select(company), company, "left_anti")
 
 
 def document_counts(documents: DataFrame, values: DataFrame, checks: DataFrame, key: str) -> DataFrame:

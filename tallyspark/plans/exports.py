@@ -18,11 +18,16 @@ def ordinal(column: str, order: Sequence[str]) -> Column:
     return place
 
 
+def report_order(statements: Sequence[str], headline: Sequence[str]) -> list[Column]:
+    """Year (null last), statement, headline field, field, page, id; the report puts the company before them."""
+    return [F.col("year").asc_nulls_last(), ordinal("statement", statements), ordinal("field", headline), F.col("field"), F.col("page"), F.col("id")]
+
+
 def financial_report(values: DataFrame, documents: DataFrame, statements: Sequence[str], headline: Sequence[str]) -> DataFrame:
-    """Every value with its file and flags, by company, year (null last), statement, headline field, field, page."""
+    """Every value with its file and flags, by company and ``report_order``: one range sort."""
     joined = values.join(documents.select(F.col("id").alias("document_id"), "file_path"), "document_id", "left")
     flagged = joined.withColumn("data_flags", export_flag(F.col("normalized_value"), F.col("field"), F.col("unit"), F.col("currency")))
-    return flagged.orderBy("company", F.col("year").asc_nulls_last(), ordinal("statement", statements), ordinal("field", headline), "field", "page", "id")
+    return flagged.orderBy("company", *report_order(statements, headline))
 
 
 def diagnostics(checks: DataFrame, documents: DataFrame) -> DataFrame:
