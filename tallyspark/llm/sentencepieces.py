@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a Viterbi search that shares work between common prefixes.
 
 A text is marked (``▁`` before it and for every space) and cut before each run of marks: no piece goes
-on from another character into a mark, so marked words are encoded apart. A batch's distinct words
+on from another character into a mark, so marked words are encoded apart. Where no piece of the
+vocabulary has letters and other characters together, words are cut between those as well. A batch's distinct words
 are sorted, which is their trie in depth-first order: forward states of the prefix that a word shares
 with the one before stay on the stack, and only its own rest is searched.
 
@@ -29,6 +30,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
 CHARS = 2_000_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+#: Finer cuts, between letters and anything else, for vocabularies in which no piece has both.
+_UNITS = regex.compile(rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}]+|{MARK}+")
 
 
 class Pieces:
@@ -55,6 +59,7 @@ class Pieces:
         plain = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {self.text[i]: i for i in plain}
         self.longest = max(map(len, self.ids), default=1)
+        self.cut = _UNITS if all(_UNITS.fullmatch(p) for p in self.ids) else _WORDS
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
         of_byte = {i: b for b, i in self.bytes.items()}
         self.shown = [chr(of_byte[i]) if of_byte.get(i, 128) < 128 else "" if model.is_control(i) else " ⁇ " if model.is_unknown(i) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
@@ -140,7 +145,7 @@ class Pieces:
         """All texts' ids one after another, and how many each text has."""
         if len(self.number) > KEPT_WORDS:
             self.begin()
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = list(chain.from_iterable(split))
         numbers = list(map(self.number.get, words))
         if None in numbers:
