@@ -38,7 +38,7 @@ from tallyspark.llm.common import id_bounds, parts, range_of, shared_dir, spans_
 LIMIT = 16
 BLOCK_IDS = 1 << 16
 EVERY = 64
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
 #: The pre-tokenizer's pieces for lower-cased plain text; white space between them goes.
