@@ -39,7 +39,7 @@ from tallyspark.llm.common import spans_of
 MARK = "▁"
 KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
-CHARS = 2_000_000
+CHARS = 4_000_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Finer cuts, between letters and anything else, for vocabularies in which no piece has both.
 _UNITS = regex.compile(rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}]+|{MARK}+")
@@ -65,6 +65,7 @@ class Pieces:
         self.shown = [chr(of_byte[i]) if of_byte.get(i, 128) < 128 else "" if model.is_control(i) else " ⁇ " if model.is_unknown(i) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
         self.high = {i: bytes([b]) for i, b in of_byte.items() if b >= 128}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.steps: dict[int, tuple | None] = {}
         self.begin()
 
     def begin(self) -> None:
@@ -73,29 +74,55 @@ class Pieces:
         self.starts: list[int] = [0]
         self.arrays = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def merged(self, text: str) -> list[str]:
-        """The merges on a short text, best score first, leftmost first among equals."""
-        parts = list(text)
-        while True:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and self.score[piece] > best:
-                    best, at = self.score[piece], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def merges(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """The merges of a piece's own text, best score first and leftmost among equals: their scores, and the
+        outermost symbols on the left and on the right before each and after the last; None if they don't make the piece."""
+        if piece not in self.steps:
+            parts, scores = list(self.text[piece]), []
+            lefts, rights = [parts[0]], [parts[-1]]
+            while True:
+                best, at = -np.inf, -1
+                for i in range(len(parts) - 1):
+                    found = self.ids.get(parts[i] + parts[i + 1])
+                    if found is not None and self.score[found] > best:
+                        best, at = self.score[found], i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                scores.append(best)
+                lefts.append(parts[0])
+                rights.append(parts[-1])
+            self.steps[piece] = (scores, lefts, rights) if len(parts) == 1 else None
+        return self.steps[piece]
 
     def together(self, left: int, right: int) -> bool:
-        """Whether the merges leave two pieces as they are."""
+        """Whether the merges of two neighbours' text leave both as they are: none across the border comes first."""
         found = self.pairs.get((left, right))
         if found is None:
             if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
-            a, b = self.text[left], self.text[right]
-            found = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            found = self.pairs[left, right] = self._apart(self.merges(left), self.merges(right))
         return found
 
+    def _apart(self, a: tuple | None, b: tuple | None) -> bool:
+        if a is None or b is None:
+            return False
+        i = j = 0
+        while True:
+            across = self.ids.get(a[2][i] + b[1][j])
+            inner_a = a[0][i] if i < len(a[0]) else None
+            inner_b = b[0][j] if j < len(b[0]) else None
+            if across is not None:
+                score = self.score[across]
+                if (inner_a is None or score > inner_a) and (inner_b is None or score >= inner_b):
+                    return False
+            if inner_a is None and inner_b is None:
+                return True
+            if inner_b is None or (inner_a is not None and inner_a >= inner_b):
+                i += 1
+            else:
+                j += 1
+
     def learn(self, words: list[str]) -> None:
         """Encodes words in sorted order; the stack holds a state for every prefix of the word before.
 
