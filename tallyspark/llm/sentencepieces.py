@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import spans_of
 
 MARK = "▁"
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 700_000
+KEPT_PAIRS = 700_000
 CHARS = 4_000_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Finer cuts, between letters and anything else, for vocabularies in which no piece has both.
@@ -64,7 +64,7 @@ class Pieces:
         of_byte = {i: b for b, i in self.bytes.items()}
         self.shown = [chr(of_byte[i]) if of_byte.get(i, 128) < 128 else "" if model.is_control(i) else " ⁇ " if model.is_unknown(i) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
         self.high = {i: bytes([b]) for i, b in of_byte.items() if b >= 128}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.steps: dict[int, tuple | None] = {}
         self.begin()
 
@@ -97,11 +97,12 @@ class Pieces:
 
     def together(self, left: int, right: int) -> bool:
         """Whether the merges of two neighbours' text leave both as they are: none across the border comes first."""
-        found = self.pairs.get((left, right))
+        key = left << 24 | right
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self._apart(self.merges(left), self.merges(right))
+            found = self.pairs[key] = self._apart(self.merges(left), self.merges(right))
         return found
 
     def _apart(self, a: tuple | None, b: tuple | None) -> bool:
