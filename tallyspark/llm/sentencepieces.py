@@ -25,7 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -175,12 +175,13 @@ class Pieces:
             self.begin()
         split = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = list(chain.from_iterable(split))
-        numbers = list(map(self.number.get, words))
-        if None in numbers:
-            self.learn(sorted({w for w, k in zip(words, numbers, strict=True) if k is None}))
-            numbers = list(map(self.number.get, words))
+        flat = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(flat < 0)
+        if len(new):
+            unknown = [words[k] for k in new]
+            self.learn(sorted(set(unknown)))
+            flat[new] = [self.number[w] for w in unknown]
         pool, starts = self.arrays
-        flat = np.array(numbers, np.int64)
         size = starts[flat + 1] - starts[flat]
         ends = np.cumsum(size)
         ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[flat] - ends + size, size)]
