@@ -26,7 +26,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -83,11 +83,12 @@ class _Words:
         odd = {i: self.library(t) for i, t in enumerate(texts) if not _PLAIN.fullmatch(t)}
         split = [[] if i in odd else _PIECE.findall(t.lower()) for i, t in enumerate(texts)]
         pieces = list(chain.from_iterable(split))
-        numbers = list(map(self.number.get, pieces))
-        if None in numbers:
-            self.learn(list(dict.fromkeys(p for p, k in zip(pieces, numbers, strict=True) if k is None)))
-            numbers = list(map(self.number.get, pieces))
-        flat = np.array(numbers, np.int64)
+        flat = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(flat < 0)
+        if len(new):
+            unknown = [pieces[k] for k in new]
+            self.learn(list(dict.fromkeys(unknown)))
+            flat[new] = [self.number[p] for p in unknown]
         size = self.starts[flat + 1] - self.starts[flat]
         ends = np.cumsum(size)
         ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - ends + size, size)]
