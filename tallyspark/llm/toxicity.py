@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ SHRINK = 5
 HIDDEN, POOL = 8, 8
 FEATURES = 5
 THRESHOLD = 0.7
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Characters that a task works on at a time.
+CHARS = 800_000
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _GRAMS = (3, 4, 5, 6)
 
@@ -217,10 +220,9 @@ class Model:
     network: Network
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        words = [words_of(t) for t in texts]
         best = np.full(len(texts), -np.inf)
-        for i, j in spans_of([len(w) + WINDOW for w in words], 150_000):
-            features, codes, mask, doc = _coded(words[i:j], self.tables)
+        for i, j in spans_of([len(t or "") + 6 * WINDOW for t in texts], CHARS):
+            features, codes, mask, doc = _coded([words_of(t) for t in texts[i:j]], self.tables)
             logits = np.zeros(len(doc))
             size = mask.sum(axis=1)
             order = np.argsort(size, kind="stable")  # short windows with short windows: no steps for padding only
@@ -237,7 +239,8 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     label = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return None
-    words = [words_of(t) for t in texts]
+    one: dict[str, str] = {}  # a word is held once, however often it occurs
+    words = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     fold = np.zeros(len(words), np.int64)
     for value in (0, 1):
         own = np.flatnonzero(label == value)
@@ -250,7 +253,7 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     network, rng = Network(), np.random.default_rng(11)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     tick = 0
-    rounds = max(EPOCHS, min(30, 10_000 // len(words)))
+    rounds = max(EPOCHS, min(30, 30_000 // len(words)))
     for _ in range(rounds):
         for own, (features, codes, mask, doc) in parts:
             logits = np.concatenate([network.forward(features, codes[i : i + 2048], mask[i : i + 2048]) for i in range(0, len(codes), 2048)])
@@ -296,9 +299,12 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = sent.value.scores(batch.column(batch.num_columns - 1).to_pylist())
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*names, column])
-            yield out if below is None else out.filter(pa.array(values < below))
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            for i, j in spans_of(sizes, CHARS):
+                part = batch.slice(i, j - i)
+                values = sent.value.scores(part.column(part.num_columns - 1).to_pylist())
+                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, pa.float64())], names=[*names, column])
+                yield out if below is None else out.filter(pa.array(values < below))
 
     rows = docs.select(*names, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
