@@ -169,15 +169,14 @@ def identity_checks(spark, sf):
 
 
 @query(f"""WITH {_WIDE} SELECT document_id, round(total_liabilities / coalesce(total_assets, total_equity), 6) AS total_liabilities_share, round(total_equity / coalesce(total_assets, total_equity), 6) AS total_equity_share,
-    round(greatest(0, least(100, total_liabilities / total_assets * 100)), 4) AS liabilities_pct, round(greatest(0, least(100, total_equity / total_assets * 100)), 4) AS equity_pct,
+    CASE WHEN total_liabilities IS NOT NULL THEN round(greatest(0, least(100, total_liabilities / total_assets * 100)), 4) END AS liabilities_pct, CASE WHEN total_equity IS NOT NULL THEN round(greatest(0, least(100, total_equity / total_assets * 100)), 4) END AS equity_pct,
     abs(total_liabilities + total_equity - total_assets) / total_assets < 0.01 AS balanced FROM w""")
 def equity_composition(spark, sf):
     wide = wide_rows(spark, sf)
-    shares = summary.equity_shares(wide, ["document_id"], ["total_liabilities", "total_equity"], ["total_assets", "total_equity"]).drop("base")
-    bars = summary.balance_bars(wide.withColumns({"a": F.col("total_assets")}), ["document_id"], "a", "total_liabilities", "total_equity")
-    missing = lambda c, n, v: F.when(F.col(n).isNotNull(), v)
-    out = shares.join(bars, "document_id")
-    return out.select("document_id", *[F.round(f"{p}_share", 6).alias(f"{p}_share") for p in ("total_liabilities", "total_equity")], *[F.when(F.col(s).isNotNull(), F.round(p, 4)).otherwise(F.round(F.coalesce(p, F.lit(100.0)), 4)).alias(p) for p, s in (("liabilities_pct", "total_liabilities_share"), ("equity_pct", "total_equity_share"))], "balanced")
+    parts = ["total_liabilities", "total_equity"]
+    shares = summary.equity_shares(wide, ["document_id"], parts, ["total_assets", "total_equity"])
+    bars = summary.balance_bars(wide, ["document_id"], "total_assets", *parts)
+    return shares.join(bars, "document_id").select("document_id", *[F.round(f"{p}_share", 6).alias(f"{p}_share") for p in parts], *[F.round(p, 4).alias(p) for p in ("liabilities_pct", "equity_pct")], "balanced")
 
 
 @query("SELECT l_suppkey, CASE WHEN max(abs(l_extendedprice)) >= 1e12 THEN 1e6 WHEN max(abs(l_extendedprice)) >= 1e9 THEN 1e3 ELSE 1.0 END::DOUBLE AS scale, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1")

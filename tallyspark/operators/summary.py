@@ -90,7 +90,7 @@ def equity_shares(wide: DataFrame, keys: list[str], parts: Sequence[str], totals
 
 
 def balance_bars(wide: DataFrame, keys: list[str], assets: str, liabilities: str, equity: str) -> DataFrame:
-    """Liabilities and equity as percentages of assets between 0 and 100, and whether they add up within 1 %."""
-    a, l, e = F.col(assets), F.col(liabilities), F.col(equity)
-    share = lambda x: F.when(a > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), x / a * 100)))
-    return wide.select(*keys, share(l).alias("liabilities_pct"), share(e).alias("equity_pct"), F.when(a > 0, F.abs(l + e - a) / a < 0.01).alias("balanced"))
+    """Liabilities and equity as percentages of assets between 0 and 100 (null where absent), and whether they add up within 1 %."""
+    a, owed, e = F.col(assets), F.col(liabilities), F.col(equity)
+    share = lambda x: F.when((a > 0) & x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x / a * 100)))
+    return wide.select(*keys, share(owed).alias("liabilities_pct"), share(e).alias("equity_pct"), F.when(a > 0, F.abs(owed + e - a) / a < 0.01).alias("balanced"))
