@@ -6,6 +6,11 @@ kind's score, and a context word among the 40 characters before it raises that.
 (email, ip, card, phone) stay whatever their score; the kinds that the method adds (iban, local
 phone, ssn) stay from a score of 0.6 on.
 
+An IBAN has the length of its country (``IBAN_LENGTHS``), so what follows it in running text is not
+taken for a part of it; codes without a known length take the longest run of 15 to 34 characters that
+ends at a word's end. Every head (two capitals, two digits) proposes one, so a head that the checksum
+refuses hides none behind it; of overlapping confirmed ones the first stays.
+
 The expressions are possessive where that changes no match, and begin at the start of a run of
 their characters, so long runs take linear time and no stack.
 
@@ -36,6 +41,23 @@ class Kind:
     score: float
     context: str
     base: bool
+    ahead: bool = False  # the expression takes a span's head only and has the span as its group 1, looked ahead
+
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_regex() -> str:
+    one = r"(?:\x20?[A-Z0-9])"
+    known = "|".join(rf"(?:{codes.replace(' ', '|')}){one}{{{n - 2}}}" for n, codes in IBAN_LENGTHS.items())
+    other = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}{one}{{13,32}}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{known}|{other})(?![A-Za-z0-9])))[A-Z]{{2}}"
 
 
 _LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -44,7 +66,7 @@ KINDS = (
     Kind("ip", ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "address|server|host|adresse|ip", True),
     Kind("card", "", r"[0-9]++(?:[\x20-][0-9]++)*+", 0.7, "card|visa|mastercard|credit|debit|tarjeta|karte|carte", True),
     Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|call|tel|fax|mobile|handy|llame", True),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, "iban|bank|account|konto|cuenta|compte", False),
+    Kind("iban", "", _iban_regex(), 0.8, "iban|bank|account|konto|cuenta|compte", False, True),
     Kind("local_phone", "", r"(?<![0-9+()\x20-])\x20?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", 0.3, "phone|call|tel|fax|mobile", False),
     Kind("ssn", "", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security", False),
 )
@@ -74,26 +96,35 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _apart(spans: Column) -> Column:
+    """Of overlapping spans, in order, the first."""
+    last = lambda kept: F.coalesce(F.get(kept, F.size(kept) - 1)["stop"], F.lit(0))
+    return F.aggregate(spans, F.array().cast(_SPAN), lambda kept, s: F.when(s["start"] >= last(kept), F.concat(kept, F.array(s))).otherwise(kept))
+
+
 def _kind_spans(text: Column, rank: int, kind: Kind) -> Column:
     """The confirmed spans of one kind: pieces between the matches and the matches give their places."""
     matches, between = F.regexp_extract_all(text, F.lit(kind.regex), F.lit(0)), F.split(text, kind.regex, -1)
     sizes = F.zip_with(F.transform(between, F.length), F.transform(matches, F.length), lambda a, b: a + F.coalesce(b, F.lit(0)))
+    whole = F.regexp_extract_all(text, F.lit(kind.regex), F.lit(1)) if kind.ahead else matches
     placed = F.transform(
         matches,
         lambda m, i: F.struct(
-            m.alias("m"),
+            F.get(whole, i).alias("m"),
             (F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) - F.length(m)).alias("start"),
             F.lower(F.right(F.element_at(between, i + 1), F.lit(CONTEXT))).rlike(kind.context).alias("near"),
         ),
     )
     scored = lambda s: F.least(F.lit(1.0), F.lit(kind.score) + F.when(s["near"], F.lit(BONUS)).otherwise(F.lit(0.0)))
     kept = F.filter(placed, lambda s: _valid(kind.name, s["m"]) & (F.lit(kind.base) | (scored(s) >= THRESHOLD)))
-    spans = F.transform(kept, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (s["start"] + F.length(s["m"])).cast("int").alias("stop"), scored(s).alias("score")))
+    spans = F.transform(kept, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (s["start"] + F.length(s["m"])).cast("int").alias("stop"), scored(s).alias("score"))).cast(_SPAN)
+    if kind.ahead:
+        spans = _apart(spans)
     may = text.contains(kind.gate) if kind.gate else F.lit(True)
     digits = {"card": r"[0-9](?:[\x20-]?[0-9]){11}", "ip": r"\.[0-9]+\.[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "local_phone": r"[0-9]{3}[.-][0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-"}.get(kind.name)
     if digits:
         may = may & text.rlike(digits)
-    return F.when(may, spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    return F.when(may, spans).otherwise(F.array().cast(_SPAN))
 
 
 def spans_column(text: Column) -> Column:

@@ -40,6 +40,26 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert [r.spans for r in pii.span_report(docs).orderBy("doc_id").collect()] == ["iban:0:27", "", "ssn:8:19", "", "iban:0:22"]
 
 
+def test_ibans_in_running_text(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    cases = {
+        f"{gb} The account": [gb], "DE89370400440532013000 Total": ["DE89370400440532013000"], "DE89370400440532013000 5 days": ["DE89370400440532013000"],
+        f"{de} BIC COBADEFF": [de], f"to {de} {gb} NOW": [de, gb], f"BE12 {de} 7": [de], f"AB12 3 {de}": [de], f"é {de}, {gb}. AT61 1904 3002 3457 3201 A1 B2": [de, gb, "AT61 1904 3002 3457 3201"],
+        "NO93 8601 1117 947 Oslo": ["NO93 8601 1117 947"], "MT84 MALT 0110 0001 2345 MTLC AST0 01S X": ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+        "DE893704004405320130001": [], "DE89370400440532013000x": [], "DE89 3704 0044 0532 0130 01 The": [], "A1 " * 9_000: [],
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r, (text, want) in zip(pii.find_pii(docs).orderBy("doc_id").collect(), cases.items(), strict=True):
+        assert [text[s.start : s.stop] for s in r.spans if s.kind == "iban"] == want, text[:99]
+    assert pii.redact(spark.createDataFrame([(1, f"pay {gb} The rest")], "doc_id long, text string")).first().text == "pay [IBAN] The rest"
+
+
+def test_iban_of_unlisted_country(spark):
+    text = "ZZ" + next(f"{c:02}" for c in range(100) if int(f"1234567890123535{c:02}") % 97 == 1) + " 1234 5678 9012"
+    docs = spark.createDataFrame([(1, text), (2, text + " The end")], "doc_id long, text string")
+    assert [r.spans for r in pii.span_report(docs).orderBy("doc_id").collect()] == [f"iban:0:{len(text)}"] * 2
+
+
 def test_redact_keeps_columns_and_clean_texts(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c now", "x"), (2, "clean", "y"), (3, None, "z"), (4, "1.2.3.4, 4929348385146306 é", "w")], "doc_id long, text string, spans string")
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
