@@ -16,7 +16,9 @@ Scoring is a map over the rows: no shuffle; the model (about 1 MB, fixed size) g
 
 Defined results: null and empty texts have one window without words and the score of that; without
 toxic or without clean training rows every score is 0; repeated rows and ids are scored one by one;
-extra columns are ignored; an empty table gives no rows. Words are runs of letters, digits and ``'``.
+extra columns are ignored; an empty table gives no rows. Words are runs of letters, digits and ``'``;
+a run of over ``LONG`` characters becomes pieces of ``PIECE``, about as long as common words, that are
+words of their own and overlap by ``SHARED`` characters, so every n-gram of the run is in one of them.
 """
 
 from __future__ import annotations
@@ -44,17 +46,22 @@ THRESHOLD = 0.7
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Characters that a task works on at a time.
 CHARS = 800_000
+LONG, PIECE, SHARED = 60, 12, 8
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _GRAMS = (3, 4, 5, 6)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    words = _WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    cut = lambda w: [w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - SHARED, PIECE - SHARED)]
+    return [piece for w in words for piece in cut(w)]
 
 
 def _ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's place, all n-grams' places, and the word each n-gram is of."""
-    marked = [f"^{w[:60]}$" for w in vocabulary]
+    marked = [f"^{w}$" for w in vocabulary]
     size = np.array([len(m) for m in marked], np.int64)
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), size)

@@ -78,3 +78,25 @@ def test_chunks_score_like_single_texts():
     model = tox.train([t for _, t, _ in rows], [y for *_, y in rows])
     texts = [t for _, t, _ in rows][:30] + [None, ""]
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-5)
+
+
+def test_long_runs_count_whole():
+    rng = random.Random(5)
+    for n in [1, 60, 61, 79, 80, 81, 100, 101, 1000]:
+        run = "".join(rng.choice("abcdefghij") for _ in range(n))
+        pieces = tox.words_of(f"x {run} y")[1:-1]
+        assert all(len(p) <= tox.PIECE for p in pieces) if n > tox.LONG else pieces == [run]
+        assert all(any(run[i : i + tox.SHARED] in p for p in pieces) for i in range(max(1, n - tox.SHARED + 1)))
+    cut, whole = (set(tox._ngrams([w])[1]) for w in ("ab" * 30, "ab" * 30 + "cdefghi"))
+    assert len(whole) > len(cut)
+
+
+def test_toxic_part_beyond_character_60():
+    rows = corpus(400)
+    model = tox.train([t for _, t, _ in rows], [y for *_, y in rows])
+    rng = random.Random(8)
+    filler, around = "".join(rng.choice("aeioulnrst") for _ in range(400)), "the of and to in it was " * 3
+    for n in (60, 75, 90):
+        for tail in ("", filler[:30]):
+            clean, bad = model.scores([f"{around}{filler[:n]}{part}{tail} {around}" for part in ("", "zorkfacequibwadzorkfaceishquibwader")])
+            assert clean < 0.01 and bad > clean + 0.05
