@@ -33,7 +33,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenout.write_and_check(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return tokenout.write_and_check(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, special=True)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

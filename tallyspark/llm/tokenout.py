@@ -3,7 +3,9 @@
 1. Texts become ids (tokenizers library) and an end id each. Words that come again are
    encoded once: a plain text splits into the pieces of the tokenizer's own pre-tokenization, and
    the library encodes every distinct piece; texts with other than ASCII and Latin-1 letters go to
-   the library whole.
+   the library whole. With ``special`` (as registered) the library's own setting stands: an added
+   token's content in a text, like ``<|endoftext|>``, is that token's id, and such texts go to the
+   library whole too. Without it they are text like any other.
 2. The ids are sorted by ascending document id (range partitions) and cut into blocks of whole
    documents, about 65,536 ids each.
 3. Counts over all ids (one number an id of the vocabulary) give code lengths of ``limit`` bits at
@@ -48,11 +50,14 @@ _PIECE = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\x09-\x0d\x20{
 class _Words:
     """Numbers of pieces of text; the ids of number ``k`` are ``pool[starts[k] : starts[k + 1]]``."""
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(tokenizer)
-        self.encode.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.encode.get_added_tokens_decoder().values()] if special else []
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None  # any case: some match after normalization
+        if not special:
+            self.encode.encode_special_tokens = True
         vocabulary = self.encode.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -80,7 +85,7 @@ class _Words:
         """The ids of all texts one after another, and how many each text has."""
         if len(self.number) > KEPT_PIECES:
             self.begin()
-        odd = {i: self.library(t) for i, t in enumerate(texts) if not _PLAIN.fullmatch(t)}
+        odd = {i: self.library(t) for i, t in enumerate(texts) if not _PLAIN.fullmatch(t) or (self.added and self.added.search(t))}
         split = [[] if i in odd else _PIECE.findall(t.lower()) for i, t in enumerate(texts)]
         pieces = list(chain.from_iterable(split))
         flat = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -102,16 +107,16 @@ class _Words:
 
 
 @lru_cache(maxsize=2)
-def _words(tokenizer: str) -> _Words:
+def _words(tokenizer: str, special: bool) -> _Words:
     """One a worker process, with what it has met in earlier tasks."""
-    return _Words(tokenizer)
+    return _Words(tokenizer, special)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """``__id, __hash, __ids``: each row's ids with the end id, as little-endian 32-bit numbers; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _words(tokenizer)
+        words = _words(tokenizer, special)
         for batch in batches:
             texts = batch["__text"].tolist()
             for i, j in spans_of([len(t) for t in texts], 2_000_000):
@@ -201,7 +206,7 @@ class Decoder:
         return docs, known.astype(bool), sizes, ids.ravel()[:n_ids]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> None:
     """Writes all texts' ids under ``path``."""
     spark = docs.sparkSession
 
@@ -229,7 +234,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
     # Ranges of the ids by their quantiles: a range partitioner would tokenize everything once more to draw its sample.
     n = parts(spark)
     bounds = id_bounds(docs, id_col, n)
-    rows = tokenize(docs, tokenizer, end_id, id_col, text_col).withColumn("__range", range_of(F.col("__id"), bounds))
+    rows = tokenize(docs, tokenizer, end_id, id_col, text_col, special).withColumn("__range", range_of(F.col("__id"), bounds))
     rows = rows.repartition(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_last(), "__hash").select("__range", "__id", "__ids")
     blocks = written(rows.mapInPandas(cut, ", ".join(f"{k} {v}" for k, v in _RAW.items())), "tokens")
 
@@ -299,8 +304,8 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def write_and_check(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def write_and_check(docs: DataFrame, tokenizer: str, end_id: int, special: bool = False) -> DataFrame:
     """Writes ``docs`` to the shared folder and answers from the files: ``doc_id, start, n_tokens, ids_crc32``."""
     path = shared_dir(docs.sparkSession, "token-files")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, special=special)
     return read_tokens(docs.sparkSession, path, crc32, "long").withColumnRenamed("value", "ids_crc32")

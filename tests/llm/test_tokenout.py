@@ -73,3 +73,24 @@ def test_files_match_the_library(spark):
 
 def test_empty_table(spark):
     assert tokenout.write_and_check(spark.createDataFrame([], "doc_id long, text string"), FILE, 2).count() == 0
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>The<|endoftext|><|endoftext|>", "<|EndOfText|> x", "<| endoftext |>", "<|endoftext|", "中 <|endoftext|>", "é<|endoftext|>é", "plain words"]
+
+
+def test_added_tokens_encode_like_the_unchanged_library():
+    whole, words = Tokenizer.from_file(FILE), tokenout._Words(FILE, special=True)
+    ids, sizes = words.ids(SPECIAL)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert 49407 in ids and 49406 in ids
+
+
+def test_query_answers_like_the_unchanged_library(spark, tmp_path):
+    from tallyspark.llm import queries
+
+    spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(FILE)
+    want = [whole.encode(t, add_special_tokens=False).ids + [2] for t in SPECIAL]
+    starts = np.cumsum([0, *map(len, want)]).tolist()
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op8_token_ids(spark, str(tmp_path)).collect())
+    assert got == [(i, starts[i], len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)]
