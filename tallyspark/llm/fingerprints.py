@@ -5,7 +5,8 @@ turns each name into a label of a few bits that depends on its left neighbours o
 the labels cut the sequence into phrases, and a phrase's content gives its name on the next level.
 Where two texts share a substring, all but a bounded margin of it is cut and named alike in both,
 whatever its offset. The fingerprint is the 64 smallest hashes of the distinct phrase names of levels
-two and up (texts with few of those add the lower levels); likeness is the Jaccard estimate on them.
+one and up, of texts of any size alike, up to the level that has one name; likeness is the Jaccard
+estimate on them. It depends on the text alone, not on those parsed beside it.
 
 Defined results: null text counts as empty; an empty text has the fingerprint ``''``, is fully like
 another empty one (1.0) and unlike any other (0.0). Rows with equal or null ids are kept, ordered by
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import mix64, parts, spans_of
 
 SIZE = 64
-FEW = 8
 CHARS = 1_000_000
 _NONE = np.uint64(1 << 32)
 _STEP, _RUN, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -72,22 +72,14 @@ def sketches(texts: list[str]) -> np.ndarray:
         return out
     docs = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     names = mix64(points.astype(np.uint64) + _STEP)
-    low: list[tuple[np.ndarray, np.ndarray]] = [(names, docs)]
-    high: list[tuple[np.ndarray, np.ndarray]] = []
-    level = 0
-    while True:
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(names):
         names, docs = parse_level(names, docs)
-        level += 1
-        (low if level < 2 else high).append((names, docs))
-        if level >= 2 and len(names) == len(np.unique(docs)):
-            break
-    counts = np.bincount(high[0][1], minlength=len(texts))
-    few = counts < FEW
-    for n, d in low:
-        pick = few[d]
-        high.append((n[pick], d[pick]))
-    hashes = mix64(np.concatenate([n for n, _ in high]) ^ _LEVEL) >> np.uint64(32)
-    key = np.unique((np.concatenate([d for _, d in high]).astype(np.uint64) << np.uint64(32)) | hashes)
+        found.append((names, docs))
+        more = np.bincount(docs)[docs] > 1
+        names, docs = names[more], docs[more]
+    hashes = mix64(np.concatenate([n for n, _ in found]) ^ _LEVEL) >> np.uint64(32)
+    key = np.unique((np.concatenate([d for _, d in found]).astype(np.uint64) << np.uint64(32)) | hashes)
     docs = (key >> np.uint64(32)).astype(np.int64)
     rank = np.arange(len(key)) - np.searchsorted(docs, docs)
     keep = rank < SIZE
