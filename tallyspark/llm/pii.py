@@ -112,11 +112,12 @@ def _kind_spans(text: Column, rank: int, kind: Kind) -> Column:
         lambda m, i: F.struct(
             F.get(whole, i).alias("m"),
             (F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) - F.length(m)).alias("start"),
-            F.lower(F.right(F.element_at(between, i + 1), F.lit(CONTEXT))).rlike(kind.context).alias("near"),
         ),
     )
+    before = lambda at: F.lower(F.substr(text, F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT))))
+    valid = F.transform(F.filter(placed, lambda s: _valid(kind.name, s["m"])), lambda s: F.struct(s["m"].alias("m"), s["start"].alias("start"), before(s["start"]).rlike(kind.context).alias("near")))
     scored = lambda s: F.least(F.lit(1.0), F.lit(kind.score) + F.when(s["near"], F.lit(BONUS)).otherwise(F.lit(0.0)))
-    kept = F.filter(placed, lambda s: _valid(kind.name, s["m"]) & (F.lit(kind.base) | (scored(s) >= THRESHOLD)))
+    kept = F.filter(valid, lambda s: F.lit(kind.base) | (scored(s) >= THRESHOLD))
     spans = F.transform(kept, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (s["start"] + F.length(s["m"])).cast("int").alias("stop"), scored(s).alias("score"))).cast(_SPAN)
     if kind.ahead:
         spans = _apart(spans)

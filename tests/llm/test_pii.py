@@ -60,6 +60,15 @@ def test_iban_of_unlisted_country(spark):
     assert [r.spans for r in pii.span_report(docs).orderBy("doc_id").collect()] == [f"iban:0:{len(text)}"] * 2
 
 
+def test_context_is_of_the_text_and_not_of_the_piece_before(spark):
+    far = "phone 555-123-4567 " + "x" * 40 + " 555-765-4321"
+    texts = ["phone 555-123-4567 or 555-765-4321", "SSN: 123-45-6789, 987-65-4321", far, "é tel. 12, 555-765-4321"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[texts[r.doc_id][s.start : s.stop].strip() for s in r.spans] for r in pii.find_pii(docs).orderBy("doc_id").collect()]
+    assert got == [["555-123-4567", "555-765-4321"], ["123-45-6789", "987-65-4321"], ["555-123-4567"], ["555-765-4321"]]
+    assert pii.redact(docs).where("doc_id = 1").first().text == "SSN: [SSN], [SSN]"
+
+
 def test_redact_keeps_columns_and_clean_texts(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c now", "x"), (2, "clean", "y"), (3, None, "z"), (4, "1.2.3.4, 4929348385146306 é", "w")], "doc_id long, text string, spans string")
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
