@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class HashTable:
+    """Numbers by 64-bit hash: open addressing in two arrays, all lookups of a batch side by side."""
+
+    def __init__(self, most: int) -> None:
+        self.slots = 1 << max(4, (2 * most - 1).bit_length())
+        self.keys, self.values, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), 0
+
+    def _walk(self, hashes: np.ndarray, on: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Calls ``on(places, slots)`` for what is left, slot by slot, until it says that all are done."""
+        todo = np.arange(len(hashes))
+        at = (mix64(hashes) & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            left = ~on(todo, at)
+            todo, at = todo[left], (at[left] + 1) & (self.slots - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's number, -1 for those without one; hashes are not 0."""
+        out = np.full(len(hashes), -1, np.int64)
+
+        def look(todo: np.ndarray, at: np.ndarray) -> np.ndarray:
+            key = self.keys[at]
+            hit = key == hashes[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            return hit | (key == 0)
+
+        self._walk(hashes, look)
+        return out
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """New hashes, each once."""
+
+        def put(todo: np.ndarray, at: np.ndarray) -> np.ndarray:
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[todo[free]]
+            own = free & (self.keys[at] == hashes[todo])
+            self.values[at[own]] = numbers[todo[own]]
+            return own
+
+        self._walk(hashes, put)
+        self.size += len(hashes)
+
+
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

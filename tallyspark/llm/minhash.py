@@ -5,23 +5,27 @@
 2. HyperMinHash: hashes fall into 128 buckets by their first bits; of each bucket's least hash a
    register keeps the number of leading zeros (6 bits) and ten bits after the leading one. Empty
    buckets borrow from others in a fixed random order (the same for all texts).
-3. Candidates: 32 bands of four registers. In a band's bucket every class meets one class drawn at
-   random (a star, no pairs), another one in each band.
-4. The share of equal registers, corrected for chance collisions, estimates the similarity; pairs
+3. Candidates: 32 bands of four registers. Classes that share no band with another one are done.
+4. The others meet in rounds, over 1, 2, 5 and 24 bands. In a band's bucket one class of each component
+   so far meets one leader drawn at random (a star, no pairs), another one in each band; a pair that
+   has been tried isn't tried again.
+5. The share of equal registers, corrected for chance collisions, estimates the similarity; pairs
    far below the threshold (four standard errors) go no further.
-5. The rest is confirmed on full sets: 100 * |intersection| >= 75 * |union|.
-6. Connected components of confirmed links, by rounds of label passing on distributed tables.
-7. What a star can't see: in buckets that still hold several components, the pairs across them,
-   with none left out. Buckets are cut into blocks of 256 classes; each pair of blocks compares its
-   registers, and small sets' 32-bit hashes, in one task, which sends on only pairs that pass, each
-   from the first bucket that the two share. Then 5 and 6 again over all confirmed links.
+6. The rest is confirmed on full sets: 100 * |intersection| >= 75 * |union|. Confirmed links join
+   components (label passing on distributed tables, over components, not classes).
+7. What a star can't see: in buckets that still hold several components, all pairs across them, with
+   none left out. The largest component's classes meet the others', not each other. Both are cut into
+   blocks of 256 classes; each pair of blocks compares its registers, and small sets' 32-bit hashes, in
+   one task, which sends on only pairs that pass, each from the first bucket that the two share.
+   Then 6 again.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 
 Defined results: null, empty or white-space texts have an empty set and are linked with nothing;
 fewer than five words are one shingle; rows with equal ids are nodes of their own by text; a null id
 never is a component's smallest unless all of its ids are null; an empty table gives no rows; other
-columns are ignored.
+columns are ignored. ``deduplicate`` keeps of each component the text of the smallest id (of several
+under it, and where all ids are null, the one of the smallest hash), and every row of that id and text.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import mix64, salted_join, small_or_shuffled, spans_of, written
+from tallyspark.llm.common import mix64, powers, salted_join, small_or_shuffled, spans_of, written
 
 WORDS, SIMILAR = 5, 75
 REGISTERS, BANDS = 128, 32
+ROUNDS = (range(0, 1), range(1, 3), range(3, 8), range(8, 32))
 MANTISSA = 10
 SLACK = 4.0
 BLOCK = 256
@@ -52,16 +57,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending: whole batches by array operations on their bytes."""
     data = [(t or "").encode("utf-8", "surrogatepass") + b" " for t in texts]
@@ -70,7 +65,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
     end = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     with np.errstate(over="ignore"):
-        power, inverse = _powers(len(raw) + 1)
+        power, inverse = powers(len(raw) + 1, _BASE)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * power[:-1], dtype=np.uint64)])
         word = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
         limits = np.searchsorted(begin, np.cumsum([len(d) for d in data]))
@@ -180,44 +175,58 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """``key, node``: 32 rows a class."""
+    """``band, key, node``: 32 rows a class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 keys = band_keys(np.frombuffer(b"".join(batch["regs"]), "<u2").reshape(len(batch), REGISTERS))
-                yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"band": np.tile(np.arange(BANDS, dtype=np.int32), len(batch)), "key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), BANDS)})
+
+    return classes.select("node", "regs").mapInPandas(run, "band int, key long, node long")
 
-    return classes.select("node", "regs").mapInPandas(run, "key long, node long")
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets with two classes and more."""
+    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    return buckets.join(several, "key")
 
-def _star(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes of the buckets with two classes and more, and each of their classes paired with the bucket's leader.
 
-    The leader is the class whose name, crossed with the bucket's, is least: another one in each bucket.
+def _star(shared: DataFrame, labels: DataFrame, bands: range) -> DataFrame:
+    """``a, b, ca, cb``: in each bucket of ``bands``, one class of every component with the bucket's leader, and their components.
+
+    Leader and classes are those whose names, crossed with the bucket's, are least: others in each bucket.
     """
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("lead")).where("size > 1")
-    sizes = sizes.select("key", "size", F.col("lead").bitwiseXOR(F.col("key")).alias("lead"))
-    pairs = buckets.join(sizes, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    return sizes.select("key", "size"), pairs.distinct()
+    rank = F.col("node").bitwiseXOR(F.col("key"))
+    own = shared.where(F.col("band").between(bands.start, bands.stop - 1)).join(labels, "node")
+    one = own.groupBy("key", "comp").agg(F.min(rank).alias("rank"))
+    lead = one.groupBy("key").agg(F.min(F.struct("rank", "comp")).alias("lead"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "lead")
+    pair = one.join(lead, "key").where("comp <> lead.comp")
+    end = lambda rank, comp: F.struct(F.col(rank).bitwiseXOR(F.col("key")).alias("node"), F.col(comp).alias("comp"))
+    pair = pair.select(end("rank", "comp").alias("x"), end("lead.rank", "lead.comp").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+
 
+_PAIR = "a long, b long, ca long, cb long"
 
-def _hopeful(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that the registers don't rule out."""
+
+def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that the registers don't rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), REGISTERS) for c in ("x", "y"))
-                yield batch.loc[may_link(x, y, batch["n"].to_numpy(), batch["m"].to_numpy()), ["a", "b"]]
+                yield batch.loc[may_link(x, y, batch["n"].to_numpy(), batch["m"].to_numpy()), ["a", "b", "ca", "cb"]]
 
-    left = classes.select(F.col("node").alias("a"), F.col("n"), F.col("regs").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("regs").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
+    left = nodes.select(F.col("node").alias("a"), F.col("n"), F.col("regs").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("regs").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").where(f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)")
+    return near.select("a", "b", "ca", "cb", "n", "m", "x", "y").mapInPandas(run, _PAIR)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets are similar enough; sets are made only for classes in some pair."""
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, items``: the full sets of ``nodes``, one text each; no others are made."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -225,6 +234,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
             for i, j in spans_of([len(t) for t in texts], CHARS):
                 yield pd.DataFrame({"node": batch["__node"].iloc[i:j], "items": [s.tobytes() for s in shingle_sets(texts[i:j])]})
 
+    needed = small_or_shuffled(nodes.select(F.col("node").alias("__node"), "class_id", "hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    chosen = rows.join(needed, rows["__id"].eqNullSafe(needed["class_id"]) & (F.xxhash64("__text") == needed["hash"]))
+    return chosen.select("__node", "__text").mapInPandas(run, "node long, items binary").dropDuplicates(["node"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -232,16 +250,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
                 p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= SIMILAR * (len(p) + len(q) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, ["a", "b", "ca", "cb"]]
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "class_id", "hash"), "node")
-    needed = written(needed.select(F.col("node").alias("__node"), "class_id", "hash"), "minhash-needed")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    chosen = rows.join(small_or_shuffled(needed), rows["__id"].eqNullSafe(needed["class_id"]) & (F.xxhash64("__text") == needed["hash"]))
-    sets = chosen.select("__node", "__text").mapInPandas(run, "node long, items binary").dropDuplicates(["node"])
-    sets = written(sets, "minhash-sets")
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+    asked = small_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    some = sets.join(asked, "node", "left_semi")
+    full = pairs.join(some.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    return full.select("a", "b", "ca", "cb", "x", "y").mapInPandas(compare, _PAIR)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,7 +272,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(buckets: DataFrame, sizes: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hopeful pairs of different components within a bucket, each from the first bucket that the two share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,9 +290,8 @@ def _across(buckets: DataFrame, sizes: DataFrame, labels: DataFrame, classes: Da
             yield block(held)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         if not len(rows):
-            return none
+            return pd.DataFrame(np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
         key, lo, hi = rows[["key", "lo", "hi"]].iloc[0]
         regs = np.frombuffer(b"".join(rows["regs"]), "<u2").reshape(len(rows), REGISTERS)
         place, comp, n, node = (rows[c].to_numpy() for c in ("block", "comp", "n", "node"))
@@ -298,46 +311,73 @@ def _across(buckets: DataFrame, sizes: DataFrame, labels: DataFrame, classes: Da
             pick = may_link(regs[i], regs[j], n[i], n[j])
             i, j = i[pick], j[pick]
             pick = np.array([_small_link(small[a], small[b]) for a, b in zip(i, j, strict=True)], bool)
-            out.append(np.sort(np.stack([node[i[pick]], node[j[pick]]], axis=1), axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    spark = buckets.sparkSession
-    named = buckets.join(sizes.where("size > 2"), "key").join(labels, "node", "left").select("key", "size", "node", F.coalesce("comp", "node").alias("comp"))
-    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = named.join(several, "key", "left_semi").join(classes.select("node", "n", "regs", "small"), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+            i, j = i[pick], j[pick]
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            out.append(np.stack([node[i], node[j], comp[i], comp[j]], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
+
+    named = shared.join(labels, "node").select("key", "node", "comp")
+    parts_of = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "comp"))
+    several = parts_of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), largest.alias("main")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    several = several.select("key", F.col("main.comp").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
+    rows = named.join(several, "key").join(nodes.select("node", "n", "regs", "small"), "node")
+    # Blocks of the others come first, those of the largest component last; its blocks meet others' blocks only.
+    place, is_main = F.xxhash64("node"), F.col("comp") == F.col("main")
+    rows = rows.withColumn("block", F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     rows = rows.select("key", "lo", "hi", "block", "node", "comp", "n", "regs", "small")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, _PAIR)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` of every row."""
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after the components that ``links`` join are one."""
+    moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    return written(labels.join(small_or_shuffled(moved), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "minhash-labels")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id, __hash, __n, best`` of every row; ``best`` is its component's smallest id with that text's hash."""
     sketches = written(sketch(docs, id_col, text_col), "minhash-sketches")
     some = sketches.where("__n > 0")
     best = F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__hash").alias("hash")))
     classes = some.groupBy(F.col("__node").alias("node")).agg(best.alias("best"), F.count(F.lit(1)).alias("size"), F.max("__n").alias("n"), F.first(F.struct("__regs", "__small")).alias("s"))
-    classes = written(classes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "size", "n", F.col("s.__regs").alias("regs"), F.col("s.__small").alias("small")), "minhash-classes")
-    buckets = written(bucket_rows(classes), "minhash-buckets")
-    sizes, star = _star(buckets)
-    sizes, star = written(sizes, "minhash-sizes"), written(star, "minhash-star")
-    links = written(_confirm(written(_hopeful(star, classes), "minhash-hopeful"), docs, classes, id_col, text_col), "minhash-links")
-    labels = components(links)
-    across = written(_across(buckets, sizes, labels, classes).join(star, ["a", "b"], "left_anti"), "minhash-across")
-    more = written(_confirm(across, docs, classes, id_col, text_col), "minhash-links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    named = classes.join(labels, "node", "left").select("node", "size", "class_id", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("node").alias("__node"), "size", "component_id")
-    out = salted_join(sketches.select("__id", "__n", "__node"), named, "__node", "size", "__id", per=50_000)
-    component = F.when(F.col("__n") > 0, F.col("component_id")).otherwise(F.col("__id"))
-    return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("__id")).alias("kept"))
+    classes = written(classes.select("node", "best", "size", "n", F.col("s.__regs").alias("regs"), F.col("s.__small").alias("small")), "minhash-classes")
+    shared = written(_shared(bucket_rows(classes)), "minhash-shared")
+    nodes = classes.join(shared.select("node").distinct(), "node", "left_semi")
+    nodes = written(nodes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "n", "regs", "small"), "minhash-nodes")
+    sets = written(_sets(nodes, docs, id_col, text_col), "minhash-sets")
+    labels = written(nodes.select("node", F.col("node").alias("comp")), "minhash-labels")
+    tried = None
+    for bands in ROUNDS:
+        pairs = _star(shared, labels, bands)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "minhash-star")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        labels = _joined(labels, written(_confirm(written(_hopeful(pairs, nodes), "minhash-hopeful"), sets), "minhash-links"))
+    across = written(_across(shared, labels, nodes).join(tried, ["a", "b"], "left_anti"), "minhash-across")
+    if across.limit(1).count():
+        labels = _joined(labels, written(_confirm(across, sets), "minhash-links"))
+    named = classes.join(labels, "node", "left").select("node", "size", "best", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("best").alias("best"))
+    named = named.drop("best").join(least, "comp").select(F.col("node").alias("__node"), "size", "best")
+    return salted_join(sketches.select("__id", "__hash", "__n", "__node"), named, "__node", "size", "__id", per=50_000)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` of every row."""
+    component = F.when(F.col("__n") > 0, F.col("best.id")).otherwise(F.col("__id"))
+    return _grouped(docs, id_col, text_col).select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("__id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those of a component whose smallest id is another, with all their columns."""
-    gone = written(near_duplicates(docs, id_col, text_col).where(f"NOT kept AND `{id_col}` IS NOT NULL").select(id_col).distinct(), "minhash-gone")
-    return docs.join(small_or_shuffled(gone), id_col, "left_anti")
+    """The rows of ``docs`` that stay, with all their columns."""
+    other = ~F.col("best.id").eqNullSafe(F.col("__id")) | (F.col("best.hash") != F.col("__hash"))
+    gone = _grouped(docs, id_col, text_col).where((F.col("__n") > 0) & other).select(F.col("__id").alias("__gone_id"), F.col("__hash").alias("__gone_hash")).distinct()
+    gone = small_or_shuffled(written(gone, "minhash-gone"))
+    same = docs[id_col].cast("long").eqNullSafe(gone["__gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["__gone_hash"])
+    return docs.join(gone, same, "left_anti")

@@ -90,5 +90,27 @@ def test_estimate_is_near_the_similarity():
 def test_deduplicate_and_empty_table(spark):
     text = "a b c d e f g h i j k l m n o p q r s t"
     docs = spark.createDataFrame([(2, text, "x"), (1, text + " u", "y"), (3, None, "z"), (None, text, "n"), (4, "other words", "w")], "doc_id long, text string, kept string")
-    assert sorted(r.kept for r in minhash.deduplicate(docs).collect()) == ["n", "w", "y", "z"]
+    assert sorted(r.kept for r in minhash.deduplicate(docs).collect()) == ["w", "y", "z"]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_deduplicate_with_repeated_and_null_ids(spark):
+    text, far = "a b c d e f g h i j k l m n o p q r s t", "quite other words that are like nothing else in here"
+    rows = [(3, text, "first"), (7, far, "unique"), (7, text + " u", "near"), (3, text, "repeated"), (None, "null ids " + far + " x y z w v", "one null"), (None, "null ids " + far + " x y z w v q", "two null")]
+    got = sorted(r.tag for r in minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect())
+    assert len(got) == 4 and {"first", "repeated", "unique"} < set(got)
+
+
+def test_star_tries_few_pairs_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for k in rng.sample(range(120), 2):
+            copy[k] = f"z{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    counts, plain = [], minhash._hopeful
+    monkeypatch.setattr(minhash, "_hopeful", lambda pairs, nodes: counts.append(pairs.count()) or plain(pairs, nodes))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in out} == {0} and sum(counts) < 6 * len(rows)
