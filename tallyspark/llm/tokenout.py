@@ -28,27 +28,63 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import id_bounds, parts, range_of, shared_dir, spans_of, written
+from tallyspark.llm.common import HashTable, id_bounds, mix64, parts, powers, range_of, shared_dir, spans_of, written
 
 LIMIT = 16
 BLOCK_IDS = 1 << 16
 EVERY = 64
-KEPT_PIECES = 1_000_000
+#: Characters that a task encodes at a time, and pieces that a worker remembers at most (the table has room for twice as many).
+SPAN = 1_000_000
+KEPT_PIECES = 2_000_000
+#: Pieces of more characters are looked up by themselves instead of by their hashes.
+LONG_PIECE = 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
-#: The pre-tokenizer's pieces for lower-cased plain text; white space between them goes.
-_PIECE = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\x09-\x0d\x20{_LETTERS}0-9]+")
+#: Kinds of Latin-1 characters: 0 white space, 1 letter, 2 digit (a piece of its own), 3 other (runs).
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[c for c in range(256) if re.match(f"[{_LETTERS}]", chr(c))]] = 1
+_KIND[48:58] = 2
+_BASE = 0xA0761D6478BD642F
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def pieces_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the pre-tokenizer's pieces in lower-case plain text (Latin-1 bytes).
+
+    A run of letters, one digit, a run of other characters; an apostrophe that begins a piece takes
+    s, t, m, d, re, ve or ll with it, and what letters follow are the next piece.
+    """
+    kind = np.r_[np.uint8(0), _KIND[data], np.zeros(4, np.uint8)]
+    text = np.r_[np.uint8(0), data, np.zeros(4, np.uint8)]
+    first = (kind != 0) & (kind == 2)
+    first[1:] |= (kind[1:] != 0) & (kind[1:] != kind[:-1])
+    at = np.flatnonzero(first & (text == ord("'")))
+    at = at[kind[at + 1] == 1]
+    one, two = text[at + 1], text[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    longer = ~short & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    for own, size in ((at[short], 2), (at[longer], 3)):
+        first[own + 1] = False
+        after = own + size
+        first[after[kind[after] == 1]] = True
+    begin = np.flatnonzero(first)
+    over = (kind != 0) & np.r_[first[1:] | (kind[1:] == 0), True]
+    return begin - 1, np.flatnonzero(over)
 
 
 class _Words:
-    """Numbers of pieces of text; the ids of number ``k`` are ``pool[starts[k] : starts[k + 1]]``."""
+    """Numbers of pieces of text; the ids of number ``k`` are ``pool[starts[k] : starts[k + 1]]``.
+
+    Pieces are told apart by 64-bit hashes (two of a million agree with probability 3e-8), long ones
+    by themselves.
+    """
 
     def __init__(self, tokenizer: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
@@ -61,43 +97,66 @@ class _Words:
         vocabulary = self.encode.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.power, self.inverse = powers(SPAN + 1, _BASE)
         self.begin()
 
     def begin(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known, self.long = HashTable(KEPT_PIECES), {}
         self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.encode.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, many in one call: the id that ends a piece says so."""
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Encodes new pieces, many in one call: the id that ends a piece says so. Their numbers."""
         ids = [self.library(" ".join(pieces[i : i + 4000])) for i in range(0, len(pieces), 4000)]
         flat = np.concatenate(ids)
         ends = np.flatnonzero(self.last[flat]) + 1
         if len(ends) != len(pieces):
             raise ValueError("the tokenizer cuts words in another way")
-        self.number.update(zip(pieces, range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
+        numbers = len(self.starts) - 1 + np.arange(len(pieces))
         self.starts = np.concatenate([self.starts, len(self.pool) + ends])
         self.pool = np.concatenate([self.pool, flat])
+        return numbers
+
+    def numbers(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Begins of the pieces of lower-case plain text, and their numbers."""
+        data = np.frombuffer(text.encode("latin-1"), np.uint8)
+        begin, end = pieces_of(data)
+        if len(data) >= len(self.power):
+            self.power, self.inverse = powers(len(data) + 1, _BASE)
+        size = end - begin
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * self.power[: len(data)], dtype=np.uint64)])
+            hashes = mix64((total[end] - total[begin]) * self.inverse[begin] + size.astype(np.uint64))
+        hashes[hashes == 0] = 1
+        out = self.known.find(hashes)
+        longer = size > LONG_PIECE
+        new = np.flatnonzero((out < 0) & ~longer)
+        if len(new):
+            fresh, at, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            own = self.learn([text[begin[i] : end[i]] for i in new[at]])
+            self.known.add(fresh, own)
+            out[new] = own[back]
+        for i in np.flatnonzero(longer):
+            piece = text[begin[i] : end[i]]
+            if piece not in self.long:
+                self.long[piece] = int(self.learn([piece])[0])
+            out[i] = self.long[piece]
+        return begin, out
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
-        if len(self.number) > KEPT_PIECES:
+        if self.known.size + len(self.long) > KEPT_PIECES // 2:
             self.begin()
-        odd = {i: self.library(t) for i, t in enumerate(texts) if not _PLAIN.fullmatch(t) or (self.added and self.added.search(t))}
-        split = [[] if i in odd else _PIECE.findall(t.lower()) for i, t in enumerate(texts)]
-        pieces = list(chain.from_iterable(split))
-        flat = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(flat < 0)
-        if len(new):
-            unknown = [pieces[k] for k in new]
-            self.learn(list(dict.fromkeys(unknown)))
-            flat[new] = [self.number[p] for p in unknown]
+        odd = {i: self.library(t) for i, t in enumerate(texts) if not (t.isascii() or _PLAIN.fullmatch(t)) or (self.added and self.added.search(t))}
+        plain = ["" if i in odd else t for i, t in enumerate(texts)]
+        begin, flat = self.numbers(" ".join(plain).lower())
         size = self.starts[flat + 1] - self.starts[flat]
         ends = np.cumsum(size)
         ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - ends + size, size)]
-        upto = np.r_[0, ends][np.cumsum([len(own) for own in split], dtype=np.int64)]
+        pieces = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in plain]))
+        upto = np.r_[0, ends][pieces]
         sizes = np.diff(np.r_[0, upto])
         if odd:
             cut = np.split(ids, upto[:-1])
@@ -113,20 +172,23 @@ def _words(tokenizer: str, special: bool) -> _Words:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
-    """``__id, __hash, __ids``: each row's ids with the end id, as little-endian 32-bit numbers; no shuffle."""
+    """``__id, __hash, __low, __high``: each row's ids with the end id, as the little-endian 16-bit halves (``__high`` empty where it is all 0); no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _words(tokenizer, special)
         for batch in batches:
             texts = batch["__text"].tolist()
-            for i, j in spans_of([len(t) for t in texts], 2_000_000):
+            for i, j in spans_of([len(t) for t in texts], SPAN):
                 ids, sizes = words.ids(texts[i:j])
-                ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
-                cuts = np.r_[0, np.cumsum(sizes + 1)]
-                yield pd.DataFrame({"__id": batch["__id"].iloc[i:j].astype("Int64"), "__hash": batch["__hash"].iloc[i:j], "__ids": [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                low, high = (ids & np.uint32(0xFFFF)).astype("<u2").tobytes(), (ids >> np.uint32(16)).astype("<u2")
+                upto = (2 * np.cumsum(sizes + 1)).tolist()
+                cuts = list(zip([0, *upto], upto, strict=False))
+                halves = [high.tobytes()[a:b] for a, b in cuts] if high.any() else [b""] * (j - i)
+                yield pd.DataFrame({"__id": batch["__id"].iloc[i:j].astype("Int64"), "__hash": batch["__hash"].iloc[i:j], "__low": [low[a:b] for a, b in cuts], "__high": halves})
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
-    return rows.mapInPandas(run, "__id long, __hash long, __ids binary")
+    return rows.mapInPandas(run, "__id long, __hash long, __low binary, __high binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -169,8 +231,16 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 def encode_block(docs: np.ndarray, known: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
     width = lengths[ids].astype(np.int64)
     ends = np.cumsum(width)
-    bits = np.unpackbits(codes[ids].astype(">u4").view(np.uint8).reshape(-1, 4)[:, : 2 if lengths.max() <= 16 else 4], axis=1)
-    stream = np.packbits(bits[np.arange(bits.shape[1]) < width[:, None]])
+    # Codes are left-aligned; shifted to their place in two 32-bit words, whose bits never meet, they add up.
+    begin = ends - width
+    placed = codes[ids].astype(np.uint64) << np.uint64(32) >> (begin & 31).astype(np.uint64)
+    word = begin >> 5
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(ids) else np.zeros(0, np.int64)
+    pairs = np.add.reduceat(placed, first) if len(ids) else np.zeros(0, np.uint64)
+    stream = np.zeros(len(pairs) + 1, np.uint32)
+    stream[:-1] = pairs >> np.uint64(32)
+    stream[1:] |= (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    stream = stream.astype(">u4").view(np.uint8)[: -(-int(ends[-1]) // 8) if len(ids) else 0]
     head = np.array([len(docs), len(ids), EVERY], "<u4").tobytes()
     return b"".join([b"TKH1", head, docs.astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), sizes.astype("<u4").tobytes(), (ends - width)[::EVERY].astype("<u8").tobytes(), stream.tobytes()])
 
@@ -215,27 +285,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
         part, block, start, inside = -1, 0, 0, 0
         for batch in batches:
             known = batch["__id"].notna()
-            for own, doc, has, ids in zip(batch["__range"], batch["__id"].fillna(0), known, batch["__ids"], strict=True):
-                if held and (own != part or inside + len(ids) // 4 > BLOCK_IDS):
-                    yield raw(part, block, start, held)
+            for own, doc, has, low, high in zip(batch["__range"], batch["__id"].fillna(0), known, batch["__low"], batch["__high"], strict=True):
+                n = len(low) // 2
+                if held and (own != part or inside + n > BLOCK_IDS):
+                    yield raw(part, block, start, inside, held)
                     start, block, held, inside = start + inside, block + 1, [], 0
                 if own != part:
                     part, block, start = own, 0, 0
-                held.append((doc, has, ids))
-                inside += len(ids) // 4
+                held.append((doc, has, n, low, high))
+                inside += n
         if held:
-            yield raw(part, block, start, held)
+            yield raw(part, block, start, inside, held)
 
-    def raw(part: int, block: int, start: int, held: list[tuple]) -> pd.DataFrame:
-        ids = np.frombuffer(b"".join(x[2] for x in held), "<u4")
-        low, high = (ids & np.uint32(0xFFFF)).astype("<u2"), (ids >> np.uint32(16)).astype("<u2")
-        return pd.DataFrame([(part, block, start, len(ids), np.array([x[0] for x in held], "<i8").tobytes(), bytes(x[1] for x in held), np.array([len(x[2]) // 4 for x in held], "<u4").tobytes(), low.tobytes(), high.tobytes() if high.any() else b"")], columns=list(_RAW))
+    def raw(part: int, block: int, start: int, n: int, held: list[tuple]) -> pd.DataFrame:
+        docs, known, sizes, low, high = zip(*held, strict=True)
+        upper = b"".join(h or bytes(2 * k) for k, h in zip(sizes, high, strict=True)) if any(high) else b""
+        return pd.DataFrame([(part, block, start, n, np.array(docs, "<i8").tobytes(), bytes(known), np.array(sizes, "<u4").tobytes(), b"".join(low), upper)], columns=list(_RAW))
 
     # Ranges of the ids by their quantiles: a range partitioner would tokenize everything once more to draw its sample.
     n = parts(spark)
     bounds = id_bounds(docs, id_col, n)
     rows = tokenize(docs, tokenizer, end_id, id_col, text_col, special).withColumn("__range", range_of(F.col("__id"), bounds))
-    rows = rows.repartition(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_last(), "__hash").select("__range", "__id", "__ids")
+    rows = rows.repartition(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_last(), "__hash").select("__range", "__id", "__low", "__high")
     blocks = written(rows.mapInPandas(cut, ", ".join(f"{k} {v}" for k, v in _RAW.items())), "tokens")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
