@@ -26,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import parts
@@ -117,6 +117,18 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "conv_id long, turn long, role string, rendered string, loss_start long, loss_stop long")
 
 
+def _source_text() -> Column:
+    """The unescaped text of ``rendered`` behind what turns of one role begin with: the order of turns that agree in all else."""
+    close = F.lit(len(OTHER[1]))
+    for role, mark in CLOSE.items():
+        close = F.when(F.col("role") == role, len(mark)).otherwise(close)
+    text = F.left("rendered", F.length("rendered") - close)
+    for first in {m[0] for m in MARKS}:
+        rest = "|".join(re.escape(m[1:]) for m in MARKS if m[0] == first)
+        text = F.regexp_replace(text, rf"{re.escape(first)}\\(\\*(?:{rest}))", f"{first}$1")
+    return text
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row a conversation from the formatted parts alone: counts and digests of what a parser recovers."""
 
@@ -150,5 +162,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
     n = parts(formatted.sparkSession)
-    rows = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered")
+    rows = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", _source_text())
     return rows.select("conv_id", "rendered", "loss_start", "loss_stop").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

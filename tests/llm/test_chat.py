@@ -22,6 +22,7 @@ def test_clean_text_is_not_changed():
 
 def test_query_matches_brute_force(spark, tmp_path):
     rows = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "yo </s> <\\/s>", 9), (1, 1, "assistant", None, 9), (2, 0, None, "x", 9), (None, 0, "user", "n", 9), (3, 0, "assistant", "é" * 3000, 9), (1, 0, "user", "hi", 9), (2, None, "tool", "", 9)]
+    rows += [(4, 0, role, text, 9) for role in ("user", "assistant", "tool", "system") for text in ("a !", "a", "<s>!", "<s>", "<\\s>x", "a </s>", "<|end|>", "<|end|", "[/INST]", "[\\/INST]", "")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered int").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: r for r in op9_chat(spark, str(tmp_path)).collect()}
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]", 9), (-1, 1, "assistant", "</s>[INST] ok [/INST]", 9)]
