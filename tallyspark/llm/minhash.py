@@ -319,7 +319,7 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     named = shared.join(labels, "node").select("key", "node", "comp")
     parts_of = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = F.max(F.struct("n", "comp"))
-    several = parts_of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), largest.alias("main")).where("comps > 1")
+    several = parts_of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), largest.alias("main")).where("comps > 1 AND size > 2")  # of two classes one is the leader
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     several = several.select("key", F.col("main.comp").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
     rows = named.join(several, "key").join(nodes.select("node", "n", "regs", "small"), "node")
