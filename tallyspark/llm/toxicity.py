@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ THRESHOLD = 0.7
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Characters that a task works on at a time.
 CHARS = 800_000
+#: Words whose features a worker remembers.
+WORDS = 200_000
 LONG, PIECE, SHARED = 60, 12, 8
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _GRAMS = (3, 4, 5, 6)
@@ -128,7 +131,7 @@ def windows(lengths: list[int]) -> list[tuple[int, int, int]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
 class Network:
@@ -140,37 +143,55 @@ class Network:
         self.p = {f"{k}{d}": rng.normal(0, 0.3, s).astype(np.float32) for d in "fb" for k, s in (("W", (FEATURES, 3 * h)), ("U", (h, 3 * h)), ("b", (3 * h,)))}
         self.p |= {"A": rng.normal(0, 0.3, (2 * h, POOL)).astype(np.float32), "a": rng.normal(0, 0.3, POOL).astype(np.float32), "o": rng.normal(0, 0.3, 2 * h).astype(np.float32), "o0": np.zeros(1, np.float32)}
 
-    def _gru(self, d: str, table: np.ndarray, codes: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-        """States [windows, steps, h]; a masked step leaves the state as it is. ``table``: inputs already projected, by code."""
+    def project(self, features: np.ndarray) -> dict[str, np.ndarray]:
+        """What each word gives to the gates of either direction."""
+        return {d: features @ self.p[f"W{d}"] + self.p[f"b{d}"] for d in "fb"}
+
+    def _gru(self, d: str, table: np.ndarray, codes: np.ndarray, mask: np.ndarray | None, states: np.ndarray, keep: list | None) -> None:
+        """Fills ``states`` [steps, windows, h]; a masked step leaves the state as it is. ``table``: projected inputs by code."""
         h, u = HIDDEN, self.p[f"U{d}"]
-        n, steps = codes.shape
-        states = np.zeros((n, steps, h), np.float32)
+        gates, candidate = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+        steps, n = codes.shape
         s = np.zeros((n, h), np.float32)
+        x = np.empty((n, 3 * h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x, m = table[codes[:, t]], mask[:, t, None]
-            zr = _sigmoid(x[:, : 2 * h] + s @ u[:, : 2 * h])
+            np.take(table, codes[t], axis=0, out=x, mode="clip")
+            zr = s @ gates
+            zr += x[:, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
             z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(x[:, 2 * h :] + (r * s) @ u[:, 2 * h :])
-            new = s + m * z * (c - s)
+            c = (r * s) @ candidate
+            c += x[:, 2 * h :]
+            np.tanh(c, out=c)
+            step = c - s
+            step *= z
+            if mask is not None:
+                step *= mask[t][:, None]
             if keep is not None:
                 keep.append((t, s, z, r, c))
-            s = states[:, t] = new
-        return states
+            s = s + step
+            states[t] = s
 
-    def forward(self, features: np.ndarray, codes: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows; ``features`` by code, the last row is for padding."""
-        p, states = self.p, []
-        for d in "fb":
+    def forward(self, projected: dict[str, np.ndarray], codes: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Logits of windows (rows of ``codes``); ``projected`` by code, the last row is for padding. Inside, steps come before windows."""
+        p, h = self.p, HIDDEN
+        codes, mask = np.ascontiguousarray(codes.T), np.ascontiguousarray(mask.T)
+        some = None if mask.all() else mask
+        both = np.empty((*codes.shape, 2 * h), np.float32)
+        for d, at in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             steps = [] if keep is not None else None
-            states.append(self._gru(d, features @ p[f"W{d}"] + p[f"b{d}"], codes, mask, steps))
+            self._gru(d, projected[d], codes, some, both[:, :, at], steps)
             if keep is not None:
                 keep[d] = steps
-        both = np.concatenate(states, axis=2)
         hid = np.tanh(both @ p["A"])
-        weight = np.exp(np.clip(hid @ p["a"], -30, 30)) * mask
-        total = weight.sum(axis=1, keepdims=True) + 1e-6
-        share = weight / total
-        pooled = (both * share[:, :, None]).sum(axis=1)
+        weight = np.exp(np.clip(hid @ p["a"], -30, 30))
+        if some is not None:
+            weight *= mask
+        share = weight / (weight.sum(axis=0) + 1e-6)
+        pooled = np.einsum("tn,tnh->nh", share, both)
         if keep is not None:
             keep |= {"both": both, "hid": hid, "share": share, "pooled": pooled}
         return pooled @ p["o"] + p["o0"][0]
@@ -180,18 +201,18 @@ class Network:
         g = {"o": keep["pooled"].T @ slope, "o0": slope.sum(keepdims=True)}
         pooled = slope[:, None] * p["o"]
         both, share, hid = keep["both"], keep["share"], keep["hid"]
-        along = (both * pooled[:, None]).sum(axis=2)
-        score = share * (along - (share * along).sum(axis=1, keepdims=True))
-        g["a"] = np.einsum("nt,ntk->k", score, hid)
+        along = (both * pooled).sum(axis=2)
+        score = share * (along - (share * along).sum(axis=0))
+        g["a"] = np.einsum("tn,tnk->k", score, hid)
         inner = score[:, :, None] * p["a"] * (1 - hid**2)
-        g["A"] = np.einsum("nth,ntk->hk", both, inner)
-        states = share[:, :, None] * pooled[:, None] + inner @ p["A"].T
+        g["A"] = both.reshape(-1, 2 * h).T @ inner.reshape(-1, POOL)
+        states = share[:, :, None] * pooled + inner @ p["A"].T
         for d, at in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             u = p[f"U{d}"]
             gw, gu, gb = np.zeros_like(p[f"W{d}"]), np.zeros_like(u), np.zeros(3 * h, np.float32)
             later = np.zeros((len(codes), h), np.float32)
             for t, s, z, r, c in reversed(keep[d]):
-                later = later + states[:, t, at]
+                later = later + states[t, :, at]
                 m = mask[:, t, None]
                 dz, dc = later * m * (c - s) * z * (1 - z), later * m * z * (1 - c**2)
                 reset = dc @ u[:, 2 * h :].T
@@ -207,9 +228,33 @@ class Network:
         return g
 
 
-def _coded(texts: list[list[str]], tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Remembered:
+    """Features of the words that a worker has met, at most ``WORDS`` at a time."""
+
+    def __init__(self, tables: Tables) -> None:
+        self.tables = tables
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, FEATURES), np.float32)
+
+    def features(self, vocabulary: list[str]) -> np.ndarray:
+        if len(self.place) > WORDS:
+            self.forget()
+        at = np.fromiter(map(self.place.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [vocabulary[i] for i in new]
+            at[new] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.rows = np.concatenate([self.rows, self.tables.features(fresh)])
+            self.place.update(zip(fresh, at[new].tolist(), strict=True))
+        return self.rows[at]
+
+
+def _coded(texts: list[list[str]], tables: Tables | Remembered) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features by code, then each window's codes, mask and document."""
-    flat = [w for t in texts for w in t]
+    flat = list(chain.from_iterable(texts))
     code, vocabulary = pd.factorize(np.array(flat, dtype=object))
     features = np.concatenate([tables.features(list(vocabulary)), np.zeros((1, FEATURES), np.float32)])
     base = np.cumsum([0, *map(len, texts)])
@@ -225,18 +270,21 @@ def _coded(texts: list[list[str]], tables: Tables) -> tuple[np.ndarray, np.ndarr
 class Model:
     tables: Tables
     network: Network
+    remembered: Remembered | None = None
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        self.remembered = self.remembered or Remembered(self.tables)
         best = np.full(len(texts), -np.inf)
         for i, j in spans_of([len(t or "") + 6 * WINDOW for t in texts], CHARS):
-            features, codes, mask, doc = _coded([words_of(t) for t in texts[i:j]], self.tables)
+            features, codes, mask, doc = _coded([words_of(t) for t in texts[i:j]], self.remembered)
+            projected = self.network.project(features)
             logits = np.zeros(len(doc))
             size = mask.sum(axis=1)
             order = np.argsort(size, kind="stable")  # short windows with short windows: no steps for padding only
             for k in range(0, len(order), 1024):
                 own = order[k : k + 1024]
                 steps = max(1, int(size[own[-1]]))
-                logits[own] = self.network.forward(features, codes[own, :steps], mask[own, :steps])
+                logits[own] = self.network.forward(projected, codes[own, :steps], mask[own, :steps])
             np.maximum.at(best, doc + i, logits)
         return _sigmoid(best)
 
@@ -263,7 +311,8 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     rounds = max(EPOCHS, min(30, 30_000 // len(words)))
     for _ in range(rounds):
         for own, (features, codes, mask, doc) in parts:
-            logits = np.concatenate([network.forward(features, codes[i : i + 2048], mask[i : i + 2048]) for i in range(0, len(codes), 2048)])
+            projected = network.project(features)
+            logits = np.concatenate([network.forward(projected, codes[i : i + 2048], mask[i : i + 2048]) for i in range(0, len(codes), 2048)])
             order = np.lexsort((-logits, doc))
             top = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]  # each document's most toxic window
             y = label[own].astype(np.float32)
@@ -271,7 +320,7 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
             for idx in np.array_split(rng.permutation(len(own)), max(1, len(own) // BATCH)):
                 keep: dict = {}
                 w = top[idx]
-                out = _sigmoid(network.forward(features, codes[w], mask[w], keep))
+                out = _sigmoid(network.forward(network.project(features), codes[w], mask[w], keep))
                 slope = ((out - y[idx]) * weight[idx] / len(idx)).astype(np.float32)
                 tick += 1
                 for k, g in network.backward(features, codes[w], mask[w], keep, slope).items():

@@ -28,16 +28,16 @@ def test_gradients_match_differences():
     mask = (np.arange(7) < np.array([7, 4, 0])[:, None]).astype(np.float64)
     slope = rng.normal(size=3)
     keep = {}
-    net.forward(features, codes, mask, keep)
+    net.forward(net.project(features), codes, mask, keep)
     grads = net.backward(features, codes, mask, keep, slope)
     for k, g in grads.items():
         for _ in range(3):
             at = tuple(rng.integers(0, s) for s in net.p[k].shape)
             old, d = net.p[k][at], 1e-4
             net.p[k][at] = old + d
-            up = net.forward(features, codes, mask) @ slope
+            up = net.forward(net.project(features), codes, mask) @ slope
             net.p[k][at] = old - d
-            down = net.forward(features, codes, mask) @ slope
+            down = net.forward(net.project(features), codes, mask) @ slope
             net.p[k][at] = old
             assert abs((up - down) / (2 * d) - g[at]) < 2e-3 * max(1, abs(g[at])), k
 
