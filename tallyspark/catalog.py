@@ -17,7 +17,7 @@ from tallyspark.functions import amounts, names, quality, units
 from tallyspark.operators import cells, edits, grid, labels, pages, reconcile, registry, summary, winners
 from tallyspark.plans import exports
 from tallyspark.sources import filings
-from tallyspark.streaming.ingest import ingest_new
+from tallyspark.streaming.ingest import ingest_new, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,7 +120,7 @@ def order_checks(spark, sf):
     return reconcile.reconcile(rows, ["o_orderkey", "o_custkey"], "o_totalprice", ["lines"], units.scale_hint(F.col("top")))
 
 
-@query(f"WITH {_SUMS} SELECT o_orderkey, expected, actual, difference, status, CASE status WHEN 'ERROR' THEN 'high' WHEN 'WARNING' THEN 'medium' ELSE 'info' END AS severity FROM c")
+@query(f"WITH {_SUMS} SELECT o_orderkey, expected, actual, difference, status, CASE WHEN status = 'VALID' THEN 'INFO' ELSE status END AS severity FROM c")
 def reconcile_orders(spark, sf):
     return order_checks(spark, sf).withColumn("difference", F.round("difference", 2)).drop("o_custkey")
 
@@ -155,17 +155,79 @@ def wide_rows(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.sum(price).cast("double").alias("total_assets"), of(a).alias("total_liabilities"), of(~a).alias("total_equity"), of(f).alias("current_assets"), of(o & (F.col("l_discount") > 0.02)).alias("non_current_assets"))
 
 
-_COMPARE = "CASE WHEN abs({a} - {e}) <= 1000 OR abs({a} - {e}) / greatest(abs({e}), 1.0) <= 0.001 THEN 'VALID' WHEN abs({a} - {e}) / greatest(abs({e}), 1.0) <= 0.01 THEN 'WARNING' ELSE 'ERROR' END"
+_COMPARE = "CASE WHEN abs({a} - {e}) <= 1000 * scale OR abs({a} - {e}) / greatest(abs({e}), 1.0) <= 0.001 THEN 'VALID' WHEN abs({a} - {e}) / greatest(abs({e}), 1.0) <= 0.01 THEN 'WARNING' ELSE 'ERROR' END"
+#: The figures of a filing made from an order of key k and size b: statement, field, share of b, and when it is there.
+FIGURES = (
+    ("balance_sheet", "total_assets", "b", "k % 13 > 0"), ("balance_sheet", "total_liabilities", "b * 0.6", "k % 11 > 0"),
+    ("balance_sheet", "total_equity", "b * CASE k % 7 WHEN 1 THEN 0.405 WHEN 2 THEN 0.5 ELSE 0.4 END", "k % 7 > 0"), ("balance_sheet", "current_assets", "b * 0.3", "k % 5 > 0"),
+    ("balance_sheet", "non_current_assets", "b * 0.7", "TRUE"), ("balance_sheet", "current_liabilities", "b * 0.25", "k % 3 > 0"), ("balance_sheet", "non_current_liabilities", "b * 0.35", "TRUE"),
+    ("balance_sheet", "cash_and_cash_equivalents", "b * 0.25", "k % 6 <> 1"), ("income_statement", "sales", "b * 2.0", "k % 4 = 0"), ("income_statement", "sales_and_revenue", "b * 2.0", "k % 4 = 1"),
+    ("income_statement", "cost_of_revenue", "b * CASE k % 2 WHEN 0 THEN -1.5 ELSE 1.5 END", "k % 6 > 0"), ("income_statement", "gross_profit", "b * CASE k % 9 WHEN 0 THEN 0.6 ELSE 0.5 END", "k % 5 <> 1"),
+    ("cash_flow", "beginning_cash_balance", "b * 0.1", "k % 8 > 0"), ("cash_flow", "ending_cash_balance", "b * CASE k % 10 WHEN 0 THEN 0.375 ELSE 0.25 END", "TRUE"), ("cash_flow", "cash_flow_operating", "b * 0.2", "TRUE"),
+    ("cash_flow", "cash_flow_investing", "b * -0.1", "TRUE"), ("cash_flow", "cash_flow_financing", "b * 0.05", "k % 2 = 0"), ("cash_flow", "net_change_in_cash", "b * 0.15", "k % 3 = 0"),
+    ("equity", "treasury_shares_carrying_value", "b * CASE k % 2 WHEN 0 THEN 0.01 ELSE -0.01 END", "k % 12 < 2"),
+)
+_BASE = "SELECT o_orderkey AS k, o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 100000.0 ELSE 1000000000.0 END AS b FROM orders"
+
+
+def filing_values(spark, sf):
+    """``document_id, statement, field, normalized_value`` of filings made from the orders; one in seventeen has no figures."""
+    n = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(n.alias("k"), (F.col("o_totalprice") * F.when(n % 3 == 0, 1.0).when(n % 3 == 1, 1e5).otherwise(1e9)).alias("b"))
+    made = [F.struct(F.lit(s).alias("statement"), F.lit(f).alias("field"), F.expr(f"CASE WHEN k % 17 > 0 AND {there} THEN CAST({value} AS DOUBLE) END").alias("normalized_value")) for s, f, value, there in FIGURES]
+    return rows.select(F.col("k").alias("document_id"), F.inline(F.array(*made)))
+
+
+def _missing(*fields: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in fields) + ")"
+
+
+def _rows(name: str, expected: str, actual: str, where: str, missing: str = "''", na_where: str = "FALSE") -> str:
+    status = _COMPARE.format(e=f"({expected})", a=f"({actual})")
+    return f"""SELECT k, '{name}' AS name, CASE WHEN {where} THEN {status} ELSE 'NOT_APPLICABLE' END AS status, CASE WHEN {where} THEN round(({actual}) - ({expected}), -2) + 0.0E0 END AS difference,
+        CASE WHEN {where} THEN '' ELSE {missing} END AS missing FROM w WHERE ({where}) OR ({na_where})"""
+
+
+_HAS = {s: "(" + " OR ".join(f"{f} IS NOT NULL" for t, f, _, _ in FIGURES if t == s) + ")" for s in ("balance_sheet", "income_statement", "cash_flow")}
+_TOP = "coalesce(sales, sales_and_revenue)"
+_ENDS = "beginning_cash_balance IS NOT NULL AND ending_cash_balance IS NOT NULL"
+_FLOWS = "beginning_cash_balance + cash_flow_operating + cash_flow_investing + cash_flow_financing"
+_CHECK_ROWS = " UNION ALL ".join([
+    _rows("assets_equals_liabilities_plus_equity", "total_assets", "total_liabilities + total_equity", "total_assets + total_liabilities + total_equity IS NOT NULL", _missing("total_liabilities", "total_equity"), "total_assets IS NOT NULL"),
+    _rows("assets_split", "total_assets", "current_assets + non_current_assets", "total_assets + current_assets + non_current_assets IS NOT NULL", _missing("total_assets", "current_assets", "non_current_assets"), _HAS["balance_sheet"]),
+    _rows("liabilities_split", "total_liabilities", "current_liabilities + non_current_liabilities", "total_liabilities + current_liabilities + non_current_liabilities IS NOT NULL", _missing("total_liabilities", "current_liabilities", "non_current_liabilities"), _HAS["balance_sheet"]),
+    _rows("gross_profit_identity", f"{_TOP} - abs(cost_of_revenue)", "gross_profit", f"{_TOP} + cost_of_revenue + gross_profit IS NOT NULL", f"concat_ws(',', CASE WHEN {_TOP} IS NULL THEN 'sales,sales_and_revenue' END, CASE WHEN cost_of_revenue IS NULL THEN 'cost_of_revenue' END, CASE WHEN gross_profit IS NULL THEN 'gross_profit' END)", _HAS["income_statement"]),
+    _rows("cash_flow_reconciliation", "ending_cash_balance", _FLOWS, f"{_FLOWS} + ending_cash_balance IS NOT NULL", "'net_change_in_cash'", f"{_ENDS} AND net_change_in_cash IS NULL"),
+    _rows("cash_change_reconciliation", "ending_cash_balance", "beginning_cash_balance + net_change_in_cash", f"{_FLOWS} IS NULL AND {_ENDS} AND net_change_in_cash IS NOT NULL"),
+    _rows("cash_matches_balance_sheet", "ending_cash_balance", "cash_and_cash_equivalents", "ending_cash_balance + cash_and_cash_equivalents IS NOT NULL"),
+    "SELECT k, 'treasury_shares_positive_value', 'WARNING', NULL, '' FROM w WHERE treasury_shares_carrying_value > 0",
+    "SELECT k, 'no_checks_possible', 'NOT_APPLICABLE', NULL, '' FROM w WHERE k % 17 = 0",
+])
+_SIZES = ", ".join(f"abs({f})" for _, f, _, _ in FIGURES)
+CHECKS_SQL = f"""b AS ({_BASE}), v AS (SELECT k, {", ".join(f"CASE WHEN k % 17 > 0 AND {there} THEN CAST({value} AS DOUBLE) END AS {f}" for _, f, value, there in FIGURES)} FROM b),
+    w AS (SELECT *, CASE WHEN greatest({_SIZES}) >= 1e12 THEN 1e6 WHEN greatest({_SIZES}) >= 1e9 THEN 1e3 ELSE 1.0 END AS scale FROM v), checks AS ({_CHECK_ROWS})"""
+
+
+def filing_checks(spark, sf):
+    return reconcile.identity_checks(filing_values(spark, sf), ["document_id"])
+
+
+@query(f"""WITH {CHECKS_SQL} SELECT k AS document_id, name, status, difference, missing, CASE WHEN status IN ('ERROR', 'WARNING') THEN status ELSE 'INFO' END AS severity,
+    CASE WHEN name = 'treasury_shares_positive_value' THEN 'low_confidence' WHEN name = 'no_checks_possible' THEN 'incomplete_statement' WHEN status = 'NOT_APPLICABLE' THEN 'missing_fields' WHEN status = 'WARNING' THEN 'rounding_difference' ELSE 'accounting_mismatch' END AS category FROM checks""")
+def identity_checks(spark, sf):
+    missing = F.coalesce(F.array_join("evidence.missing_fields", ","), F.lit(""))
+    return filing_checks(spark, sf).select("document_id", "name", "status", (F.round("difference", -2) + 0.0).alias("difference"), missing.alias("missing"), "severity", "category")
 
 
-@query(f"""WITH {_WIDE}
-    SELECT document_id, 'assets_equal_liabilities_plus_equity' AS name, CASE WHEN total_liabilities + total_equity IS NOT NULL THEN {_COMPARE.format(e='total_assets', a='(total_liabilities + total_equity)')} ELSE 'NOT_APPLICABLE' END AS status,
-        CASE WHEN total_liabilities + total_equity IS NULL THEN concat_ws(',', CASE WHEN total_liabilities IS NULL THEN 'total_liabilities' END, CASE WHEN total_equity IS NULL THEN 'total_equity' END) ELSE '' END AS missing FROM w
-    UNION ALL SELECT document_id, 'assets_split', CASE WHEN current_assets + non_current_assets IS NOT NULL THEN {_COMPARE.format(e='total_assets', a='(current_assets + non_current_assets)')} ELSE 'NOT_APPLICABLE' END,
-        CASE WHEN current_assets + non_current_assets IS NULL THEN concat_ws(',', CASE WHEN current_assets IS NULL THEN 'current_assets' END, CASE WHEN non_current_assets IS NULL THEN 'non_current_assets' END) ELSE '' END FROM w
-    UNION ALL SELECT document_id, 'liabilities_split', 'NOT_APPLICABLE', concat_ws(',', CASE WHEN total_liabilities IS NULL THEN 'total_liabilities' END, 'current_liabilities', 'non_current_liabilities') FROM w""")
-def identity_checks(spark, sf):
-    return reconcile.identity_checks(wide_rows(spark, sf), ["document_id"]).select("document_id", "name", "status", F.array_join("missing", ",").alias("missing"))
+@query(f"""WITH {CHECKS_SQL} SELECT CASE WHEN name LIKE '%gross_profit%' THEN 'Income Statement' WHEN name LIKE '%cash%' THEN 'Cash Flow' WHEN name LIKE '%treasury%' THEN 'Equity' WHEN name = 'no_checks_possible' THEN 'Document' ELSE 'Balance Sheet' END AS statement,
+    status, count(*) AS n FROM checks GROUP BY ALL""")
+def statement_histogram(spark, sf):
+    return summary.statement_histogram(filing_checks(spark, sf).withColumnRenamed("name", "check_name"))
+
+
+@query(f"""WITH {CHECKS_SQL} SELECT k AS document_id, count(*) FILTER (status = 'ERROR') AS errors, count(*) FILTER (status = 'VALID') AS valid, count(*) FILTER (status = 'NOT_APPLICABLE') AS not_applicable FROM checks GROUP BY 1""")
+def document_shares(spark, sf):
+    return summary.document_shares(filing_checks(spark, sf))
 
 
 @query(f"""WITH {_WIDE} SELECT document_id, round(total_liabilities / coalesce(total_assets, total_equity), 6) AS total_liabilities_share, round(total_equity / coalesce(total_assets, total_equity), 6) AS total_equity_share,
@@ -174,9 +236,9 @@ def identity_checks(spark, sf):
 def equity_composition(spark, sf):
     wide = wide_rows(spark, sf)
     parts = ["total_liabilities", "total_equity"]
-    shares = summary.equity_shares(wide, ["document_id"], parts, ["total_assets", "total_equity"])
-    bars = summary.balance_bars(wide, ["document_id"], "total_assets", *parts)
-    return shares.join(bars, "document_id").select("document_id", *[F.round(f"{p}_share", 6).alias(f"{p}_share") for p in parts], *[F.round(p, 4).alias(p) for p in ("liabilities_pct", "equity_pct")], "balanced")
+    shares = summary.equity_shares(wide, ["document_id", *parts, "total_assets"], parts, ["total_assets", "total_equity"])
+    bars = summary.balance_bars(shares, ["document_id", *[f"{p}_share" for p in parts]], "total_assets", *parts)
+    return bars.select("document_id", *[F.round(f"{p}_share", 6).alias(f"{p}_share") for p in parts], *[F.round(p, 4).alias(p) for p in ("liabilities_pct", "equity_pct")], "balanced")
 
 
 @query("SELECT l_suppkey, CASE WHEN max(abs(l_extendedprice)) >= 1e12 THEN 1e6 WHEN max(abs(l_extendedprice)) >= 1e9 THEN 1e3 ELSE 1.0 END::DOUBLE AS scale, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1")
@@ -347,7 +409,7 @@ def text_number_mode(spark, sf):
 
 
 @query("""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<head\\b.*?</head>', '', 'g') AS h FROM pages),
-    l AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '(?i)</(?:li|a)>|<br\\s*/?>|</p>|</div>|</tr>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10)) AS a FROM b),
+    l AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '(?i)</(?:li|a)>|<br\\s*/?>|</p>|</div>|</tr>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&reg;', '®'), '&ndash;', '–'), '&mdash;', '—'), '&hellip;', '…'), '&amp;', '&'), chr(10)) AS a FROM b),
     s AS (SELECT page_id, list_filter(list_transform(a, lambda x: trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM l)
     SELECT page_id, len(lines) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha256 FROM s""")
 def html_visible_lines(spark, sf):
@@ -477,14 +539,7 @@ def fragment_merge(spark, sf):
 @query("SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, CAST(sum(event_id) AS BIGINT) AS total, 0 AS again FROM events")
 def incremental_ingest(spark, sf):
     """All events by a stream, then a second run with the same checkpoint, which finds none."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    import uuid
-
-    folder = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = shared_dir(spark, "ingest")
     schema = table(spark, sf, "events").schema
     for run in ("first", "again"):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{run}/batch=-1")
@@ -496,9 +551,18 @@ def incremental_ingest(spark, sf):
 
 @query("""SELECT event_id, 'balance_sheet' AS statement, event_type AS label, value AS number, 2020 AS year FROM events WHERE event_id % 5 > 0 UNION ALL SELECT event_id, 'equity', event_type, -value, 2021 FROM events WHERE event_id % 5 > 0""")
 def external_observations(spark, sf):
-    """Replies around JSON built from the events; every fifth is cut off and parses to nothing."""
+    """Replies around JSON built from the events; every fifth is cut off and goes to the rejects."""
+    found, _ = filings.external_observations(event_replies(spark, sf), "reply", ["event_id"])
+    return found.select("event_id", "statement", "label", F.col("value").cast("double").alias("number"), "year")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 = 0")
+def rejected_replies(spark, sf):
+    return filings.external_observations(event_replies(spark, sf), "reply", ["event_id"])[1].select("event_id")
+
+
+def event_replies(spark, sf):
     item = lambda sign, year: F.array(F.struct(F.lit("cash").alias("field"), F.col("event_type").alias("label"), (F.col("value") * sign).cast("string").alias("value"), F.lit(year).alias("year")))
     body = F.to_json(F.struct(item(1, 2020).alias("balance_sheet"), item(-1, 2021).alias("equity")))
     reply = F.when(F.col("event_id") % 5 == 0, F.lit('```json {"balance_sheet": [')).otherwise(F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")))
-    rows = table(spark, sf, "events").select("event_id", reply.alias("reply"))
-    return filings.external_observations(rows, "reply", ["event_id"]).select("event_id", "statement", "label", F.col("value").cast("double").alias("number"), "year")
+    return table(spark, sf, "events").select("event_id", reply.alias("reply"))

@@ -36,10 +36,43 @@ def year_in(text: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
-def field_title(field: Column) -> Column:
-    return F.initcap(F.replace(field, F.lit("_"), F.lit(" ")))
+#: What names a fiscal year in a text, in order.
+YEAR_PHRASES = (
+    r"(?:Tahun\s+Buku|Fiscal\s+Year|Year\s+Ended|Year\s+then\s+Ended)\s*:?\s*(20[0-2]\d)",
+    r"(?:31|30)\s+(?:Desember|December)\s+(20[0-2]\d)",
+    r"(?:Desember|December)\s+(?:31|30),?\s+(20[0-2]\d)",
+    r"Laporan\s+(?:Keuangan|Tahunan)\s+(20[0-2]\d)",
+)
 
 
-def section_amount_years(reporting: Column, headers: Column, filename: Column) -> Column:
+def year_in_text(text: Column, within: int = 5000) -> Column:
+    """The first phrase that names a year, else the most frequent year from 2005 on (of equals the smallest)."""
+    head = F.substring(text, 1, within)
+    named = [F.nullif(F.regexp_extract(head, f"(?iU){p}", 1), F.lit("")).cast("int") for p in YEAR_PHRASES]
+    years = F.filter(F.transform(F.regexp_extract_all(head, F.lit(r"(20[0-2]\d)"), F.lit(1)), lambda y: y.cast("int")), lambda y: y >= 2005)
+    counted = F.transform(F.array_distinct(years), lambda y: F.struct((-F.size(F.filter(years, lambda z: z == y))).alias("n"), y.alias("y")))
+    return F.coalesce(*named, F.array_min(counted)["y"])
+
+
+def field_title(field: Column, titles: dict[str, str] | None = None) -> Column:
+    """The given title, else the name with spaces and one capital."""
+    plain = F.replace(field, F.lit("_"), F.lit(" "))
+    plain = F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substr(plain, F.lit(2))))
+    if not titles:
+        return plain
+    known = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, field), plain)
+
+
+def signed(value: Column) -> Column:
+    """Accounting form: two places, negatives in parentheses; null stays null."""
+    return F.when(value < 0, F.concat(F.lit("("), F.format_number(-value, 2), F.lit(")"))).otherwise(F.format_number(value, 2))
+
+
+def tax_direction(paid: Column) -> Column:
+    return F.when(paid < 0, "paid").when(paid > 0, "refund")
+
+
+def value_year(reporting: Column, headers: Column, filename: Column) -> Column:
     """The year of a value without its own: the filing's, else the latest header's, else the file name's."""
     return F.coalesce(reporting, F.array_max(headers), year_in(filename))

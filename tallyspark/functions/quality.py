@@ -41,8 +41,17 @@ def value_status(implausible: Column, confidence: Column, review_below: float =
     return F.when(implausible, "IMPLAUSIBLE").when(confidence < review_below, "REVIEW_REQUIRED").otherwise("OK")
 
 
-def page_confidence(on_statement_page: Column, has_years: Column) -> Column:
-    return F.when(on_statement_page & has_years, 1.0).when(on_statement_page | has_years, 0.9).otherwise(0.75)
+#: Sections of primary statements; others (notes, comprehensive income) rank as none.
+STATEMENT_PAGES = ("balance_sheet", "income_statement", "cash_flow", "equity")
+
+
+def on_statement_page(section: Column) -> Column:
+    return F.coalesce(section.isin(*STATEMENT_PAGES), F.lit(False))
+
+
+def page_confidence(section: Column, year_from_header: Column) -> Column:
+    """1.0 on a primary statement's page, 0.9 for a year from a header elsewhere, else 0.75."""
+    return F.when(on_statement_page(section), 1.0).when(year_from_header, 0.9).otherwise(0.75)
 
 
 def year_is_plausible(year: Column, anchor: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unit words with their name and multiplier, largest first; currency words.
+#: Unit words with their name and multiplier, largest first; currency words; what introduces a unit, states base units or a page's own.
 UNITS = (
     (r"\btriliun(?:an)?\b|\btrillions?\b", "triliun", 1_000_000_000_000),
     (r"\bmiliar(?:an)?\b|\bbillions?\b", "miliar", 1_000_000_000),
@@ -56,6 +56,14 @@ def page_unit(text: Column) -> Column:
     return F.coalesce(F.array_max(scaled)["multiplier"], F.lit(1).cast("long"))
 
 
+def unit_name(multiplier: Column) -> Column:
+    """The name of a multiplier, null for 1."""
+    out = F.lit(None).cast("string")
+    for _, name, size in UNITS:
+        out = F.when(multiplier == size, name).otherwise(out)
+    return out
+
+
 def page_magnitudes(text: Column) -> Column:
     """The page's figures of 100 and more, without separators."""
     digits = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9][0-9.,]*"), F.lit(0)), lambda m: F.translate(m, ".,", "").try_cast("double"))

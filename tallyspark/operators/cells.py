@@ -32,20 +32,14 @@ def split_rows(rows: DataFrame, cells: str = "cells") -> DataFrame:
     """Adds ``label`` and ``values`` of rows of cells; rows without either or with a prose label are left out.
 
     The first value cell begins the values; years alone and other cells with digits belong to the
-    label. From there on all cells count that have a digit. One fold over the cells.
+    label. From there on all cells count that have a digit.
     """
-    texts = lambda c: F.array(c).cast("array<string>")
-    state = lambda label, values: F.struct(label.alias("label"), values.alias("values"))
-    none = F.array().cast("array<string>")
-
-    def step(s: Column, cell: Column) -> Column:
-        begins = (F.size(s["values"]) > 0) | (~cell.rlike(YEAR) & is_value_cell(cell))
-        return F.when(cell == "", s).when(begins, state(s["label"], F.when(cell.rlike("[0-9]"), F.concat(s["values"], texts(cell))).otherwise(s["values"]))).otherwise(state(F.concat(s["label"], texts(cell)), s["values"]))
-
     plain = F.transform(cells, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
-    out = rows.withColumn("__s", F.aggregate(plain, state(none, none), step))
-    out = out.withColumn("label", F.array_join("__s.label", " ")).withColumn("values", F.col("__s.values")).drop("__s")
-    return out.where((F.size("values") > 0) & (F.col("label") != "") & ~is_prose(F.col("label")))
+    out = rows.withColumn("__c", plain)
+    out = out.withColumn("__at", F.array_position(F.transform("__c", lambda c: (c != "") & ~c.rlike(YEAR) & is_value_cell(c)), True)).where("__at > 0")
+    out = out.withColumn("label", F.array_join(F.filter(F.slice("__c", F.lit(1), F.greatest(F.col("__at").cast("int") - 1, F.lit(0))), lambda c: c != ""), " "))
+    out = out.where((F.col("label") != "") & ~is_prose(F.col("label")))
+    return out.withColumn("values", F.filter(F.slice("__c", F.greatest(F.col("__at").cast("int"), F.lit(1)), F.size("__c")), lambda c: c.rlike("[0-9]"))).drop("__c", "__at")
 
 
 def _score(cell: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import parse_amounts
+from tallyspark.functions.names import field_title
 
 LARGEST = 2**53 - 1
 KEY = ["document_id", "statement", "field", "year"]
@@ -78,3 +79,19 @@ def apply_remap(rows: DataFrame, keys: list[str], old: str, new: str, table) ->
         if not plan.limit(1).count():
             return rows
         rows = table(rows.join(plan, "id", "left").withColumn(old, F.coalesce("__to", old)).drop("__to"))
+
+
+def complete_new(new: DataFrame, values: DataFrame, documents: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Added figures (``document_id, field, year, value``, currency or null, note) as full rows.
+
+    The statement is the field's own; a currency that isn't given is the document's most frequent
+    (of equals the smallest); method manual, confidence 1.0, status OK.
+    """
+    home = dictionary.groupBy("field").agg(F.min_by("statement", "stmt_ord").alias("__home"))
+    seen = values.where("currency IS NOT NULL").groupBy("document_id", "currency").agg(F.count(F.lit(1)).alias("n"))
+    mode = seen.groupBy("document_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("currency").alias("c")))["c"].alias("__mode"))
+    rows = new.join(home, "field", "left").join(mode, "document_id", "left").join(documents.select(F.col("id").alias("document_id"), "company"), "document_id")
+    return rows.withColumns({
+        "statement": F.coalesce("__home", F.lit("balance_sheet")), "currency": F.coalesce(F.upper(F.trim("currency")), F.col("__mode")), "raw_label": field_title(F.col("field")), "raw_value": F.lit(None).cast("string"),
+        "extraction_method": F.lit("manual"), "confidence": F.lit(1.0), "status": F.lit("OK"), "original_value": F.lit(None).cast("double"),
+    }).drop("__home", "__mode")

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.amounts import is_percentage, is_share_quantity
+from tallyspark.functions.amounts import is_share_quantity
+
+#: Fields whose labels alone don't tell them apart.
+TREASURY = ("treasury_shares_quantity", "treasury_shares_carrying_value")
 
 
 def phrase(label: Column) -> Column:
@@ -47,9 +50,10 @@ def map_labels(rows: DataFrame, dictionary: DataFrame, key: str, label: str = "l
 
 
 def treasury_field(field: Column, first_value: Column) -> Column:
-    """Treasury shares by what the row's first value is: a percentage, a number of shares, else an amount."""
-    named = field.startswith("treasury_shares")
-    return F.when(named & is_percentage(first_value), "treasury_shares_percentage").when(named & is_share_quantity(first_value), "treasury_shares_quantity").when(named, "treasury_shares_carrying_value").otherwise(field)
+    """Treasury shares by what the row's first value names: a percentage, a number of shares, else an amount."""
+    named = field.isin(*TREASURY)
+    percent = F.coalesce(first_value.rlike("(?i)%|persen|percent"), F.lit(False))
+    return F.when(named & percent, "treasury_shares_percentage").when(named & is_share_quantity(first_value), "treasury_shares_quantity").when(named, "treasury_shares_carrying_value").otherwise(field)
 
 
 def split_unmapped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

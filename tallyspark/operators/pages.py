@@ -81,10 +81,28 @@ def lines_from_words(words: DataFrame, page: list[str]) -> DataFrame:
 
 
 def page_windows(pages: DataFrame, filing: list[str], order: str, text_col: str = "text", size: int = 6, model: str = "", head: list[str] | None = None) -> DataFrame:
-    """Texts of ``size`` pages each and a cache key over the model, ``head`` and the first 100,000 bytes of the text."""
+    """Texts of ``size`` pages each and a cache key over the model, ``head`` (company, then file name) and the first 100,000 bytes of the text."""
     w = W.partitionBy(*filing).orderBy(order)
     numbered = pages.withColumn("window", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text_col, F.lit("")).alias("t")))), lambda p: p["t"]), "\n\n")
     out = numbered.groupBy(*filing, "window").agg(text.alias("content"), F.count(F.lit(1)).alias("n_pages"))
-    key = F.concat(F.lit(model), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in head or filing], F.decode(F.substring(F.encode("content", "UTF-8"), 1, 100_000), "UTF-8"))
+    key = F.concat(F.lit(model), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in head or filing], F.lit(""))
+    key = F.concat(F.encode(key, "UTF-8"), F.substring(F.encode("content", "UTF-8"), 1, 100_000))  # bytes: the cut may be inside a character
     return out.withColumn("cache_key", F.sha2(key, 256))
+
+
+def drop_parent_only(pages: DataFrame, filing: list[str]) -> DataFrame:
+    """Consolidated pages; of a filing that has none, no pages."""
+    return pages.where(~F.coalesce("is_parent_only", F.lit(False)))
+
+
+def page_counters(pages: DataFrame, filing: list[str]) -> DataFrame:
+    """``filing, pages, text_pages, ocr_pages, financial_pages``."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    ocr = F.col("page_type") == "ocr"
+    return pages.groupBy(*filing).agg(F.count(F.lit(1)).alias("pages"), n(~ocr).alias("text_pages"), n(ocr).alias("ocr_pages"), n(F.col("is_relevant")).alias("financial_pages"))
+
+
+def missing_windows(windows: DataFrame, cache: DataFrame) -> DataFrame:
+    """Windows whose key no earlier answer has."""
+    return windows.join(cache.select("cache_key"), "cache_key", "left_anti")

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from tallyspark.functions.units import scale_hint
 
 ABSOLUTE, RELATIVE = 1000.0, 0.001
-CHECK = "struct<name:string,status:string,expected:double,actual:double,difference:double,message:string,missing:array<string>>"
+EVIDENCE = "struct<absolute_difference:double,relative_difference:double,absolute_tolerance:double,relative_tolerance:double,unit_scale:double,missing_fields:array<string>,values_used:map<string,double>,top_line:string>"
+CHECK = f"struct<name:string,statement:string,status:string,expected:double,actual:double,difference:double,message:string,category:string,evidence:{EVIDENCE}>"
+#: The fields that the checks read, by statement, and the categories of findings.
+FIELDS = {
+    "balance_sheet": ("total_assets", "total_liabilities", "total_equity", "current_assets", "non_current_assets", "current_liabilities", "non_current_liabilities", "cash_and_cash_equivalents"),
+    "income_statement": ("sales", "sales_and_revenue", "cost_of_revenue", "gross_profit"),
+    "cash_flow": ("beginning_cash_balance", "ending_cash_balance", "cash_flow_operating", "cash_flow_investing", "cash_flow_financing", "net_change_in_cash"),
+    "equity": ("treasury_shares_carrying_value",),
+}
+MATCH, ROUNDING, MISSING, INCOMPLETE, LOW = "accounting_mismatch", "rounding_difference", "missing_fields", "incomplete_statement", "low_confidence"
 
 
 def compare(expected: Column, actual: Column, scale: Column, absolute: float = ABSOLUTE, relative: float = RELATIVE) -> Column:
@@ -19,7 +28,7 @@ def compare(expected: Column, actual: Column, scale: Column, absolute: float = A
 
 
 def severity(status: Column) -> Column:
-    return F.when(status == "ERROR", "high").when(status == "WARNING", "medium").otherwise("info")
+    return F.when(status.isin("ERROR", "WARNING"), status).otherwise("INFO")
 
 
 def reconcile(df: DataFrame, keys: list[str], expected: str, parts: list[str], scale: Column | None = None) -> DataFrame:
@@ -31,54 +40,80 @@ def reconcile(df: DataFrame, keys: list[str], expected: str, parts: list[str], s
     return out.withColumn("severity", severity(F.col("status")))
 
 
-def _check(name: str, expected: Column, actual: Column, scale: Column, also: Column | None = None, missing: dict[str, Column] | None = None, when_missing: Column | None = None) -> Column:
-    """A check's struct if both sides are there, a NOT_APPLICABLE one if ``when_missing`` holds, else null."""
-    held = expected.isNotNull() & actual.isNotNull()
-    if also is not None:
-        held &= also
-    none = F.array().cast("array<string>")
-    made = F.struct(F.lit(name).alias("name"), compare(expected, actual, scale).alias("status"), expected.alias("expected"), actual.alias("actual"), (actual - expected).alias("difference"), F.lit("").alias("message"), none.alias("missing")).cast(CHECK)
-    out = F.when(held, made)
-    if missing and when_missing is not None:
-        lacking = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in missing.items()]))
-        empty = F.lit(None).cast("double")
-        na = F.struct(F.lit(name).alias("name"), F.lit("NOT_APPLICABLE").alias("status"), empty.alias("expected"), empty.alias("actual"), empty.alias("difference"), F.concat(F.lit("missing: "), F.array_join(lacking, ", ")).alias("message"), lacking.alias("missing")).cast(CHECK)
-        out = out.when(when_missing, na)
-    return out
-
-
-def identity_checks(wide: DataFrame, keys: list[str]) -> DataFrame:
-    """All statement identities of a filing's year, from one wide row of figures (null where absent).
-
-    Columns (any may be missing): total_assets, total_liabilities, total_equity, current_assets,
-    non_current_assets, current_liabilities, non_current_liabilities, sales, sales_and_revenue,
-    cost_of_sales, gross_profit, cash_beginning, cash_operating, cash_investing, cash_financing,
-    net_cash_change, cash_ending, cash_balance_sheet, treasury_carrying.
+def _made(name: str, statement: str | None, status: Column, category: Column, message: Column, expected: Column | None = None, actual: Column | None = None, **evidence: Column) -> Column:
+    none = F.lit(None)
+    expected, actual = none.cast("double") if expected is None else expected, none.cast("double") if actual is None else actual
+    names = ("absolute_difference", "relative_difference", "absolute_tolerance", "relative_tolerance", "unit_scale", "missing_fields", "values_used", "top_line")
+    given = F.struct(*[evidence.get(n, none).alias(n) for n in names])
+    return F.struct(
+        F.lit(name).alias("name"), F.lit(statement).alias("statement"), status.alias("status"), expected.alias("expected"), actual.alias("actual"),
+        (actual - expected).alias("difference"), message.alias("message"), category.alias("category"), given.alias("evidence"),
+    ).cast(CHECK)
+
+
+def _compared(name: str, statement: str, expected: Column, actual: Column, scale: Column, **evidence: Column) -> Column:
+    status, diff = compare(expected, actual, scale), F.abs(actual - expected)
+    rel = diff / F.greatest(F.abs(expected), F.lit(1.0))
+    told = F.when(status == "VALID", "within tolerance").when(status == "WARNING", "slightly above tolerance").otherwise("exceeds tolerance")
+    message = F.concat(F.lit("Difference "), F.format_number(diff, 2), F.lit(" "), told)
+    return _made(name, statement, status, F.when(status == "WARNING", ROUNDING).otherwise(MATCH), message, expected, actual, absolute_difference=diff, relative_difference=F.round(rel, 8), absolute_tolerance=F.lit(ABSOLUTE) * scale, relative_tolerance=F.lit(RELATIVE), unit_scale=scale, **evidence)
+
+
+def _not_applicable(name: str, statement: str, missing: Column) -> Column:
+    return _made(name, statement, F.lit("NOT_APPLICABLE"), F.lit(MISSING), F.concat(F.lit("Insufficient data: missing "), F.array_join(missing, ", ")), missing_fields=missing)
+
+
+def wide_figures(values: DataFrame, keys: list[str], value: str = "normalized_value") -> DataFrame:
+    """One row a key: the checks' figures as ``statement__field``, ``n_statement`` figures of each statement and the largest size of all.
+
+    One aggregation, combined before the shuffle. Of several rows of one field the largest value counts;
+    winners have one each.
+    """
+    v = F.col(value).cast("double")
+    figures = [F.max(F.when((F.col("statement") == s) & (F.col("field") == f), v)).alias(f"{s}__{f}") for s, fields in FIELDS.items() for f in fields]
+    held = [F.count(F.when(F.col("statement") == s, v)).alias(f"n_{s}") for s in FIELDS]
+    return values.groupBy(*keys).agg(*figures, *held, F.max(F.abs(v)).alias("largest"))
+
+
+def identity_checks(values: DataFrame, keys: list[str], value: str = "normalized_value") -> DataFrame:
+    """All statement identities of each key (a filing's year) from its winning values ``keys, statement, field, value``.
+
+    A statement that has no value at all gives no rows; a key without any check gives ``no_checks_possible``.
     """
-    names = ["total_assets", "total_liabilities", "total_equity", "current_assets", "non_current_assets", "current_liabilities", "non_current_liabilities", "sales", "sales_and_revenue", "cost_of_sales", "gross_profit", "cash_beginning", "cash_operating", "cash_investing", "cash_financing", "net_cash_change", "cash_ending", "cash_balance_sheet", "treasury_carrying"]
-    v = {n: F.col(n).cast("double") if n in wide.columns else F.lit(None).cast("double") for n in names}
-    some = lambda *n: F.coalesce(*[v[x] for x in n]).isNotNull()
-    balance = some(*names[:7])
-    income, cash = some(*names[7:11]), some(*names[11:17])
-    scale = scale_hint(F.greatest(*[F.abs(F.coalesce(c, F.lit(0.0))) for c in v.values()]))
-    pick = lambda *n: {x: v[x] for x in n}
-    top = F.coalesce(v["sales"], v["sales_and_revenue"])
-    flows = v["cash_beginning"] + v["cash_operating"] + v["cash_investing"] + v["cash_financing"]
-    full = flows.isNotNull() & v["cash_ending"].isNotNull()
-    ends = v["cash_beginning"].isNotNull() & v["cash_ending"].isNotNull()
-    treasury = F.struct(F.lit("treasury_shares_positive_value").alias("name"), F.lit("WARNING").alias("status"), F.lit(None).cast("double").alias("expected"), v["treasury_carrying"].alias("actual"), F.lit(None).cast("double").alias("difference"), F.lit("treasury shares reduce equity").alias("message"), F.array().cast("array<string>").alias("missing")).cast(CHECK)
-    checks = F.array_compact(
-        F.array(
-            _check("assets_equal_liabilities_plus_equity", v["total_assets"], v["total_liabilities"] + v["total_equity"], scale, None, pick("total_liabilities", "total_equity"), v["total_assets"].isNotNull()),
-            _check("assets_split", v["total_assets"], v["current_assets"] + v["non_current_assets"], scale, None, pick("total_assets", "current_assets", "non_current_assets"), balance),
-            _check("liabilities_split", v["total_liabilities"], v["current_liabilities"] + v["non_current_liabilities"], scale, None, pick("total_liabilities", "current_liabilities", "non_current_liabilities"), balance),
-            _check("gross_profit_identity", top - F.abs(v["cost_of_sales"]), v["gross_profit"], scale, None, {"sales": top} | pick("cost_of_sales", "gross_profit"), income),
-            _check("cash_flow_reconciliation", v["cash_ending"], flows, scale, None, pick("cash_operating", "cash_investing", "cash_financing"), cash & ends & v["net_cash_change"].isNull()),
-            _check("cash_change_reconciliation", v["cash_ending"], v["cash_beginning"] + v["net_cash_change"], scale, ~full),
-            _check("cash_matches_balance_sheet", v["cash_balance_sheet"], v["cash_ending"], scale),
-            F.when(v["treasury_carrying"] > 0, treasury),
-        )
-    )
-    nothing = F.struct(F.lit("no_checks_possible").alias("name"), F.lit("NOT_APPLICABLE").alias("status"), *[F.lit(None).cast("double").alias(x) for x in ("expected", "actual", "difference")], F.lit("no statement has enough figures").alias("message"), F.array().cast("array<string>").alias("missing")).cast(CHECK)
-    rows = wide.select(*keys, checks.alias("c")).withColumn("c", F.when(F.size("c") == 0, F.array(nothing)).otherwise(F.col("c")))
+    wide = wide_figures(values, keys, value)
+    v = {f: F.col(f"{s}__{f}") for s, fields in FIELDS.items() for f in fields}
+    has = {s: F.col(f"n_{s}") > 0 for s in FIELDS}
+    scale = scale_hint(F.coalesce("largest", F.lit(0.0)))
+    lacking = lambda *names: F.array_compact(F.array(*[F.when(v[n].isNull(), F.lit(n)) for n in names]))
+    used = lambda *names: F.create_map(*[x for n in names for x in (F.lit(n), v[n])])
+
+    def split(name: str, whole: str, *parts: str) -> Column:
+        total = sum((v[p] for p in parts[1:]), v[parts[0]])
+        full = v[whole].isNotNull() & total.isNotNull()
+        return F.when(has["balance_sheet"], F.when(full, _compared(name, "balance_sheet", v[whole], total, scale)).otherwise(_not_applicable(name, "balance_sheet", lacking(whole, *parts))))
+
+    both = v["total_liabilities"] + v["total_equity"]
+    equation = "assets_equals_liabilities_plus_equity"
+    balance = F.when(v["total_assets"].isNotNull() & both.isNotNull(), _compared(equation, "balance_sheet", v["total_assets"], both, scale, values_used=used("total_assets", "total_liabilities", "total_equity")))
+    balance = balance.when(v["total_assets"].isNotNull(), _not_applicable(equation, "balance_sheet", lacking("total_liabilities", "total_equity")))
+
+    top, top_name = F.coalesce(v["sales"], v["sales_and_revenue"]), F.when(v["sales"].isNotNull(), "sales").otherwise("sales_and_revenue")
+    profit_full = top.isNotNull() & v["cost_of_revenue"].isNotNull() & v["gross_profit"].isNotNull()
+    no_top = F.when(top.isNull(), F.array(F.lit("sales"), F.lit("sales_and_revenue"))).otherwise(F.array().cast("array<string>"))
+    profit = F.when(has["income_statement"], F.when(profit_full, _compared("gross_profit_identity", "income_statement", top - F.abs(v["cost_of_revenue"]), v["gross_profit"], scale, top_line=top_name)).otherwise(_not_applicable("gross_profit_identity", "income_statement", F.concat(no_top, lacking("cost_of_revenue", "gross_profit")))))
+
+    begin, end, change = v["beginning_cash_balance"], v["ending_cash_balance"], v["net_change_in_cash"]
+    flows = begin + v["cash_flow_operating"] + v["cash_flow_investing"] + v["cash_flow_financing"]
+    cash = F.when(flows.isNotNull() & end.isNotNull(), _compared("cash_flow_reconciliation", "cash_flow", end, flows, scale))
+    cash = cash.when(begin.isNotNull() & end.isNotNull() & change.isNotNull(), _compared("cash_change_reconciliation", "cash_flow", end, begin + change, scale))
+    cash = cash.when(begin.isNotNull() & end.isNotNull(), _not_applicable("cash_flow_reconciliation", "cash_flow", lacking("net_change_in_cash")))
+    held = v["cash_and_cash_equivalents"]
+    across = F.when(end.isNotNull() & held.isNotNull(), _compared("cash_matches_balance_sheet", "cash_flow", end, held, scale))
+
+    shares = v["treasury_shares_carrying_value"]
+    treasury = F.when(shares > 0, _made("treasury_shares_positive_value", "equity", F.lit("WARNING"), F.lit(LOW), F.lit("Treasury shares are positive; they are usually a deduction"), actual=shares, values_used=used("treasury_shares_carrying_value")))
+
+    parts = [balance, split("assets_split", "total_assets", "current_assets", "non_current_assets"), split("liabilities_split", "total_liabilities", "current_liabilities", "non_current_liabilities"), profit, cash, across, treasury]
+    nothing = _made("no_checks_possible", None, F.lit("NOT_APPLICABLE"), F.lit(INCOMPLETE), F.lit("Not enough statement fields for any check"))
+    rows = wide.select(*keys, F.array_compact(F.array(*parts)).alias("c")).withColumn("c", F.when(F.size("c") == 0, F.array(nothing)).otherwise(F.col("c")))
     return rows.select(*keys, F.inline("c")).withColumn("severity", severity(F.col("status")))

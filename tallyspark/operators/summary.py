@@ -22,6 +22,59 @@ def totals(documents: DataFrame, company: str, pages: str, confidence: str) -> D
     return documents.agg(F.countDistinct(company).alias("companies"), F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce(pages, F.lit(0))).alias("pages"), F.round(F.avg(confidence), 4).alias("mean_confidence"))
 
 
+def run_summary(documents: DataFrame, values: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row: companies, documents, pages, documents read by OCR and as text, values, checks, mean confidence, and documents by status as a map."""
+    per = documents.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    statuses = per.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("status_counts"))
+    main = documents.agg(
+        F.countDistinct("company").alias("companies"), F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"), F.count_if(F.coalesce("ocr_used", F.lit(False))).alias("ocr_documents"),
+        F.count_if(F.coalesce(F.col("pdf_type") == "TEXT", F.lit(False))).alias("text_documents"), F.round(F.avg("avg_confidence"), 4).alias("average_confidence"),
+    )
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return main.crossJoin(statuses).crossJoin(count(values, "extracted_values")).crossJoin(count(checks, "validation_checks"))  # one row each
+
+
+def dashboard_counts(documents: DataFrame, values: DataFrame, checks: DataFrame, review_below: float = 0.8) -> DataFrame:
+    """``section, name, status, n``: documents by their three statuses, checks by status, name and category, values of low confidence. One pass a table."""
+    docs = documents.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.col(c).alias("name"), F.lit(None).cast("string").alias("status")) for s, c in (("document_status", "status"), ("extraction_status", "extraction_status"), ("validation_status", "validation_status"))])))
+    told = checks.select(F.inline(F.array(
+        F.struct(F.lit("check_status").alias("section"), F.col("status").alias("name"), F.lit(None).cast("string").alias("status")),
+        F.struct(F.lit("check_name").alias("section"), F.col("check_name").alias("name"), F.col("status").alias("status")),
+        F.struct(F.lit("check_category").alias("section"), F.col("category").alias("name"), F.lit(None).cast("string").alias("status")),
+    )))
+    counts = docs.unionByName(told).where("name IS NOT NULL AND name <> ''").groupBy("section", "name", "status").agg(F.count(F.lit(1)).alias("n"))
+    low = values.agg(F.lit("values").alias("section"), F.lit("low_confidence").alias("name"), F.lit(None).cast("string").alias("status"), F.count_if(F.coalesce("confidence", F.lit(0.0)) < review_below).alias("n"))
+    return counts.unionByName(low)
+
+
+def coverage(documents: DataFrame, values: DataFrame) -> DataFrame:
+    """One row: companies discovered, with and without values; documents in all and with values."""
+    read = values.select(F.col("document_id").alias("id")).distinct().withColumn("__read", F.lit(True))
+    per = documents.join(read, "id", "left").groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.count("__read").alias("read"))
+    return per.agg(F.count(F.lit(1)).alias("companies_discovered"), F.count_if(F.col("read") > 0).alias("companies_with_values"), F.count_if(F.col("read") == 0).alias("companies_without_values"), F.sum("n").alias("documents_total"), F.sum("read").alias("documents_with_values"))
+
+
+def unread_documents(documents: DataFrame, values: DataFrame) -> DataFrame:
+    """``company, status, n`` of the companies none of whose documents has values."""
+    owners = documents.join(values.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi").select("company").distinct()
+    return documents.join(owners, "company", "left_anti").groupBy("company", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unread_by_status(documents: DataFrame, values: DataFrame) -> DataFrame:
+    """Those documents by status over all companies, most first."""
+    return unread_documents(documents, values).groupBy("status").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "status")
+
+
+def subsector_counts(subsectors: DataFrame, n: int = 12) -> DataFrame:
+    """The subsectors with most companies (``company, subsector`` rows, one a company), ties by name."""
+    return subsectors.groupBy("subsector").agg(F.count(F.lit(1)).alias("companies")).orderBy(F.desc("companies"), "subsector").limit(n)
+
+
+def undeclared_subsectors(values: DataFrame, subsectors: DataFrame) -> DataFrame:
+    """``undeclared``: companies with values but without a subsector."""
+    return values.select("company").distinct().join(subsectors, "company", "left_anti").agg(F.count(F.lit(1)).alias("undeclared"))
+
+
 def confidence_histogram(rows: DataFrame, column: str) -> DataFrame:
     """``bucket, n`` with empty buckets kept."""
     c = F.col(column)
@@ -57,7 +110,22 @@ def document_counts(documents: DataFrame, values: DataFrame, checks: DataFrame,
 
 
 def statement_of_check(name: Column) -> Column:
-    return F.when(name.contains("cash"), "cash_flow").when(name.contains("profit"), "income_statement").when(name.contains("equity") & ~name.contains("assets"), "equity").otherwise("balance_sheet")
+    """The statement that a check's name speaks of; the first that fits."""
+    return (
+        F.when(name.contains("gross_profit") | name.contains("net_income"), "Income Statement").when(name.contains("cash"), "Cash Flow")
+        .when(name.contains("treasury") | name.contains("capital"), "Equity").when(name == "no_checks_possible", "Document").otherwise("Balance Sheet")
+    )
+
+
+def statement_histogram(checks: DataFrame) -> DataFrame:
+    """``statement, status, n``."""
+    return checks.groupBy(statement_of_check(F.col("check_name")).alias("statement"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_shares(checks: DataFrame) -> DataFrame:
+    """``document_id, errors, valid, not_applicable``."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return checks.groupBy("document_id").agg(n("ERROR").alias("errors"), n("VALID").alias("valid"), n("NOT_APPLICABLE").alias("not_applicable"))
 
 
 def status_shares(checks: DataFrame) -> DataFrame:

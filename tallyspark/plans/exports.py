@@ -75,9 +75,12 @@ def errors_sheet(documents: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def rounded_metrics(documents: DataFrame, column: str = "metrics") -> DataFrame:
-    """The JSON metrics with numbers rounded to three places."""
-    parsed = F.from_json(column, "map<string,double>")
-    return documents.withColumn(column, F.to_json(F.transform_values(parsed, lambda _, v: F.round(v, 3))))
+    """The JSON metrics with fractions rounded to three places; texts, whole numbers and nested values stay as they are."""
+    one = r'"((?:[^"\\]|\\.)*+)"\s*:\s*("(?:[^"\\]|\\.)*+"|[^,{}\[\]"]+|\{[^{}]*\}|\[[^\[\]]*\])'
+    part = lambda k: F.regexp_extract_all(column, F.lit(one), F.lit(k))
+    rounded = lambda v: F.when(v.rlike(r"^-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?$") & v.rlike("[.eE]"), F.round(v.try_cast("double"), 3).cast("string")).otherwise(v)
+    pairs = F.zip_with(part(1), part(2), lambda k, v: F.concat(F.lit('"'), k, F.lit('":'), rounded(F.trim(v))))
+    return documents.withColumn(column, F.when(F.col(column).isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))))
 
 
 def document_json(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -93,3 +96,43 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 def write_partitioned_json(df: DataFrame, path: str, by: str = "company") -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
+
+
+REPORT = ("company", "year", "section", "field", "label", "raw_value", "normalized_value", "text_value", "currency", "unit", "page", "page_section", "source_file", "confidence", "extraction_method", "status", "data_flags")
+
+
+def report_columns(report: DataFrame) -> DataFrame:
+    """A financial report's 17 columns under their names in the file; columns that the values lack are null."""
+    given = {"section": "statement", "label": "raw_label", "page_section": "section"}
+    has = lambda c: F.col(c) if c in report.columns else F.lit(None).cast("string")
+    file = F.element_at(F.split("file_path", "/"), -1)
+    out = {c: has(given.get(c, c)) for c in REPORT} | {"source_file": F.coalesce(file, F.lit("")), "text_value": F.coalesce(has("text_value"), F.lit("")), "page_section": F.coalesce(has("section"), F.lit(""))}
+    return report.select(*[c.alias(n) for n, c in out.items()])
+
+
+def processing_report(documents: DataFrame) -> DataFrame:
+    """One row a document as the processing report lists it."""
+    return documents.select("company", F.col("file_path").alias("file"), "status", "pdf_type", F.col("page_count").alias("pages"), F.coalesce("ocr_used", F.lit(False)).alias("ocr_used"), "reporting_year", "avg_confidence", "extraction_status", "validation_status", "processing_time", F.col("error_message").alias("error"))
+
+
+def write_processing(summary: DataFrame, documents: DataFrame, path: str) -> None:
+    """``extraction_summary`` (one JSON line) and ``processing_report`` (a JSON line a document) under ``path``."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/extraction_summary")
+    processing_report(documents).write.mode("overwrite").json(f"{path}/processing_report")
+
+
+def summary_sheet(values: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The best value of each company, year and field, a column a field."""
+    best = values.where(F.col("field").isin(*fields)).groupBy("company", "year", "field").agg(F.min_by("value", F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("id"))).alias("value"))
+    return best.groupBy("company", "year").pivot("field", list(fields)).agg(F.first("value"))
+
+
+def raw_data(values: DataFrame, documents: DataFrame) -> DataFrame:
+    """The raw-data sheet: every value with its file."""
+    files = documents.select(F.col("id").alias("document_id"), F.element_at(F.split("file_path", "/"), -1).alias("source_file"))
+    names = [c for c in ("company", "year", "statement", "field", "raw_label", "raw_value", "normalized_value", "currency", "unit", "page", "confidence", "extraction_method", "status") if c in values.columns]
+    return values.join(files, "document_id", "left").select(*names, "source_file")
+
+
+def validation_sheet(checks: DataFrame) -> DataFrame:
+    return checks.select(*[c for c in ("company", "year", "check_name", "expected", "actual", "difference", "status", "severity", "category", "message") if c in checks.columns])

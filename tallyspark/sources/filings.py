@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tallyspark.functions.amounts import strip
 from tallyspark.functions.names import listing_date
@@ -60,17 +58,15 @@ def number_pages(pages: DataFrame, filing: list[str], max_pages: int = 1000) ->
     return pages.withColumn("page_number", F.row_number().over(order)).where(F.col("page_number") <= max_pages).where(strip(F.col("text")) != "")
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """All named and numeric entities; the only Python on this path, by Arrow batches."""
-    return text.map(html.unescape, na_action="ignore")
-
-
 def common_entities(text: Column) -> Column:
-    """The five markup entities and the hard space, without Python."""
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """Named (those of HTML 4) and numeric entities by column expressions, each once; unknown ones stay as they are."""
+    entity = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    named = F.create_map(*[F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))])
+    code = lambda e: F.when(e.rlike("^#[xX]"), F.conv(F.substr(e, F.lit(3)), 16, 10)).when(e.startswith("#"), F.substr(e, F.lit(2))).cast("long")
+    sound = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    plain = lambda e: F.coalesce(F.try_element_at(named, e), sound(code(e)), F.concat(F.lit("&"), e, F.lit(";")))
+    pieces = F.zip_with(F.split(text, entity, -1), F.transform(F.regexp_extract_all(text, F.lit(entity), F.lit(1)), plain), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def visible_lines(page: Column, line_end: str = "t[dh]") -> Column:
@@ -113,7 +109,7 @@ def cover_attributes(lines: DataFrame, keys: list[str]) -> DataFrame:
     near = near.select(
         *keys, "line_no",
         F.when(label, F.coalesce(scale(F.col("up1")), scale(F.col("up2")))).alias("multiplier"),
-        F.when(money, F.coalesce(currency(F.col("up1")), currency(F.col("up2")), currency(F.col("down1")))).alias("currency"),
+        F.when(money, F.coalesce(currency(F.col("up1")), currency(F.col("up2")))).alias("currency"),
         F.when(F.lower("line") == "subsektor", F.struct(F.when(F.lower("down2") == "subsector", F.col("down1")).alias("v"))).alias("sub"),
     )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
@@ -145,12 +141,14 @@ def free_text_rows(pages: DataFrame, text_col: str, keys: list[str], preferred_y
 
 
 def listing_register(table: DataFrame) -> DataFrame:
-    """``code, name, listed_on`` of every row whose fourth or a later column is a date: the two cells left of it."""
+    """``code, name, listed_on`` of every row whose fourth or a later column is a date: the two cells left of it; an error if none is."""
     cells = F.array(*[F.col(c).cast("string") for c in table.columns])
     dated = table.select(cells.alias("c")).withColumn("d", F.transform("c", listing_date))
     places = F.sequence(F.lit(4), F.lit(max(4, len(table.columns))))
     found = F.filter(places, lambda i: F.try_element_at("d", i).isNotNull())
     rows = dated.withColumn("i", F.try_element_at(found, F.lit(1))).where("i IS NOT NULL")
+    if rows.isEmpty():
+        raise ValueError("the register has no row with a listing date")
     return rows.select(F.expr("c[i - 3]").alias("code"), F.expr("c[i - 2]").alias("name"), F.expr("d[i - 1]").alias("listed_on"))
 
 
@@ -162,13 +160,16 @@ def company_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(pick("kode", "code", "ticker", "symbol").alias("code"), pick("nama perusahaan", "company name", "name", "nama").alias("name")).where("code IS NOT NULL")
 
 
-def external_observations(rows: DataFrame, json_col: str, keys: list[str], schema: str = EXTERNAL) -> DataFrame:
-    """Observations of model replies: code fence and chatter cut to the outermost braces, strict schema; ``bad`` marks replies that don't parse."""
+def external_observations(rows: DataFrame, json_col: str, keys: list[str], schema: str = EXTERNAL) -> tuple[DataFrame, DataFrame]:
+    """Observations of model replies, and the replies that don't parse (``keys`` and the reply, for review).
+
+    Code fences and chatter are cut to the outermost braces; the schema is strict. One parse a reply.
+    """
+    statements = ("balance_sheet", "income_statement", "cash_flow", "equity")
     inner = F.regexp_extract(json_col, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(inner, f"balance_sheet {schema}, income_statement {schema}, cash_flow {schema}, equity {schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = rows.select(*keys, parsed.alias("p")).withColumn("bad", F.col("p").isNull() | F.col("p._corrupt").isNotNull())
-    long = None
-    for s in ("balance_sheet", "income_statement", "cash_flow", "equity"):
-        one = rows.where("NOT bad").select(*keys, F.lit(s).alias("statement"), F.inline(F.col(f"p.{s}")))
-        long = one if long is None else long.unionByName(one)
-    return long
+    whole = ", ".join(f"{s} {schema}" for s in statements)
+    parsed = F.from_json(inner, f"{whole}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = rows.select(*keys, F.col(json_col).alias("__reply"), parsed.alias("p")).withColumn("__bad", F.coalesce(F.col("p").isNull() | F.col("p._corrupt").isNotNull(), F.lit(True)))
+    one = lambda s: F.transform(F.coalesce(F.col(f"p.{s}"), F.array().cast(schema)), lambda o: F.struct(F.lit(s).alias("statement"), o.alias("o")))
+    long = rows.where("NOT __bad").select(*keys, F.inline(F.concat(*map(one, statements)))).select(*keys, "statement", "o.*")
+    return long, rows.where("__bad").select(*keys, F.col("__reply").alias(json_col))

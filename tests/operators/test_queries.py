@@ -26,16 +26,81 @@ def test_year_on_year_states(spark):
     assert got == [(None, None), (None, "loss widened"), (None, "loss narrowed"), (None, "back to profit"), ("flat", None), ("down", None), (None, None)]
 
 
+SHEET, INCOME, CASH, EQUITY = "balance_sheet", "income_statement", "cash_flow", "equity"
+BASE_CASH = {(CASH, "beginning_cash_balance"): 10e6, (CASH, "ending_cash_balance"): 25e6}
+#: Figures of a filing's year and what the checks must say: name to status, missing fields.
+CHECK_CASES = [
+    ({(SHEET, "total_assets"): 100e6, (SHEET, "total_liabilities"): 60e6, (SHEET, "total_equity"): 40e6}, {"assets_equals_liabilities_plus_equity": ("VALID", None), "assets_split": ("NOT_APPLICABLE", ["current_assets", "non_current_assets"]), "liabilities_split": ("NOT_APPLICABLE", ["current_liabilities", "non_current_liabilities"])}),
+    ({(SHEET, "total_assets"): 100e6, (SHEET, "total_equity"): 40e6}, {"assets_equals_liabilities_plus_equity": ("NOT_APPLICABLE", ["total_liabilities"])}),
+    ({(SHEET, "total_assets"): 100e6, (SHEET, "total_liabilities"): 60e6, (SHEET, "total_equity"): 40.5e6}, {"assets_equals_liabilities_plus_equity": ("WARNING", None)}),
+    ({(SHEET, "total_assets"): 100e6, (SHEET, "total_liabilities"): 60e6, (SHEET, "total_equity"): 50e6}, {"assets_equals_liabilities_plus_equity": ("ERROR", None)}),
+    ({(SHEET, "total_assets"): 2e12, (SHEET, "total_liabilities"): 1e12, (SHEET, "total_equity"): 1e12 - 9e8}, {"assets_equals_liabilities_plus_equity": ("VALID", None)}),
+    ({(SHEET, "total_equity"): 1e6, (EQUITY, "total_equity"): 5e6}, {"assets_split": ("NOT_APPLICABLE", ["total_assets", "current_assets", "non_current_assets"])}),
+    ({(INCOME, "sales_and_revenue"): 21e6, (INCOME, "cost_of_revenue"): -18e6, (INCOME, "gross_profit"): 3e6}, {"gross_profit_identity": ("VALID", None)}),
+    ({(INCOME, "sales"): 21e6, (INCOME, "cost_of_revenue"): 18e6, (INCOME, "gross_profit"): 4e6}, {"gross_profit_identity": ("ERROR", None)}),
+    ({(INCOME, "gross_profit"): 4e6}, {"gross_profit_identity": ("NOT_APPLICABLE", ["sales", "sales_and_revenue", "cost_of_revenue"])}),
+    ({(INCOME, "net_income"): 4e6}, {"gross_profit_identity": ("NOT_APPLICABLE", ["sales", "sales_and_revenue", "cost_of_revenue", "gross_profit"])}),
+    (BASE_CASH | {(CASH, "cash_flow_operating"): 20e6, (CASH, "cash_flow_investing"): -10e6, (CASH, "cash_flow_financing"): 5e6}, {"cash_flow_reconciliation": ("VALID", None)}),
+    (BASE_CASH | {(CASH, "net_change_in_cash"): 15e6}, {"cash_change_reconciliation": ("VALID", None)}),
+    (BASE_CASH, {"cash_flow_reconciliation": ("NOT_APPLICABLE", ["net_change_in_cash"])}),
+    ({(CASH, "cash_flow_operating"): 1e6}, {"no_checks_possible": ("NOT_APPLICABLE", None)}),
+    ({(CASH, "ending_cash_balance"): 5e6, (SHEET, "cash_and_cash_equivalents"): 6e6}, {"cash_matches_balance_sheet": ("ERROR", None)}),
+    ({(EQUITY, "treasury_shares_carrying_value"): 5.0}, {"treasury_shares_positive_value": ("WARNING", None)}),
+    ({(EQUITY, "treasury_shares_carrying_value"): -5.0}, {"no_checks_possible": ("NOT_APPLICABLE", None)}),
+    ({("cover", "sub_sector"): None}, {"no_checks_possible": ("NOT_APPLICABLE", None)}),
+]
+
+
 def test_checks(spark):
-    wide = [(1, 100e6, 60e6, 40e6, None, None, None), (2, 100e6, None, 40e6, None, None, None), (3, None, None, None, 5e6, 5e6, 1.0), (4, 1e6, 5e5, 4e5, None, None, None)]
-    df = spark.createDataFrame(wide, "id long, total_assets double, total_liabilities double, total_equity double, cash_ending double, cash_balance_sheet double, treasury_carrying double")
-    got = {(r.id, r.name): (r.status, r.missing) for r in reconcile.identity_checks(df, ["id"]).collect()}
-    assert got[1, "assets_equal_liabilities_plus_equity"] == ("VALID", [])
-    assert got[2, "assets_equal_liabilities_plus_equity"] == ("NOT_APPLICABLE", ["total_liabilities"])
-    assert got[3, "cash_matches_balance_sheet"][0] == "VALID" and got[3, "treasury_shares_positive_value"][0] == "WARNING" and (3, "assets_split") not in got
-    assert got[4, "assets_equal_liabilities_plus_equity"][0] == "ERROR" and (3, "cash_flow_reconciliation") not in got
-    empty = spark.createDataFrame([(9, 1)], "id long, other int")
-    assert [(r.name, r.status) for r in reconcile.identity_checks(empty, ["id"]).collect()] == [("no_checks_possible", "NOT_APPLICABLE")]
+    rows = [(i, s, f, v) for i, (figures, _) in enumerate(CHECK_CASES) for (s, f), v in figures.items()]
+    out = reconcile.identity_checks(spark.createDataFrame(rows, "id long, statement string, field string, normalized_value double"), ["id"]).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.id, {})[r.name] = r
+    for i, (_, want) in enumerate(CHECK_CASES):
+        for name, (status, missing) in want.items():
+            assert (got[i][name].status, got[i][name].evidence.missing_fields) == (status, missing), (i, name)
+    assert set(got[0]) == set(CHECK_CASES[0][1]) and set(got[11]) == {"cash_change_reconciliation"}
+    across = got[14]["cash_matches_balance_sheet"]
+    assert (across.expected, across.actual, across.severity, across.category) == (5e6, 6e6, "ERROR", "accounting_mismatch")
+    assert (got[2]["assets_equals_liabilities_plus_equity"].severity, got[2]["assets_equals_liabilities_plus_equity"].category) == ("WARNING", "rounding_difference")
+    assert got[6]["gross_profit_identity"].evidence.top_line == "sales_and_revenue" and got[4]["assets_equals_liabilities_plus_equity"].evidence.unit_scale == 1e6
+
+
+def test_subsectors(spark):
+    rows = [(1, "a", 2023, 0.9, " Banks "), (2, "a", 2024, 1.0, "  "), (3, "a", None, 0.9, "Other"), (4, "b", 2020, None, "Mines"), (5, "b", 2021, None, "Oil"), (6, "c", 2020, 1.0, None)]
+    values = spark.createDataFrame([(*r, "sub_sector") for r in rows], "id long, company string, year int, confidence double, text_value string, field string")
+    assert {r.company: r.subsector for r in winners.subsector_winner(values).collect()} == {"a": "Banks", "b": "Mines"}
+    assert {r.company: (r.subsector, r.year) for r in winners.latest_subsector(values).collect()} == {"a": ("Banks", 2023), "b": ("Oil", 2021)}
+    grid_rows = spark.createDataFrame([("a", 2020), ("a", 2021), ("c", 2020)], "company string, year int")
+    facet = grid.subsector_facet(grid.with_subsector(grid_rows, values), ["banks", "Gold", "NONE"])
+    assert {r.value: r.n for r in facet.collect()} == {"Banks": 2, "none": 1, "Gold": 0}
+
+
+def test_listing_dates(spark):
+    day = datetime.date
+    register = spark.createDataFrame([("AALI", "Astra Agro Lestari Tbk.", day(1997, 12, 9)), ("BBCA", "Bank Central Asia Tbk", day(2000, 5, 31)), ("X", "PT Tbk", day(1999, 1, 1))], "code string, name string, listed_on date")
+    cases = {"AALI Astra Agro Lestari Tbk": day(1997, 12, 9), "PT Astra Agro Lestari Tbk.": day(1997, 12, 9), "XXXX Bank Central Asia": day(2000, 5, 31), "Xxxx Bank Central Asia": None, "TOOLONGX Bank Central Asia": None, "Unknown": None, None: None}
+    got = {r.company: r.listed_on for r in grid.listing_dates(spark.createDataFrame([(c,) for c in cases], "company string"), register).collect()}
+    assert got == cases
+
+
+def test_company_profile(spark):
+    values = spark.createDataFrame([(1, 1, "a", 2020, "x", 10.0, 1.0, "OK", "IDR"), (2, 1, "a", 2020, "x", 1.0, 0.9, "OK", None), (3, 2, "a", None, "y", 1.0, 0.9, "IMPLAUSIBLE", None), (4, 9, "z", 2020, "y", 1.0, 0.9, "OK", None)], "id long, document_id long, company string, year int, field string, value double, confidence double, status string, currency string")
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, company string")
+    checks = spark.createDataFrame([("a", 2020, "c", "ERROR"), ("a", 2019, "d", "ERROR"), ("a", None, "e", "WARNING"), ("b", 2019, "f", "ERROR"), ("b", 2019, "g", "VALID")], "company string, year int, check_name string, status string")
+    got = {r.company: r.asDict() for r in grid.company_profile(values, docs, checks).collect()}
+    assert set(got) == {"a", "b"}
+    assert got["a"] == {"company": "a", "documents": 2, "documents_with_values": 2, "figures": 3, "years": 1, "fields": 2, "currencies": ["IDR"], "disputed_cells": 1, "flagged_cells": 1, "cells_without_currency": 1, "failed_checks": 2}
+    assert (got["b"]["figures"], got["b"]["failed_checks"], got["b"]["currencies"]) == (0, 1, [])
+
+
+def test_null_years_are_keys(spark):
+    w = spark.createDataFrame([("a", None, "total_profit_loss", 5.0), ("a", None, "x", 1.0), ("a", 2020, "x", 1.0)], "company string, year int, field string, value double")
+    assert sorted((r.field, r.year) for r in grid.profit_filter(w, w, ["company", "year"], "laba").collect()) == [("total_profit_loss", None), ("x", None)]
+    axis = spark.createDataFrame([(2020,), (None,)], "year int")
+    got = {(r.field, r.year): r.value for r in winners.fill_gaps(w, "company", "field", axis).collect()}
+    assert got == {("total_profit_loss", None): 5.0, ("total_profit_loss", 2020): None, ("x", None): 1.0, ("x", 2020): 1.0}
 
 
 def test_grid_columns_filters_and_facets(spark):
@@ -97,8 +162,8 @@ def test_modes_slices_and_reports(spark, tmp_path):
     assert [tuple(r) for r in summary.mode_of(df, ["k"], "v").collect()] == [("d", "a", 2)]
     s = spark.createDataFrame([("x", 1), ("new", 2), ("zero", 0)], "c string, n int")
     assert sorted((r.place, r.c, r.total) for r in summary.slices(s, "c", "n", ["zero", "x"]).collect()) == [(1, "x", 1), (2, "new", 2)]
-    docs = spark.createDataFrame([(1, '{"a": 1.23456}')], "id long, metrics string")
-    assert exports.rounded_metrics(docs).first().metrics == '{"a":1.235}'
+    docs = spark.createDataFrame([(1, '{"a": 1.23456}'), (2, '{"a": 2, "t\\"x": "TEXT, 1.23456", "n": null, "l": [1, 2], "f": -0.00049, "b": true}'), (3, None), (4, "{}")], "id long, metrics string")
+    assert [r.metrics for r in exports.rounded_metrics(docs).orderBy("id").collect()] == ['{"a":1.235}', '{"a":2,"t\\"x":"TEXT, 1.23456","n":null,"l":[1, 2],"f":0.0,"b":true}', None, "{}"]
     exports.write_csv(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"), one_file=True)
     assert next((tmp_path / "out").glob("*.csv")).read_text().splitlines() == ["a,b", "1,"]
 

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import extract, pages as page_ops, cells, registry
@@ -56,13 +57,24 @@ def test_flat_corpus(spark, tmp_path):
 def test_register_and_company_list(spark, tmp_path):
     df = spark.createDataFrame([("1", "AALI", "Astra Agro", "09 Des 1997"), ("x", "y", "z", "no date")], "a string, b string, c string, d string")
     assert [tuple(r) for r in filings.listing_register(df).collect()] == [("AALI", "Astra Agro", datetime.date(1997, 12, 9))]
+    with pytest.raises(ValueError):
+        filings.listing_register(df.where("a = 'x'"))
     (tmp_path / "list.csv").write_text("No,Kode,Nama Perusahaan\n1,AALI,Astra\n2,,none\n")
     assert [tuple(r) for r in filings.company_list(spark, str(tmp_path / "list.csv")).collect()] == [("AALI", "Astra")]
 
 
 def test_entities(spark):
-    df = spark.createDataFrame([("a &amp; b &eacute;&#233;",), (None,)], "t string")
-    assert [r[0] for r in df.select(filings.unescape("t")).collect()] == ["a & b éé", None]
+    cases = {"a &amp; b &eacute;&#233;&#xE9;": "a & b ééé", "&amp;lt; &lt;": "&lt; <", "&unknown; & &#0; &#x110000; &#55296;": "&unknown; & &#0; &#x110000; &#55296;", "&#8211;&#128512;&nbsp;&apos;": "–😀\xa0'", None: None, "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(filings.common_entities(F.col("t"))).collect()] == list(cases.values())
+    page = spark.createDataFrame([("<p>Caf&eacute; &#8211; x</p><table><tr><td>&lt;b&gt;&nbsp;1</td></tr></table>",)], "h string")
+    assert page.select(filings.visible_lines(F.col("h"))).first()[0] == ["Café – x", "<b> 1"]
+
+
+def test_replies_that_do_not_parse_are_rejects(spark):
+    rows = [(1, 'x {"equity": [{"field": "f", "label": "l", "value": "5", "year": 2020}], "cash_flow": []}'), (2, '{"equity": ['), (3, None), (4, "no braces"), (5, "{}")]
+    good, bad = filings.external_observations(spark.createDataFrame(rows, "id int, reply string"), "reply", ["id"])
+    assert [(r.id, r.statement, r.field, r.year) for r in good.collect()] == [(1, "equity", "f", 2020)] and sorted(r.id for r in bad.collect()) == [2, 3, 4]
 
 
 def test_second_run_takes_nothing(spark, tmp_path):
