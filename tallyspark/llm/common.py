@@ -74,9 +74,11 @@ def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset a temporary one, on one machine only (an error elsewhere)."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -121,8 +123,11 @@ def range_of(column: Column, bounds: list[int]) -> Column:
     """How many bounds lie below the value: the ranges' numbers ascend with the ids, null is in the last one."""
     if not bounds:
         return F.lit(0)
-    at = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.when(column.isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(at, lambda b: b < column)))
+    at, n = F.array(*[F.lit(b).cast("long") for b in bounds]), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    # A search by halves: as many steps as the number of bounds has bits.
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(at, low + step - 1) < column), low + step).otherwise(low))
+    return F.when(column.isNull(), F.lit(n)).otherwise(found)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = 200_000) -> DataFrame:

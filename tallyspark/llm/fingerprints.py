@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import mix64, parts, spans_of
+from tallyspark.llm.common import id_bounds, mix64, parts, range_of, spans_of
 
 SIZE = 64
 CHARS = 1_000_000
@@ -133,16 +133,15 @@ def in_descending_order(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     n = parts(spark)
-    at = sorted(set(rows.approxQuantile("__id", [i / n for i in range(1, n)], 0.25 / n)), reverse=True) if n > 1 else []
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in at]) if at else F.array().cast("array<long>")
-    rows = rows.withColumn("__bucket", F.when(F.col("__id").isNull(), F.lit(len(at))).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("__id")))))
+    bounds = id_bounds(rows, "__id", n)
+    rows = rows.withColumn("__bucket", F.when(F.col("__id").isNull(), F.lit(len(bounds))).otherwise(F.lit(len(bounds)) - range_of(F.col("__id"), bounds)))
     heads = sorted(((r["__bucket"], r["top"]) for r in rows.groupBy("__bucket").agg(F.max("__id").alias("top")).collect()))
     guests = [(b, top, heads[i - 1][0]) for i, (b, top) in enumerate(heads)]
     small = F.broadcast(spark.createDataFrame(guests or [(0, 0, 0)], "__bucket int, __top long, __to int"))
     place = lambda bucket, guest: F.struct(F.col(bucket).cast("int").alias("b"), F.lit(guest).alias("g"))
     places = F.when(F.col("__id").eqNullSafe(F.col("__top")), F.array(place("__bucket", False), place("__to", True))).otherwise(F.array(place("__bucket", False)))
     rows = rows.join(small, "__bucket").select(F.inline(places).alias("__bucket", "__guest"), "__id", "__text")
-    return rows.repartition(n, "__bucket").sortWithinPartitions("__bucket", "__guest", F.col("__id").desc_nulls_last(), F.xxhash64("__text"))
+    return rows.repartitionById(n, "__bucket").sortWithinPartitions("__bucket", "__guest", F.col("__id").desc_nulls_last(), F.xxhash64("__text"))
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
