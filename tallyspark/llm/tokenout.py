@@ -306,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
     n = parts(spark)
     bounds = id_bounds(docs, id_col, n)
     rows = tokenize(docs, tokenizer, end_id, id_col, text_col, special).withColumn("__range", range_of(F.col("__id"), bounds))
-    rows = rows.repartition(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_last(), "__hash").select("__range", "__id", "__low", "__high")
+    rows = rows.repartitionById(n, "__range").sortWithinPartitions("__range", F.col("__id").asc_nulls_last(), "__hash").select("__range", "__id", "__low", "__high")
     blocks = written(rows.mapInPandas(cut, ", ".join(f"{k} {v}" for k, v in _RAW.items())), "tokens")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
