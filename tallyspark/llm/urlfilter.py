@@ -72,12 +72,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
 
     rows = pages.select(F.col(id_col).alias("__id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("__canonical", canonical(F.col("host"), F.col("path"))).withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
-    held = rows.where("__canonical IS NOT NULL").select("*", *_bits(F.col("__canonical"), blocks)).join(small_or_shuffled(bloom), "__block", "left")
+    held = rows.select("*", *_bits(F.col("__canonical"), blocks)).join(small_or_shuffled(bloom), "__block", "left")
     all_set = " AND ".join(f"coalesce(__w{i} & __f{i}, 0) <> 0" for i in range(WORDS))
-    held = held.withColumn("__maybe", F.expr(all_set)).select(*rows.columns, "__maybe")
-    sure = small_or_shuffled(keys).withColumn("__in", F.lit(True))
-    hits = held.where("__maybe").join(sure, F.col("__canonical") == F.col("__listed"), "left").select(*rows.columns, F.coalesce("__in", F.lit(False)).alias("listed"))
-    rest = held.where("NOT __maybe").select(*rows.columns, F.lit(False).alias("listed"))
-    none = rows.where("__canonical IS NULL").select("*", F.lit(False).alias("listed"))
+    # One scan: what passes the filter joins under its URL, the rest under keys that no URL has, spread by their hash.
+    key = F.when(F.expr(f"__canonical IS NOT NULL AND {all_set}"), F.col("__canonical")).otherwise(F.concat(F.lit("\n"), F.xxhash64("__id", "path").cast("string")))
+    sure = small_or_shuffled(keys.select(F.col("__listed").alias("__key"), F.lit(True).alias("__in")))
+    out = held.withColumn("__key", key).join(sure, "__key", "left").withColumn("listed", F.coalesce("__in", F.lit(False)))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return hits.unionByName(rest).unionByName(none).select(F.col("__id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    return out.select(F.col("__id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "listed")
