@@ -29,13 +29,14 @@ STORE = {
 }
 
 
-def _state(digests: DataFrame, folder: str, files_a_batch: int | None) -> DataFrame:
+#: Micro-batches of a run.
+BATCHES = 2
+
+
+def _state(digests: DataFrame, folder: str, files_a_batch: int) -> DataFrame:
     """One row a digest: ``__digest, __keep, __n, __at``, from the update log of the stateful stream."""
     spark = digests.sparkSession
-    stream = spark.readStream.schema(digests.schema)
-    if files_a_batch:
-        stream = stream.option("maxFilesPerTrigger", files_a_batch)
-    rows = stream.parquet(f"{folder}/digests")
+    rows = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", max(1, files_a_batch)).parquet(f"{folder}/digests")
     # (known, id, locator) orders null ids before all others and ties by locator.
     best = F.max(F.struct(F.col("__id").isNotNull().alias("known"), F.col("__id").alias("id"), F.col("__at").alias("at")))
     state = rows.groupBy("__digest").agg(best.alias("best"), F.count(F.lit(1)).alias("__n"))
@@ -57,15 +58,16 @@ def _state(digests: DataFrame, folder: str, files_a_batch: int | None) -> DataFr
         for key, value in before.items():
             spark.conf.set(key, value) if value else spark.conf.unset(key)
     log = spark.read.schema(f"{log_schema}, batch long").parquet(f"{folder}/log")
-    last = log.groupBy("__digest").agg(F.max_by(F.struct("best", "__n"), "__n").alias("s")) if files_a_batch else log.select("__digest", F.struct("best", "__n").alias("s"))
+    last = log.groupBy("__digest").agg(F.max_by(F.struct("best", "__n"), "__n").alias("s"))
     return last.select("__digest", F.col("s.best.id").alias("__keep"), F.col("s.best.at").alias("__at"), F.col("s.__n").alias("__n"))
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None, files_a_batch: int | None = None) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None, batches: int = BATCHES) -> DataFrame:
     """``id_col, keep_id, group_size, kept, text_sha256`` of every row, dropped ones too.
 
     ``digest`` is SQL for the state's key over the column ``__text`` (SHA-256 by default; shorter ones
-    collide, which only costs time). ``files_a_batch`` makes micro-batches of so many files.
+    collide, which only costs time). The digests' files stream in ``batches`` micro-batches, so later
+    ones meet the state of earlier ones.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "exactdedup")
@@ -73,7 +75,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     sha = F.col("__digest") if digest is None else F.sha2("__text", 256)
     rows.select("__id", "__digest", F.spark_partition_id().alias("__at"), sha.alias("__sha")).write.option("compression", "zstd").parquet(f"{folder}/digests")
     digests = spark.read.schema("__id long, __digest string, __at int, __sha string").parquet(f"{folder}/digests")
-    state = written(_state(digests, folder, files_a_batch), "exactdedup-state")
+    state = written(_state(digests, folder, -(-len(digests.inputFiles()) // batches)), "exactdedup-state")
     many = state.where("__n > 1")
 
     # Full bytes on hits: the texts under a digest are one text if their least and greatest are equal.

@@ -23,7 +23,7 @@ def brute(rows):
 @pytest.mark.parametrize("files", [None, 1])
 def test_matches_brute_force_even_with_collisions(spark, digest, files):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in ROWS], "doc_id long, text string, keep_id int, __n string").repartition(3)
-    got = sorted((tuple(r) for r in exactdedup.classify(docs, digest=digest, files_a_batch=files).collect()), key=str)
+    got = sorted((tuple(r) for r in exactdedup.classify(docs, digest=digest, batches=files or 2).collect()), key=str)
     assert got == brute(ROWS)
 
 
