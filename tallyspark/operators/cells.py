@@ -17,8 +17,9 @@ CLAUSES = "laba ditahan|adalah|merupakan|dapat|telah|sudah|akan|kami|perseroan|p
 YEAR = r"^(?:19|20)\d{2}$"
 
 
-def is_value_cell(cell: Column) -> Column:
-    t = strip(cell)
+def is_value_cell(cell: Column, stripped: bool = False) -> Column:
+    """Whether a cell has the form of a figure; ``stripped``: it has no space at its ends."""
+    t = cell if stripped else strip(cell)
     return F.coalesce(t.rlike("[0-9]") & ((t.rlike(VALUE) & ~t.rlike(NOT_VALUE)) | t.rlike(r"^\(?[\d.,]+\)?$")), F.lit(False))
 
 
@@ -36,7 +37,7 @@ def split_rows(rows: DataFrame, cells: str = "cells") -> DataFrame:
     """
     plain = F.transform(cells, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
     out = rows.withColumn("__c", plain)
-    out = out.withColumn("__at", F.array_position(F.transform("__c", lambda c: (c != "") & ~c.rlike(YEAR) & is_value_cell(c)), True)).where("__at > 0")
+    out = out.withColumn("__at", F.array_position(F.transform("__c", lambda c: (c != "") & c.rlike("[0-9]") & ~c.rlike(YEAR) & is_value_cell(c, stripped=True)), True)).where("__at > 0")
     out = out.withColumn("label", F.array_join(F.filter(F.slice("__c", F.lit(1), F.greatest(F.col("__at").cast("int") - 1, F.lit(0))), lambda c: c != ""), " "))
     out = out.where((F.col("label") != "") & ~is_prose(F.col("label")))
     return out.withColumn("values", F.filter(F.slice("__c", F.greatest(F.col("__at").cast("int"), F.lit(1)), F.size("__c")), lambda c: c.rlike("[0-9]"))).drop("__c", "__at")
