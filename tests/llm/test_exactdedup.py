@@ -27,6 +27,32 @@ def test_matches_brute_force_even_with_collisions(spark, digest, files):
     assert got == brute(ROWS)
 
 
+@pytest.mark.parametrize("digest", [None, "substring(sha2(__text, 256), 1, 1)", "'x'"])
+def test_later_calls_meet_the_state_of_earlier_ones(spark, tmp_path, digest):
+    # Rows of earlier calls with larger and with smaller ids, collisions found in one call and met in the next.
+    calls = [[(5, "a"), (1, "b"), (2, None)], [], [(9, "a"), (3, "b"), (4, "c"), (None, "c")], [(6, ""), (7, "a"), (8, "d"), (9, "a")]]
+    seen = []
+    for rows in calls:
+        seen += rows
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((tuple(r) for r in exactdedup.classify(docs, digest=digest, state_dir=str(tmp_path / "state")).collect()), key=str)
+        so_far = brute(seen)
+        want = [next(r for r in so_far if r[0] == i and r[4] == hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+        assert got == sorted(want, key=str)
+
+
+def test_a_failed_call_is_repeated(spark, tmp_path, monkeypatch):
+    state, schema = str(tmp_path / "state"), "doc_id long, text string"
+    exactdedup.classify(spark.createDataFrame([(1, "a")], schema), state_dir=state)
+    again = spark.createDataFrame([(2, "a"), (3, "b")], schema)
+    with monkeypatch.context() as broken:
+        broken.setattr(exactdedup, "written", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            exactdedup.classify(again, state_dir=state)
+    got = exactdedup.classify(again, state_dir=state).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.keep_id, r.group_size) for r in got] == [(2, 2, 2), (3, 3, 1)]
+
+
 def test_large_group_is_salted_whole(spark):
     rows = [(i, "same") for i in range(12_000)] + [(20_000 + i, f"t{i}") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
