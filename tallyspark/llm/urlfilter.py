@@ -21,8 +21,8 @@ from tallyspark.llm.common import small_or_shuffled, written
 
 BITS_A_URL = 16
 WORDS = 8
-#: Rules are a configuration, not data: they stand in the plan as a literal.
-MOST_RULES = 1000
+#: Up to so many rules stand in the plan as a literal; more are joined by host. Results are the same.
+LITERAL_RULES = 200
 _URL = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
 
@@ -46,12 +46,23 @@ def canonical(host: Column, path: Column) -> Column:
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """``struct(size, rule, verdict)`` of the longest rule (verdict, host, path) that fits, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     fits = [F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
+def with_longest_rule(rows: DataFrame, rules: Sequence[tuple[str, str, str]], literal: int = LITERAL_RULES) -> DataFrame:
+    """``rows`` (with ``host, path``) and ``__rule`` as by ``longest_rule``; many rules meet each distinct URL at its host and at every domain above it."""
+    if len(rules) <= literal:
+        return rows.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
+    listed = rows.sparkSession.createDataFrame([(h, p, v) for v, h, p in rules], "__domain string, __start string, verdict string")
+    listed = listed.select("__domain", "__start", F.length(F.concat("__domain", "__start")).alias("size"), F.concat("__domain", "__start").alias("rule"), "verdict")
+    labels = F.split("host", "[.]")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = rows.select("host", "path").distinct().withColumn("__domain", F.explode(domains)).join(small_or_shuffled(listed), "__domain")
+    best = met.where(F.col("path").startswith(F.col("__start"))).groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("__rule"))
+    return rows.join(small_or_shuffled(written(best, "url-rules")), ["host", "path"], "left")
+
+
 def _bits(url: Column, blocks: int) -> list[Column]:
     second = F.xxhash64(url, F.lit(17))
     bit = lambda i: F.pmod(F.shiftrightunsigned(second, 5 * i), F.lit(32))
@@ -71,7 +82,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     bloom = bloom_blocks(keys, "__listed", blocks)
 
     rows = pages.select(F.col(id_col).alias("__id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = rows.withColumn("__canonical", canonical(F.col("host"), F.col("path"))).withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("__canonical", canonical(F.col("host"), F.col("path")))
+    rows = with_longest_rule(rows, rules)
     held = rows.select("*", *_bits(F.col("__canonical"), blocks)).join(small_or_shuffled(bloom), "__block", "left")
     all_set = " AND ".join(f"coalesce(__w{i} & __f{i}, 0) <> 0" for i in range(WORDS))
     # One scan: what passes the filter joins under its URL, the rest under keys that no URL has, spread by their hash.

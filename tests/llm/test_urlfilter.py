@@ -36,6 +36,14 @@ def test_matches_brute_force(spark):
         assert r.verdict == (rule[2] or ("block" if inside else "allow"))
 
 
+def test_many_rules_are_joined_to_the_same_end(spark):
+    rules = [*RULES, ("block", "", "/x"), ("allow", "example.org", "/es/1"), ("block", "c.net", ""), ("block", "b", "/"), ("allow", "b.com", "/de/9"), ("block", "b.com", "/de/9")]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, *URLS, "http://.c.net./x", "http://a..com/fr/"])], "page_id long, url string")
+    rows = rows.select("page_id", urlfilter.host_of(rows.url).alias("host"), urlfilter.path_of(rows.url).alias("path"))
+    literal, joined = ({r.page_id: r["__rule"] for r in urlfilter.with_longest_rule(rows, rules, literal=n).collect()} for n in (200, 0))
+    assert len(joined) == rows.count() and literal == joined and sum(r is not None for r in joined.values()) > 10
+
+
 def test_filter_passes_every_listed_url(spark):
     listed = spark.range(3000).selectExpr("concat('http://h', id % 7, '.net/p', id) AS url")
     out = urlfilter.judge(listed.withColumn("page_id", listed.url), listed, RULES)
