@@ -18,6 +18,11 @@
    blocks of 256 classes; each pair of blocks compares its registers, and small sets' 32-bit hashes, in
    one task, which sends on only pairs that pass, each from the first bucket that the two share.
    Then 6 again.
+8. A bucket of very many components (a passage that many texts share) isn't compared as such: before
+   7, its classes are dealt anew by the rarest shingles of their full sets. Linked sets of n have
+   n - ceil(0.75 n) + 1 rarest ones that can't all be missing in the other (prefix filtering, one
+   order for all), so no link is lost, and texts with nothing in common but the passage don't meet.
+   These buckets go through a star and blocks as well.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import mix64, powers, salted_join, small_or_shuffled, spans_of, written
@@ -45,6 +50,8 @@ ROUNDS = (range(0, 1), range(1, 3), range(3, 8), range(8, 32))
 MANTISSA = 10
 SLACK = 4.0
 BLOCK = 256
+#: Buckets with more blocks than this outside their largest component are dealt anew by rare shingles; links are the same.
+HOT_BLOCKS = 8
 #: Sets up to this size go along as 32-bit hashes where pairs are compared in blocks.
 SMALL_SET = 256
 CHARS = 1_000_000
@@ -192,14 +199,13 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return buckets.join(several, "key")
 
 
-def _star(shared: DataFrame, labels: DataFrame, bands: range) -> DataFrame:
-    """``a, b, ca, cb``: in each bucket of ``bands``, one class of every component with the bucket's leader, and their components.
+def _star(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b, ca, cb``: in each bucket, one class of every component with the bucket's leader, and their components.
 
     Leader and classes are those whose names, crossed with the bucket's, are least: others in each bucket.
     """
     rank = F.col("node").bitwiseXOR(F.col("key"))
-    own = shared.where(F.col("band").between(bands.start, bands.stop - 1)).join(labels, "node")
-    one = own.groupBy("key", "comp").agg(F.min(rank).alias("rank"))
+    one = shared.join(labels, "node").groupBy("key", "comp").agg(F.min(rank).alias("rank"))
     lead = one.groupBy("key").agg(F.min(F.struct("rank", "comp")).alias("lead"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "lead")
     pair = one.join(lead, "key").where("comp <> lead.comp")
     end = lambda rank, comp: F.struct(F.col(rank).bitwiseXOR(F.col("key")).alias("node"), F.col(comp).alias("comp"))
@@ -272,8 +278,38 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hopeful pairs of different components within a bucket, each from the first bucket that the two share."""
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, main, others, mains``: buckets that still hold several components, the largest of these, and the blocks outside and inside it."""
+    parts_of = shared.join(labels, "node").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "comp"))
+    several = parts_of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), largest.alias("main")).where("comps > 1 AND size > 2")  # of two classes one is the leader
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    return several.select("key", F.col("main.comp").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
+
+
+def _rare(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, node``: the rarest shingles among ``some`` nodes of each one's set, so many that sets similar enough share one.
+
+    Shingles of one set alone are rarest of all and lead to no other; of those that several sets have,
+    what is left of the number goes on, and a set with more of the former than that has no link here.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["items"].str.len().to_numpy() // 8
+            for i, j in spans_of(sizes.tolist(), CHARS):
+                yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["items"].iloc[i:j]), "<i8"), "node": np.repeat(batch["node"].to_numpy()[i:j], sizes[i:j]), "size": np.repeat(sizes[i:j], sizes[i:j])})
+
+    items = written(sets.join(some, "node", "left_semi").mapInPandas(spread, "key long, node long, size long"), "minhash-items")
+    often = written(items.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "minhash-often")
+    met = salted_join(items, often, "key", "uses", "node", per=50_000).where("uses IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("uses", "key"))
+    ranked = met.select("key", "node", "size", rank.alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("common"))
+    return ranked.where(f"rank <= common - (size * {SIMILAR} + 99) div 100 + 1").select("key", "node")
+
+
+def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFrame, banded: bool = True) -> DataFrame:
+    """Hopeful pairs of different components within the ``mixed`` buckets; of bands', each from the first bucket that the two share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -305,9 +341,10 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
             if lo == hi:
                 pick &= i < j
             i, j = i[pick], j[pick]
-            first = np.argmax(keys[i] == keys[j], axis=1)
-            pick = keys[i, first] == key
-            i, j = i[pick], j[pick]
+            if banded:
+                first = np.argmax(keys[i] == keys[j], axis=1)
+                pick = keys[i, first] == key
+                i, j = i[pick], j[pick]
             pick = may_link(regs[i], regs[j], n[i], n[j])
             i, j = i[pick], j[pick]
             pick = np.array([_small_link(small[a], small[b]) for a, b in zip(i, j, strict=True)], bool)
@@ -316,13 +353,7 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
             out.append(np.stack([node[i], node[j], comp[i], comp[j]], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
 
-    named = shared.join(labels, "node").select("key", "node", "comp")
-    parts_of = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = F.max(F.struct("n", "comp"))
-    several = parts_of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), largest.alias("main")).where("comps > 1 AND size > 2")  # of two classes one is the leader
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    several = several.select("key", F.col("main.comp").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
-    rows = named.join(several, "key").join(nodes.select("node", "n", "regs", "small"), "node")
+    rows = shared.select("key", "node").join(mixed, "key").join(labels, "node").join(nodes.select("node", "n", "regs", "small"), "node")
     # Blocks of the others come first, those of the largest component last; its blocks meet others' blocks only.
     place, is_main = F.xxhash64("node"), F.col("comp") == F.col("main")
     rows = rows.withColumn("block", F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
@@ -352,16 +383,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = written(_sets(nodes, docs, id_col, text_col), "minhash-sets")
     labels = written(nodes.select("node", F.col("node").alias("comp")), "minhash-labels")
     tried = None
-    for bands in ROUNDS:
-        pairs = _star(shared, labels, bands)
+
+    def star(rows: DataFrame) -> None:
+        nonlocal labels, tried
+        pairs = _star(rows, labels)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "minhash-star")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         labels = _joined(labels, written(_confirm(written(_hopeful(pairs, nodes), "minhash-hopeful"), sets), "minhash-links"))
-    across = written(_across(shared, labels, nodes).join(tried, ["a", "b"], "left_anti"), "minhash-across")
-    if across.limit(1).count():
-        labels = _joined(labels, written(_confirm(across, sets), "minhash-links"))
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal labels
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-across")
+        if pairs.limit(1).count():
+            labels = _joined(labels, written(_confirm(pairs, sets), "minhash-links"))
+
+    for bands in ROUNDS:
+        star(shared.where(F.col("band").between(bands.start, bands.stop - 1)))
+    mixed = written(_mixed(shared, labels), "minhash-mixed")
+    hot = mixed.where(F.col("others") > HOT_BLOCKS)
+    if hot.limit(1).count():
+        some = shared.join(small_or_shuffled(hot.select("key")), "key", "left_semi").select("node").distinct()
+        rare = written(_shared(_rare(some, sets)), "minhash-rare")
+        star(rare)
+        compare(_across(rare, labels, nodes, _mixed(rare, labels), banded=False).distinct())
+    compare(_across(shared, labels, nodes, mixed.where(F.col("others") <= HOT_BLOCKS)))
     named = classes.join(labels, "node", "left").select("node", "size", "best", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("best").alias("best"))
     named = named.drop("best").join(least, "comp").select(F.col("node").alias("__node"), "size", "best")

@@ -75,6 +75,26 @@ def test_blocks_of_large_buckets_lose_nothing(spark, monkeypatch):
     assert sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
+def test_rare_shingles_lose_nothing(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "HOT_BLOCKS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "ROUNDS", ())  # all links are found by rare shingles
+    assert sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
+def test_texts_that_share_a_passage_only_do_not_meet_by_rare_shingles(spark):
+    sets, rng = [], np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 62, 60).astype("<i8")
+    for _ in range(300):
+        sets.append(np.r_[passage, rng.integers(0, 1 << 62, 40).astype("<i8")])
+    sets.append(np.r_[sets[7][:-10], rng.integers(0, 1 << 62, 10).astype("<i8")])
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, items binary")
+    met = minhash._shared(minhash._rare(frame.select("node"), frame)).collect()
+    assert {r.node for r in met} == {7, 300} and len({r.key for r in met}) == 16  # 26 rarest ones, 10 of them in one set alone
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     for n, share in [(2000, 0.9), (2000, 0.75), (500, 0.5), (40, 0.75)]:
