@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, minhash, packing, pii, sentencepieces, tokenout, toxicity, urlfilter
+from tallyspark.llm import chat, exactdedup, fingerprints, hardnegatives, minhash, packing, pii, sentencepieces, tokenout, toxicity, urlfilter, vectorcodes
 from tallyspark.llm.common import table, written
 
 
@@ -66,6 +66,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector stands under the label after its own; every hundredth is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel=label)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,9 +87,44 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
+
+
+def _assigned(n: int, books: str) -> str:
+    """Parts with their nearest entry of a codebook."""
+    return f"""a{n} AS (SELECT vec_id, label, p, x, arg_min(j, struct_pack(d := d, j := j)) AS j, min(d) AS d FROM (
+            SELECT v.vec_id, v.label, v.p, v.x, b.j, list_sum(list_transform(list_zip(v.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut v JOIN {books} b USING (p)) GROUP BY vec_id, label, p, x)"""
+
+
+def _refitted(n: int, books: str) -> str:
+    """Entries as floored means of the parts assigned to them; unused ones stay."""
+    mean = "list_transform(range(1, len(any_value(x)) + 1), lambda i: CAST(floor(list_sum(list_transform(list(x), lambda y: y[i]))::DOUBLE / count(*)) AS BIGINT))"
+    return f"b{n} AS (SELECT p, j, coalesce(m.e, o.e) AS e FROM {books} o LEFT JOIN (SELECT p, j, {mean} AS e FROM a{n} GROUP BY p, j) m USING (p, j))"
+
+
 ORACLE: dict[str, str] = {
+    "op11_vector_codes": f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM kept, range(16) r(p)),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS e FROM cut QUALIFY j < 64),
+        {_assigned(1, "b0")}, {_refitted(1, "b0")}, {_assigned(2, "b1")}, {_refitted(2, "b1")}, {_assigned(3, "b2")},
+        coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, j)) FROM b2) AS codebooks_sha256 FROM coded""",
+    "op12_hard_negatives": """
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS MATERIALIZED (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM kept a, kept r WHERE a.id % 100 = 0 AND a.id <> r.id),
+        positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM positives JOIN scored s USING (anchor_id) WHERE NOT same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY rank <= 5""",
     "op6_url_filter": r"""
         WITH u AS (
             SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
