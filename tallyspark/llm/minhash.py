@@ -6,7 +6,7 @@
    register keeps the number of leading zeros (6 bits) and ten bits after the leading one. Empty
    buckets borrow from others in a fixed random order (the same for all texts).
 3. Candidates: 32 bands of four registers. Classes that share no band with another one are done.
-4. The others meet in rounds, over 1, 2, 5 and 24 bands. In a band's bucket one class of each component
+4. The others meet in rounds, over 1, 5 and 26 bands. In a band's bucket one class of each component
    so far meets one leader drawn at random (a star, no pairs), another one in each band; a pair that
    has been tried isn't tried again.
 5. The share of equal registers, corrected for chance collisions, estimates the similarity; pairs
@@ -35,18 +35,18 @@ under it, and where all ids are null, the one of the smallest hash), and every r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import mix64, powers, salted_join, small_or_shuffled, spans_of, written
 
 WORDS, SIMILAR = 5, 75
 REGISTERS, BANDS = 128, 32
-ROUNDS = (range(0, 1), range(1, 3), range(3, 8), range(8, 32))
+ROUNDS = (range(0, 1), range(1, 6), range(6, 32))
 MANTISSA = 10
 SLACK = 4.0
 BLOCK = 256
@@ -56,6 +56,9 @@ HOT_BLOCKS = 8
 SMALL_SET = 256
 CHARS = 1_000_000
 
+#: Makes from a block's rows what tells, of pairs of them by number and of a bucket, which may link.
+Near = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, int], np.ndarray]]
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,8 +67,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, ascending: whole batches by array operations on their bytes."""
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Each text's distinct hashes of ``words`` words in a row, ascending: whole batches by array operations on their bytes."""
     data = [(t or "").encode("utf-8", "surrogatepass") + b" " for t in texts]
     raw = _LOWER[np.frombuffer(b"".join(data), np.uint8)]
     space = _SPACE[raw]
@@ -82,7 +85,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
             if n <= 0:
                 out.append(np.zeros(0, np.uint64))
             else:
-                k = min(WORDS, n)
+                k = min(words, n)
                 rolled = np.full(n - k + 1, k, np.uint64)
                 for i in range(k):
                     rolled = mix64(rolled * np.uint64(31) + word[start + i : start + i + n - k + 1])
@@ -91,6 +94,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def set_name(items: np.ndarray) -> np.int64:
+    """A set's 64-bit name."""
+    with np.errstate(over="ignore"):
+        return mix64(np.array([items.sum(dtype=np.uint64) + np.bitwise_xor.reduce(mix64(items ^ np.uint64(_BASE))) * np.uint64(31) + np.uint64(len(items))], np.uint64)).view(np.int64)[0]
+
+
 _ROUNDS = 256
 
 
@@ -173,8 +182,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = batch["__text"].tolist()
             for i, j in spans_of([len(t) for t in texts], CHARS):
                 sets = shingle_sets(texts[i:j])
-                with np.errstate(over="ignore"):
-                    node = [mix64(np.array([s.sum(dtype=np.uint64) + np.bitwise_xor.reduce(mix64(s ^ np.uint64(_BASE))) * np.uint64(31) + np.uint64(len(s))], np.uint64)).view(np.int64)[0] for s in sets]
+                node = [set_name(s) for s in sets]
                 yield pd.DataFrame({"__id": batch["__id"].iloc[i:j].astype("Int64"), "__hash": batch["__hash"].iloc[i:j], "__n": [len(s) for s in sets], "__node": node, "__regs": [r.tobytes() for r in registers(sets)], "__small": [np.unique(s.astype(np.uint32)).tobytes() if len(s) <= SMALL_SET else b"" for s in sets]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -193,13 +201,13 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return classes.select("node", "regs").mapInPandas(run, "band int, key long, node long")
 
 
-def _shared(buckets: DataFrame) -> DataFrame:
+def shared_rows(buckets: DataFrame) -> DataFrame:
     """The rows of buckets with two classes and more."""
     several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     return buckets.join(several, "key")
 
 
-def _star(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def star_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """``a, b, ca, cb``: in each bucket, one class of every component with the bucket's leader, and their components.
 
     Leader and classes are those whose names, crossed with the bucket's, are least: others in each bucket.
@@ -231,14 +239,14 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.select("a", "b", "ca", "cb", "n", "m", "x", "y").mapInPandas(run, _PAIR)
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """``node, items``: the full sets of ``nodes``, one text each; no others are made."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["__text"].tolist()
             for i, j in spans_of([len(t) for t in texts], CHARS):
-                yield pd.DataFrame({"node": batch["__node"].iloc[i:j], "items": [s.tobytes() for s in shingle_sets(texts[i:j])]})
+                yield pd.DataFrame({"node": batch["__node"].iloc[i:j], "items": [s.tobytes() for s in shingle_sets(texts[i:j], words)]})
 
     needed = small_or_shuffled(nodes.select(F.col("node").alias("__node"), "class_id", "hash"))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -246,7 +254,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     return chosen.select("__node", "__text").mapInPandas(run, "node long, items binary").dropDuplicates(["node"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +263,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= SIMILAR * (len(p) + len(q) - both))
+                keep.append(100 * both >= similar * (len(p) + len(q) - both))
             yield batch.loc[keep, ["a", "b", "ca", "cb"]]
 
     asked = small_or_shuffled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -266,7 +274,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` of every node in some link: the least node that it reaches. Label passing with jumps, a table a round."""
-    ways = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = written(links.select(F.inline(both)).distinct(), "links")
     labels = written(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
     while True:
         heard = ways.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -278,7 +287,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """``key, main, others, mains``: buckets that still hold several components, the largest of these, and the blocks outside and inside it."""
     parts_of = shared.join(labels, "node").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = F.max(F.struct("n", "comp"))
@@ -287,7 +296,7 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return several.select("key", F.col("main.comp").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
 
 
-def _rare(some: DataFrame, sets: DataFrame) -> DataFrame:
+def rare_buckets(some: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """``key, node``: the rarest shingles among ``some`` nodes of each one's set, so many that sets similar enough share one.
 
     Shingles of one set alone are rarest of all and lead to no other; of those that several sets have,
@@ -305,11 +314,32 @@ def _rare(some: DataFrame, sets: DataFrame) -> DataFrame:
     met = salted_join(items, often, "key", "uses", "node", per=50_000).where("uses IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("uses", "key"))
     ranked = met.select("key", "node", "size", rank.alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("common"))
-    return ranked.where(f"rank <= common - (size * {SIMILAR} + 99) div 100 + 1").select("key", "node")
+    return ranked.where(f"rank <= common - (size * {similar} + 99) div 100 + 1").select("key", "node")
+
+
+def near_registers(banded: bool) -> Near:
+    """By registers and small sets; of bands' buckets, each pair from the first bucket that the two share."""
+
+    def of(rows: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
+        regs, n = np.frombuffer(b"".join(rows["regs"]), "<u2").reshape(len(rows), REGISTERS), rows["n"].to_numpy()
+        small = [np.frombuffer(x, "<u4") if x else None for x in rows["small"]]
+        keys = band_keys(regs)
+
+        def near(i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+            left = np.arange(len(i))
+            if banded:
+                first = np.argmax(keys[i] == keys[j], axis=1)
+                left = left[keys[i, first] == key]
+            left = left[may_link(regs[i[left]], regs[j[left]], n[i[left]], n[j[left]])]
+            return left[[_small_link(small[i[k]], small[j[k]]) for k in left]] if len(left) else left
+
+        return near
+
+    return of
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFrame, banded: bool = True) -> DataFrame:
-    """Hopeful pairs of different components within the ``mixed`` buckets; of bands', each from the first bucket that the two share."""
+def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFrame, of: Near) -> DataFrame:
+    """Hopeful pairs of different components within the ``mixed`` buckets; ``of`` tells which pairs of a block's rows may link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -329,11 +359,9 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataF
         if not len(rows):
             return pd.DataFrame(np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
         key, lo, hi = rows[["key", "lo", "hi"]].iloc[0]
-        regs = np.frombuffer(b"".join(rows["regs"]), "<u2").reshape(len(rows), REGISTERS)
-        place, comp, n, node = (rows[c].to_numpy() for c in ("block", "comp", "n", "node"))
-        small = [np.frombuffer(x, "<u4") if x else None for x in rows["small"]]
+        place, comp, node = (rows[c].to_numpy() for c in ("block", "comp", "node"))
+        near, out = of(rows), []
         one, two = np.flatnonzero(place == lo), np.flatnonzero(place == hi)
-        keys, out = band_keys(regs), []
         for start in range(0, len(one), 64):
             x = one[start : start + 64]
             i, j = (v.ravel() for v in np.meshgrid(x, two, indexing="ij"))
@@ -341,25 +369,19 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataF
             if lo == hi:
                 pick &= i < j
             i, j = i[pick], j[pick]
-            if banded:
-                first = np.argmax(keys[i] == keys[j], axis=1)
-                pick = keys[i, first] == key
-                i, j = i[pick], j[pick]
-            pick = may_link(regs[i], regs[j], n[i], n[j])
-            i, j = i[pick], j[pick]
-            pick = np.array([_small_link(small[a], small[b]) for a, b in zip(i, j, strict=True)], bool)
+            pick = near(i, j, key)
             i, j = i[pick], j[pick]
             i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
             out.append(np.stack([node[i], node[j], comp[i], comp[j]], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
 
-    rows = shared.select("key", "node").join(mixed, "key").join(labels, "node").join(nodes.select("node", "n", "regs", "small"), "node")
+    rows = shared.select("key", "node").join(mixed, "key").join(labels, "node").join(nodes.drop("class_id", "hash"), "node")
     # Blocks of the others come first, those of the largest component last; its blocks meet others' blocks only.
     place, is_main = F.xxhash64("node"), F.col("comp") == F.col("main")
     rows = rows.withColumn("block", F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.select("key", "lo", "hi", "block", "node", "comp", "n", "regs", "small")
+    rows = rows.select("key", "lo", "hi", "block", "node", "comp", *[c for c in nodes.columns if c not in ("node", "class_id", "hash")])
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, _PAIR)
 
@@ -370,49 +392,78 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(small_or_shuffled(moved), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "minhash-labels")
 
 
+class Grouping:
+    """Labels of nodes (``node, comp``), joined by links that stars and blocks find and full sets confirm."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, hopeful: Callable[[DataFrame], DataFrame], similar: int = SIMILAR) -> None:
+        self.nodes, self.sets, self.hopeful, self.similar = nodes, sets, hopeful, similar
+        self.labels = written(nodes.select("node", F.col("node").alias("comp")), "minhash-labels")
+        self.tried: DataFrame | None = None
+
+    def _link(self, pairs: DataFrame) -> None:
+        self.labels = _joined(self.labels, confirmed(pairs, self.sets, self.similar))
+
+    def star(self, rows: DataFrame) -> None:
+        """One class of each component of a bucket with its leader; pairs that were tried aren't again."""
+        pairs = star_pairs(rows, self.labels)
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "minhash-star")
+        self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
+        near = written(self.hopeful(pairs), "minhash-hopeful")
+        if near.limit(1).count():
+            self._link(near)
+
+    def compare(self, rows: DataFrame, mixed: DataFrame, of: Near) -> None:
+        """All pairs across components in ``mixed`` buckets, in blocks."""
+        pairs = across(rows, self.labels, self.nodes, mixed, of)
+        pairs = written((pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")).distinct(), "minhash-across")
+        if pairs.limit(1).count():
+            self._link(pairs)
+
+    def finish(self, shared: DataFrame, of: Near, of_rare: Near) -> DataFrame:
+        """What the stars left: hot buckets dealt anew by rare items, then all other mixed ones. The labels as they are after each step count."""
+        mixed = written(mixed_buckets(shared, self.labels), "minhash-mixed")
+        hot = mixed.where(F.col("others") > HOT_BLOCKS)
+        if hot.limit(1).count():
+            hot_keys = small_or_shuffled(hot.select("key"))
+            some = shared.join(hot_keys, "key", "left_semi").select("node").distinct()
+            rare = written(shared_rows(rare_buckets(some, self.sets, self.similar)), "minhash-rare")
+            self.star(rare)
+            self.compare(rare, written(mixed_buckets(rare, self.labels), "minhash-mixed"), of_rare)
+            cold = mixed.where(F.col("others") <= HOT_BLOCKS).select("key")
+            mixed = written(mixed_buckets(shared.join(small_or_shuffled(cold), "key", "left_semi"), self.labels), "minhash-mixed")
+        self.compare(shared, mixed, of)
+        return self.labels
+
+
+def member_rows(sketches: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``__id, __hash, __n, best`` of every row; ``best`` is its component's smallest id with that text's hash."""
+    named = classes.join(labels, "node", "left").select("node", "size", "best", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("best").alias("best"))
+    named = named.drop("best").join(least, "comp").select(F.col("node").alias("__node"), "size", "best")
+    return salted_join(sketches.select("__id", "__hash", "__n", "__node"), named, "__node", "size", "__id", per=50_000)
+
+
+def best_row() -> Column:
+    """Aggregate: the least id of a class (a null one after all others) with its text's hash."""
+    return F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__hash").alias("hash")))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__id, __hash, __n, best`` of every row; ``best`` is its component's smallest id with that text's hash."""
     sketches = written(sketch(docs, id_col, text_col), "minhash-sketches")
     some = sketches.where("__n > 0")
-    best = F.min(F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__hash").alias("hash")))
-    classes = some.groupBy(F.col("__node").alias("node")).agg(best.alias("best"), F.count(F.lit(1)).alias("size"), F.max("__n").alias("n"), F.first(F.struct("__regs", "__small")).alias("s"))
+    classes = some.groupBy(F.col("__node").alias("node")).agg(best_row().alias("best"), F.count(F.lit(1)).alias("size"), F.max("__n").alias("n"), F.first(F.struct("__regs", "__small")).alias("s"))
     classes = written(classes.select("node", "best", "size", "n", F.col("s.__regs").alias("regs"), F.col("s.__small").alias("small")), "minhash-classes")
-    shared = written(_shared(bucket_rows(classes)), "minhash-shared")
+    shared = written(shared_rows(bucket_rows(classes)), "minhash-shared")
     nodes = classes.join(shared.select("node").distinct(), "node", "left_semi")
     nodes = written(nodes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "n", "regs", "small"), "minhash-nodes")
-    sets = written(_sets(nodes, docs, id_col, text_col), "minhash-sets")
-    labels = written(nodes.select("node", F.col("node").alias("comp")), "minhash-labels")
-    tried = None
-
-    def star(rows: DataFrame) -> None:
-        nonlocal labels, tried
-        pairs = _star(rows, labels)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "minhash-star")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        labels = _joined(labels, written(_confirm(written(_hopeful(pairs, nodes), "minhash-hopeful"), sets), "minhash-links"))
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal labels
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-across")
-        if pairs.limit(1).count():
-            labels = _joined(labels, written(_confirm(pairs, sets), "minhash-links"))
-
+    sets = written(full_sets(nodes, docs, id_col, text_col), "minhash-sets")
+    grouping = Grouping(nodes, sets, lambda pairs: _hopeful(pairs, nodes))
     for bands in ROUNDS:
-        star(shared.where(F.col("band").between(bands.start, bands.stop - 1)))
-    mixed = written(_mixed(shared, labels), "minhash-mixed")
-    hot = mixed.where(F.col("others") > HOT_BLOCKS)
-    if hot.limit(1).count():
-        some = shared.join(small_or_shuffled(hot.select("key")), "key", "left_semi").select("node").distinct()
-        rare = written(_shared(_rare(some, sets)), "minhash-rare")
-        star(rare)
-        compare(_across(rare, labels, nodes, _mixed(rare, labels), banded=False).distinct())
-    compare(_across(shared, labels, nodes, mixed.where(F.col("others") <= HOT_BLOCKS)))
-    named = classes.join(labels, "node", "left").select("node", "size", "best", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("best").alias("best"))
-    named = named.drop("best").join(least, "comp").select(F.col("node").alias("__node"), "size", "best")
-    return salted_join(sketches.select("__id", "__hash", "__n", "__node"), named, "__node", "size", "__id", per=50_000)
+        grouping.star(shared.where(F.col("band").between(bands.start, bands.stop - 1)))
+    return member_rows(sketches, classes, grouping.finish(shared, near_registers(True), near_registers(False)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

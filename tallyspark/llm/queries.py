@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exactdedup, fingerprints, hardnegatives, minhash, packing, pii, sentencepieces, tokenout, toxicity, urlfilter, vectorcodes
+from tallyspark.llm import chat, exactdedup, fingerprints, hardnegatives, minhash, packing, pii, sentencepieces, setjoin, tokenout, toxicity, urlfilter, vectorcodes
 from tallyspark.llm.common import table, written
 
 
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel=label)
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -89,10 +93,26 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_vector_codes": op11_vector_codes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_set_join": op13_set_join,
 }
 
 
 
+def _similar(words: int, percent: int) -> str:
+    """Components of documents whose sets of ``words`` words in a row are similar."""
+    return rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {words - 1}) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.seen FROM r JOIN e ON e.x = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def _assigned(n: int, books: str) -> str:
     """Parts with their nearest entry of a codebook."""
     return f"""a{n} AS (SELECT vec_id, label, p, x, arg_min(j, struct_pack(d := d, j := j)) AS j, min(d) AS d FROM (
@@ -145,17 +165,8 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    "op5_minhash": r"""
-        WITH RECURSIVE w AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
-        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
-        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-        r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.seen FROM r JOIN e ON e.x = r.doc_id)
-        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept
-        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op5_minhash": _similar(5, 75).replace("AS component_id", "AS component_id, r.doc_id = min(seen) AS kept"),
+    "op13_set_join": _similar(4, 85),
     "op9_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations

@@ -91,7 +91,7 @@ def test_texts_that_share_a_passage_only_do_not_meet_by_rare_shingles(spark):
         sets.append(np.r_[passage, rng.integers(0, 1 << 62, 40).astype("<i8")])
     sets.append(np.r_[sets[7][:-10], rng.integers(0, 1 << 62, 10).astype("<i8")])
     frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, items binary")
-    met = minhash._shared(minhash._rare(frame.select("node"), frame)).collect()
+    met = minhash.shared_rows(minhash.rare_buckets(frame.select("node"), frame)).collect()
     assert {r.node for r in met} == {7, 300} and len({r.key for r in met}) == 16  # 26 rarest ones, 10 of them in one set alone
 
 
@@ -134,3 +134,26 @@ def test_star_tries_few_pairs_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_hopeful", lambda pairs, nodes: counts.append(pairs.count()) or plain(pairs, nodes))
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in out} == {0} and sum(counts) < 6 * len(rows)
+
+
+def test_blocks_go_by_the_components_after_the_hot_stage(spark, monkeypatch):
+    """A hot bucket joins an ordinary bucket's largest component to one with a smaller name; its classes still are the largest there."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "HOT_BLOCKS", 3)
+    new = lambda: np.sort(rng.integers(0, 1 << 62, 60).astype("<i8"))
+    sets = {n: new() for n in [*range(1, 20), *range(100, 143)]}
+    sets[1] = np.sort(np.r_[sets[100][:58], new()[:2]])  # links 1 and 100
+    nodes = spark.createDataFrame([(n, None, 0, len(s), bytes(256), b"") for n, s in sets.items()], "node long, class_id long, hash long, n long, regs binary, small binary")
+    frame = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node long, items binary")
+    ordinary, hot = [(7, n) for n in range(100, 143)], [(8, n) for n in [*range(1, 20), 100]]
+    shared = spark.createDataFrame(ordinary + hot, "key long, node long")
+    grouping = minhash.Grouping(nodes, frame, lambda pairs: pairs)
+    grouping.labels = spark.createDataFrame([(n, 100 if 100 <= n < 140 else n) for n in sets], "node long, comp long")
+    met, plain = [], minhash.across
+    monkeypatch.setattr(minhash, "across", lambda rows, labels, nodes, mixed, of: met.append(mixed.collect()) or plain(rows, labels, nodes, mixed, of))
+    near = lambda rows: lambda i, j, key: np.arange(len(i))
+    labels = {r.node: r.comp for r in grouping.finish(shared, near, near).collect()}
+    assert labels[120] == labels[1] == 1 and labels[141] == 141
+    last = {r.key: r for r in met[-1]}
+    assert set(last) == {7} and (last[7].main, last[7].others, last[7].mains) == (1, 1, 10)
