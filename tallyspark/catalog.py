@@ -184,8 +184,11 @@ def _missing(*fields: str) -> str:
 
 def _rows(name: str, expected: str, actual: str, where: str, missing: str = "''", na_where: str = "FALSE") -> str:
     status = _COMPARE.format(e=f"({expected})", a=f"({actual})")
+    percent = f"printf('%.4f%%', 100 * abs(({actual}) - ({expected})) / greatest(abs({expected}), 1.0))"
     return f"""SELECT k, '{name}' AS name, CASE WHEN {where} THEN {status} ELSE 'NOT_APPLICABLE' END AS status, CASE WHEN {where} THEN round(({actual}) - ({expected}), -2) + 0.0E0 END AS difference,
-        CASE WHEN {where} THEN '' ELSE {missing} END AS missing FROM w WHERE ({where}) OR ({na_where})"""
+        CASE WHEN {where} THEN '' ELSE {missing} END AS missing,
+        CASE WHEN NOT ({where}) THEN 'Insufficient data: missing ' || replace({missing}, ',', ', ') WHEN ({status}) = 'VALID' THEN 'Difference N within tolerance (abs<=' || format('{{:,}}', CAST(1000 * scale AS BIGINT)) || ' or rel<=0.1000%)'
+            WHEN ({status}) = 'WARNING' THEN 'Rounding difference N (' || {percent} || ') slightly above tolerance' ELSE 'Difference N (' || {percent} || ') exceeds tolerance' END AS message FROM w WHERE ({where}) OR ({na_where})"""
 
 
 _HAS = {s: "(" + " OR ".join(f"{f} IS NOT NULL" for t, f, _, _ in FIGURES if t == s) + ")" for s in ("balance_sheet", "income_statement", "cash_flow")}
@@ -200,8 +203,8 @@ _CHECK_ROWS = " UNION ALL ".join([
     _rows("cash_flow_reconciliation", "ending_cash_balance", _FLOWS, f"{_FLOWS} + ending_cash_balance IS NOT NULL", "'net_change_in_cash'", f"{_ENDS} AND net_change_in_cash IS NULL"),
     _rows("cash_change_reconciliation", "ending_cash_balance", "beginning_cash_balance + net_change_in_cash", f"{_FLOWS} IS NULL AND {_ENDS} AND net_change_in_cash IS NOT NULL"),
     _rows("cash_matches_balance_sheet", "ending_cash_balance", "cash_and_cash_equivalents", "ending_cash_balance + cash_and_cash_equivalents IS NOT NULL"),
-    "SELECT k, 'treasury_shares_positive_value', 'WARNING', NULL, '' FROM w WHERE treasury_shares_carrying_value > 0",
-    "SELECT k, 'no_checks_possible', 'NOT_APPLICABLE', NULL, '' FROM w WHERE k % 17 = 0",
+    "SELECT k, 'treasury_shares_positive_value', 'WARNING', NULL, '', 'Treasury shares carrying value is positive; usually presented as a deduction (negative). Verify column interpretation.' FROM w WHERE treasury_shares_carrying_value > 0",
+    "SELECT k, 'no_checks_possible', 'NOT_APPLICABLE', NULL, '', 'Not enough statement fields extracted to run any validation' FROM w WHERE k % 17 = 0",
 ])
 _SIZES = ", ".join(f"abs({f})" for _, f, _, _ in FIGURES)
 CHECKS_SQL = f"""b AS ({_BASE}), v AS (SELECT k, {", ".join(f"CASE WHEN k % 17 > 0 AND {there} THEN CAST({value} AS DOUBLE) END AS {f}" for _, f, value, there in FIGURES)} FROM b),
@@ -212,11 +215,13 @@ def filing_checks(spark, sf):
     return reconcile.identity_checks(filing_values(spark, sf), ["document_id"])
 
 
-@query(f"""WITH {CHECKS_SQL} SELECT k AS document_id, name, status, difference, missing, CASE WHEN status IN ('ERROR', 'WARNING') THEN status ELSE 'INFO' END AS severity,
+@query(f"""WITH {CHECKS_SQL} SELECT k AS document_id, name, status, difference, missing, message, CASE WHEN missing <> '' THEN 'Insufficient data' END AS reason, CASE WHEN status IN ('ERROR', 'WARNING') THEN status ELSE 'INFO' END AS severity,
     CASE WHEN name = 'treasury_shares_positive_value' THEN 'low_confidence' WHEN name = 'no_checks_possible' THEN 'incomplete_statement' WHEN status = 'NOT_APPLICABLE' THEN 'missing_fields' WHEN status = 'WARNING' THEN 'rounding_difference' ELSE 'accounting_mismatch' END AS category FROM checks""")
 def identity_checks(spark, sf):
+    """Messages without their first amount: doubles of that size have no one spelling."""
     missing = F.coalesce(F.array_join("evidence.missing_fields", ","), F.lit(""))
-    return filing_checks(spark, sf).select("document_id", "name", "status", (F.round("difference", -2) + 0.0).alias("difference"), missing.alias("missing"), "severity", "category")
+    message = F.regexp_replace("message", "ifference [0-9,]+[.][0-9]{2}", "ifference N")
+    return filing_checks(spark, sf).select("document_id", "name", "status", (F.round("difference", -2) + 0.0).alias("difference"), missing.alias("missing"), message.alias("message"), F.col("evidence.reason").alias("reason"), "severity", "category")
 
 
 @query(f"""WITH {CHECKS_SQL} SELECT CASE WHEN name LIKE '%gross_profit%' THEN 'Income Statement' WHEN name LIKE '%cash%' THEN 'Cash Flow' WHEN name LIKE '%treasury%' THEN 'Equity' WHEN name = 'no_checks_possible' THEN 'Document' ELSE 'Balance Sheet' END AS statement,
