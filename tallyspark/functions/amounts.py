@@ -17,8 +17,12 @@ _PERCENT = r"^\s*[(\-–—]?\s*(?:Rp\s*)?\d+(?:[.,]\d+)*\s*(?:%\s*\)?|\)\s*%)\s
 DECIMAL = "decimal(38,6)"
 
 
+#: Every character that counts as white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def looks_like_number(c: Column) -> Column:

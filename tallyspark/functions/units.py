@@ -1,10 +1,16 @@
-"""Units, scales and currencies that a page states, and whether its figures bear them out."""
+"""Units, scales and currencies that a page states, and whether its figures bear them out.
+
+A text is read once: one expression finds all words that say anything about units, from whatever place
+they begin at, and what is decided is decided on these few words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.once import let, starts
+
 #: Unit words with their name and multiplier, largest first; currency words; what introduces a unit, states base units or a page's own.
 UNITS = (
     (r"\btriliun(?:an)?\b|\btrillions?\b", "triliun", 1_000_000_000_000),
@@ -19,40 +25,73 @@ CURRENCIES = (
     (r"\bJPY\b|\bYen\b", "JPY"),
     (r"\bRp\b|\bRupiahs?\b", "IDR"),
 )
-INTRODUCED = r"(?:dalam|disajikan\s+dalam|expressed\s+in|in)\s+"
-BASE = r"[Dd]alam\s+(?:jumlah\s+)?[Rr]upiah(?!\s*\w)"
+INTRODUCED = r"(?:dalam|disajikan\s+dalam|expressed\s+in|in)\s"
+BASE = r"(?-i:[Dd]alam\s+(?:jumlah\s+)?[Rr]upiah(?!\s*\w))"
+STATED = r"(?:dalam|in|disajikan\s+dalam|expressed\s+in)\s+(?:\(?\s*)?(?:ribu|juta|miliar|triliun|thousand|million|billion|trillion)[a-z]*(?:\s+(?:rupiah|usd?|dollars?))?(?:\s*\)?)"
 PAGE_UNIT = r"\(\s*(?:Rp\.?\s*)?(?:ribu|juta|miliar|triliun|thousand|million|billion|trillion)[a-z]*(?:\s+(?:rupiah|usd?|dollars?))?\s*\)|(?:dalam|in)\s+(?:ribu|juta|miliar|triliun|thousand|million|billion|trillion)[a-z]*(?:\s+(?:rupiah|usd?|dollars?))?"
 #: Medians of at least this are base units already; scaled medians above the second are none.
 ALREADY_BASE, MOST_SCALED = 10_000_000_000, 1e15
 
+#: What a word says, by how its first letters are spelled: a multiplier, the place of a currency among ``CURRENCIES``, or that it introduces a unit.
+_MULTIPLIERS = {"tril": 1_000_000_000_000, "mili": 1_000_000_000, "bill": 1_000_000_000, "juta": 1_000_000, "mill": 1_000_000, "jt": 1_000_000, "ribu": 1_000, "thou": 1_000, "rb": 1_000}
+_PLACES = {"usd": 0, "us$": 0, "dola": 0, "$": 0, "us": 0, "eur": 1, "euro": 1, "sgd": 2, "jpy": 3, "yen": 3, "rp": 4, "rupi": 4}
+_WORDS = "(?iU:" + "|".join([BASE, INTRODUCED, *(u[0] for u in UNITS), *(c[0] for c in CURRENCIES)]) + ")"
+_STATED_OR_WORDS = f"(?iU:{STATED})|{_WORDS}"
+_STEM = r"\b(triliun|trillions?|miliar|billions?|juta|millions?|jt|ribu|thousands?|rb)\b"
 
-def _has(text: Column, regex: str) -> Column:
-    return text.rlike(f"(?iU){regex}")
 
+def _map(of: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+
+
+def _head(word: Column) -> Column:
+    return F.left(F.lower(word), F.lit(4))
+
+
+def _is_base(word: Column) -> Column:
+    return (F.lower(F.left(word, F.lit(5))) == "dalam") & F.lower(word).endswith("rupiah")
 
-def _first(text: Column, choices: tuple, pick: int) -> Column:
-    out = None
-    for choice in choices:
-        test = _has(text, choice[0])
-        out = F.when(test, F.lit(choice[pick])) if out is None else out.when(test, F.lit(choice[pick]))
-    return out
+
+def _decided(words: Column) -> Column:
+    """``struct(currency, unit, multiplier, confidence)`` from a text's words about units."""
+    heads = F.transform(words, _head)
+    introduced = F.exists(heads, lambda h: h.startswith("in") | h.isin("dala", "disa", "expr"))
+    currencies = F.array(*[F.lit(code) for _, code in CURRENCIES])
+    numbers = F.struct(
+        F.array_max(F.transform(heads, lambda h: F.try_element_at(_map(_MULTIPLIERS), h))).alias("multiplier"), F.array_min(F.transform(heads, lambda h: F.try_element_at(_map(_PLACES), h))).alias("place"),
+        introduced.alias("introduced"), F.exists(words, _is_base).alias("base"),
+    )
+
+    def told(n: Column) -> Column:
+        multiplier = F.when(n["introduced"], n["multiplier"])
+        confidence = F.when(multiplier.isNull() & n["base"], 0.9).when(multiplier.isNotNull(), 0.85).when(n["place"].isNotNull(), 0.7).otherwise(0.0)
+        return F.struct(F.get(currencies, n["place"]).alias("currency"), unit_name(multiplier).alias("unit"), F.coalesce(multiplier, F.lit(1)).cast("long").alias("multiplier"), confidence.alias("confidence"))
+
+    return let(numbers, told)
 
 
 def detect_unit(text: Column) -> Column:
     """``struct(currency, unit, multiplier, confidence)``; a unit word counts only where an introducing word stands."""
-    currency = _first(text, CURRENCIES, 1)
-    introduced = _has(text, INTRODUCED)
-    unit = F.when(introduced, _first(text, UNITS, 1))
-    multiplier = F.coalesce(F.when(introduced, _first(text, UNITS, 2).cast("long")), F.lit(1).cast("long"))
-    base = unit.isNull() & text.rlike(f"(?U){BASE}")
-    confidence = F.when(base, 0.9).when(unit.isNotNull(), 0.85).when(currency.isNotNull(), 0.7).otherwise(0.0)
-    return F.struct(currency.alias("currency"), unit.alias("unit"), multiplier.alias("multiplier"), confidence.alias("confidence"))
+    return let(starts(text, _WORDS), _decided)
+
+
+def stated_and_plain(text: Column) -> Column:
+    """``struct(said, plain)`` of one pass: what the first phrase that states a unit says, and what the words of the whole text say."""
+    phrase = lambda w: w.rlike(f"(?iU)^{STATED}$")
+
+    def both(words: Column) -> Column:
+        said = detect_unit(F.coalesce(F.get(F.filter(words, phrase), 0), F.lit("")))
+        return F.struct(said.alias("said"), _decided(words).alias("plain"))
+
+    return let(starts(text, _STATED_OR_WORDS), both)
 
 
 def page_unit(text: Column) -> Column:
     """The page's own unit phrase in the first 3,000 characters: beside a currency before others, then the largest multiplier (1 without one)."""
-    found = F.regexp_extract_all(F.substring(text, 1, 3000), F.lit(f"(?iU){PAGE_UNIT}"), F.lit(0))
-    scaled = F.transform(found, lambda m: F.struct(F.when(_has(m, "rupiah|usd|dollar"), 2).otherwise(1).alias("priority"), F.coalesce(_first(F.regexp_replace(F.lower(m), "(ribu|juta|miliar|triliun)an?", "$1"), UNITS, 2).cast("long"), F.lit(1).cast("long")).alias("multiplier")))
+    found = F.transform(F.regexp_extract_all(F.substring(text, 1, 3000), F.lit(f"(?iU){PAGE_UNIT}"), F.lit(0)), F.lower)
+    stem = lambda m: _head(F.regexp_extract(F.regexp_replace(m, "(ribu|juta|miliar|triliun)an?", "$1"), _STEM, 1))
+    money = lambda m: m.contains("rupiah") | m.contains("usd") | m.contains("dollar")
+    scaled = F.transform(found, lambda m: F.struct(F.when(money(m), 2).otherwise(1).alias("priority"), F.coalesce(F.try_element_at(_map(_MULTIPLIERS), stem(m)), F.lit(1)).cast("long").alias("multiplier")))
     return F.coalesce(F.array_max(scaled)["multiplier"], F.lit(1).cast("long"))
 
 
@@ -72,13 +111,13 @@ def page_magnitudes(text: Column) -> Column:
 
 def upper_median(values: Column) -> Column:
     """The element at half the size of the sorted array (the upper one of two), null for none."""
-    return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1))
+    return let(F.array_sort(values), lambda v: F.get(v, F.floor(F.size(v) / 2).cast("int")))
 
 
 def checked_multiplier(text: Column, multiplier: Column) -> Column:
     """1 where the page's own figures contradict the stated unit."""
-    median = upper_median(page_magnitudes(text))
-    return F.when((multiplier > 1) & ((median >= ALREADY_BASE) | (median * multiplier > MOST_SCALED)), F.lit(1).cast("long")).otherwise(multiplier)
+    wrong = let(upper_median(page_magnitudes(text)), lambda m: F.coalesce((m >= ALREADY_BASE) | (m * multiplier > MOST_SCALED), F.lit(False)))
+    return F.when((multiplier > 1) & wrong, F.lit(1).cast("long")).otherwise(multiplier)
 
 
 def scale_hint(largest: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import strip
+from tallyspark.functions.once import let
 
 #: Shapes of value cells and what tells prose.
-VALUE = r"(?iU)^\s*[(\-–—]?\s*(?:Rp\.?\s*)?[\d.,]+\s*(?:%|saham|lembar|shares?)?\s*\)?\s*$"
-NOT_VALUE = r"(?iU)No\.?\s*|20[0-2]\d|\d{2,}/\d{2,}|[A-Za-z]{3,}\s*\d|\d\s+(?!saham\b|lembar\b|shares?\b)[A-Za-z]{3,}"
+VALUE = r"\s*[(\-–—]?\s*(?:Rp\.?\s*)?[\d.,]+\s*(?:%|saham|lembar|shares?)?\s*\)?\s*"
+NOT_VALUE = r"No\.?\s*|20[0-2]\d|\d{2,}/\d{2,}|[A-Za-z]{3,}\s*\d|\d\s+(?!saham\b|lembar\b|shares?\b)[A-Za-z]{3,}"
 PROSE_WORDS = 14
 VERBS = "penurunan|kenaikan|peningkatan|meningkat|menurun|sebesar|terjadi|disebabkan|berasal|merupakan|menjadi|adalah|terdiri|dicatat|mencatat|menyalami|pernah|diperkirakan|hingga|sekitar"
 CONNECTIVES = "terhadap|menjadi|karena|sehingga|however|although|whereas|dibanding|dibandingkan|compared|than|due|because|including"
@@ -17,30 +18,49 @@ CLAUSES = "laba ditahan|adalah|merupakan|dapat|telah|sudah|akan|kami|perseroan|p
 YEAR = r"^(?:19|20)\d{2}$"
 
 
+#: One expression tells a value cell: digits and separators alone, or the whole shape without what a value hasn't.
+_VALUE_CELL = rf"(?iUs)^(?=.*[0-9])(?:\(?[0-9.,]+\)?|(?!.*(?:{NOT_VALUE})){VALUE})$"
+_PROSE = rf"(?iU)[.!?]\s+\S|\b(?:{VERBS}|{CONNECTIVES})\b|^(?:{CLAUSES})\b"
+#: Kinds of cells.
+TEXT, DIGITS, FIGURE = 0, 1, 2
+
+
 def is_value_cell(cell: Column, stripped: bool = False) -> Column:
     """Whether a cell has the form of a figure; ``stripped``: it has no space at its ends."""
-    t = cell if stripped else strip(cell)
-    return F.coalesce(t.rlike("[0-9]") & ((t.rlike(VALUE) & ~t.rlike(NOT_VALUE)) | t.rlike(r"^\(?[\d.,]+\)?$")), F.lit(False))
+    return F.coalesce((cell if stripped else strip(cell)).rlike(_VALUE_CELL), F.lit(False))
 
 
 def is_prose(label: Column) -> Column:
-    s = strip(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)\s+", " "))
-    told = s.rlike(r"[.!?]\s+\S") | s.rlike(rf"(?iU)\b(?:{VERBS})\b") | s.rlike(rf"(?iU)\b(?:{CONNECTIVES})\b") | s.rlike(rf"(?iU)^(?:{CLAUSES})\b")
-    return (s == "") | (F.size(F.split(s, " ")) > PROSE_WORDS) | told
+    single = strip(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)\s+", " "))
+    return let(single, lambda s: (s == "") | (F.size(F.split(s, " ")) > PROSE_WORDS) | s.rlike(_PROSE))
+
+
+def kinds(cells: Column) -> Column:
+    """``array<struct(cell, kind)>``: cells stripped and on one line; without a digit, with digits (also a year alone), of a figure's form."""
+    plain = F.transform(cells, lambda c: strip(F.translate(F.coalesce(c, F.lit("")), "\n", " ")))
+    kind = lambda c: F.when(~c.rlike("[0-9]"), TEXT).when((F.length(c) == 4) & c.rlike(YEAR), DIGITS).when(is_value_cell(c, stripped=True), FIGURE).otherwise(DIGITS)
+    return F.transform(plain, lambda c: F.struct(c.alias("cell"), kind(c).alias("kind")))
 
 
 def split_rows(rows: DataFrame, cells: str = "cells") -> DataFrame:
     """Adds ``label`` and ``values`` of rows of cells; rows without either or with a prose label are left out.
 
     The first value cell begins the values; years alone and other cells with digits belong to the
-    label. From there on all cells count that have a digit.
+    label. From there on all cells count that have a digit. Each cell is told once, and the row leaves
+    through one generator, so no filter copies what made it.
     """
-    plain = F.transform(cells, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
-    out = rows.withColumn("__c", plain)
-    out = out.withColumn("__at", F.array_position(F.transform("__c", lambda c: (c != "") & c.rlike("[0-9]") & ~c.rlike(YEAR) & is_value_cell(c, stripped=True)), True)).where("__at > 0")
-    out = out.withColumn("label", F.array_join(F.filter(F.slice("__c", F.lit(1), F.greatest(F.col("__at").cast("int") - 1, F.lit(0))), lambda c: c != ""), " "))
-    out = out.where((F.col("label") != "") & ~is_prose(F.col("label")))
-    return out.withColumn("values", F.filter(F.slice("__c", F.greatest(F.col("__at").cast("int"), F.lit(1)), F.size("__c")), lambda c: c.rlike("[0-9]"))).drop("__c", "__at")
+    text = lambda some: F.transform(some, lambda x: x["cell"])
+
+    def parted(t: Column) -> Column:
+        at = F.array_position(F.transform(t, lambda x: x["kind"]), FIGURE).cast("int")
+        return let(at, lambda k: F.struct(
+            F.array_join(text(F.filter(F.slice(t, F.lit(1), F.greatest(k - 1, F.lit(0))), lambda x: x["cell"] != "")), " ").alias("label"),
+            text(F.filter(F.slice(t, F.greatest(k, F.lit(1)), F.when(k > 0, F.size(t)).otherwise(0)), lambda x: x["kind"] != TEXT)).alias("values"),
+        ))
+
+    row = let(kinds(F.col(cells)), parted)
+    kept = F.filter(F.array(row), lambda r: (F.size(r["values"]) > 0) & (r["label"] != "") & ~is_prose(r["label"]))
+    return rows.select(*[c for c in rows.columns if c not in ("label", "values")], F.inline(kept))
 
 
 def _score(cell: Column) -> Column:

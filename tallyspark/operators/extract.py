@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import amounts, names, quality, units
+from tallyspark.functions.once import let
 from tallyspark.operators import labels, winners
 
 KEY = ["document_id", "statement", "field", "year"]
 ORDER = ["producer", "page_number", "row_idx", "value_idx"]
-#: How far into a page units are looked for, on how many pages, and the phrase that states one.
+#: How far into a page units are looked for, and on how many pages.
 UNIT_CHARS, UNIT_PAGES, FIRST_PAGES = 2500, 8, 4
-STATED = r"((?:dalam|in|disajikan\s+dalam|expressed\s+in)\s+(?:\(?\s*)?(?:ribu|juta|miliar|triliun|thousand|million|billion|trillion)[a-z]*(?:\s+(?:rupiah|usd?|dollars?))?(?:\s*\)?))"
 
 
 def resolve_units(pages: DataFrame, declared: DataFrame) -> DataFrame:
@@ -28,10 +28,8 @@ def resolve_units(pages: DataFrame, declared: DataFrame) -> DataFrame:
     tier = F.when(quality.on_statement_page(F.col("section")), 0).when(relevant, 1).when(F.row_number().over(by_page) <= FIRST_PAGES, 2)
     heads = pages.select("document_id", "page_number", F.substring(F.coalesce("text", F.lit("")), 1, UNIT_CHARS).alias("head"), tier.alias("tier")).where("tier IS NOT NULL")
     heads = _best_tier(heads)
-    phrase = units.detect_unit(F.regexp_extract("head", f"(?iU){STATED}", 1))
-    heads = heads.withColumns({"said": phrase, "plain": units.detect_unit(F.col("head"))})
-    sure = F.when(F.col("said.unit").isNotNull() | F.col("said.currency").isNotNull(), F.col("said")).when(F.col("plain.unit").isNotNull() & (F.col("plain.confidence") >= 0.85), F.col("plain"))
-    heads = heads.withColumn("sure", sure)
+    certain = lambda u: F.when(u["said"]["unit"].isNotNull() | u["said"]["currency"].isNotNull(), u["said"]).when(u["plain"]["unit"].isNotNull() & (u["plain"]["confidence"] >= 0.85), u["plain"])
+    heads = heads.withColumn("sure", let(units.stated_and_plain(F.col("head")), certain))
     first_two = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("place") <= 2, F.struct("place", "head")))), 1, 2), lambda h: h["head"]), " ")
     found = heads.groupBy("document_id").agg(F.min_by("sure", F.when(F.col("sure").isNotNull(), F.col("place"))).alias("sure"), first_two.alias("joined"))
     found = found.withColumn("u", F.coalesce("sure", units.detect_unit(F.substring("joined", 1, UNIT_CHARS))))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import strip
+from tallyspark.functions.once import let
 
 #: Titles and words that tell a page's section and relevance, in order.
 SECTIONS = (
@@ -31,11 +32,16 @@ SUPPLEMENTARY = r"informasi\s+keuangan\s+tambahan|supplementary\s+financial\s+in
 
 def section(text: Column, within: int = 1200, sections: tuple = SECTIONS) -> Column:
     """The first section whose pattern occurs in the first ``within`` characters, or null."""
-    head = F.substring(text, 1, within)
-    out = F.when(head.rlike(f"(?iU){sections[0][1]}"), sections[0][0])
-    for name, pattern in sections[1:]:
-        out = out.when(head.rlike(f"(?iU){pattern}"), name)
-    return out
+    every = "|".join(f"(?:{pattern})" for _, pattern in sections)
+
+    def told(head: Column) -> Column:
+        # Pages without any title, most of them, are read once.
+        out = F.when(~head.rlike(f"(?iU){every}"), None)
+        for name, pattern in sections:
+            out = out.when(head.rlike(f"(?iU){pattern}"), name)
+        return out
+
+    return let(F.substring(text, 1, within), told)
 
 
 def score(text: Column, strong: tuple = STRONG, medium: tuple = MEDIUM) -> Column:
@@ -61,11 +67,12 @@ def is_relevant(text: Column, hits: int = 3) -> Column:
 
 def is_parent_only(text: Column) -> Column:
     """A supplementary header, or a parent marker within five lines above the first title that has a marker of either kind; a consolidated one wins."""
-    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != ""), 1, 40)
-    near = F.transform(lines, lambda x, i: F.struct(x.rlike(f"(?iU){TITLE}").alias("title"), F.slice(lines, F.greatest(F.lit(1), i - 4), F.least(i, F.lit(5))).alias("above")))
-    kinds = F.transform(F.filter(near, lambda x: x["title"]), lambda x: F.when(F.exists(x["above"], lambda y: y.rlike(f"(?iU){CONSOLIDATED}")), 0).when(F.exists(x["above"], lambda y: y.rlike(f"(?iU){PARENT}")), 1))
-    decided = F.try_element_at(F.array_compact(kinds), F.lit(1)) == 1
-    return F.substring(F.array_join(lines, "\n"), 1, 1500).rlike(f"(?iU){SUPPLEMENTARY}") | F.coalesce(decided, F.lit(False))
+    kept = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != ""), 1, 40)
+    # Each line is told once: whether it has a title, and its marker (0 consolidated, 1 parent).
+    told = lambda lines: F.transform(lines, lambda x: F.struct(x.rlike(f"(?iU){TITLE}").alias("title"), F.when(x.rlike(f"(?iU){CONSOLIDATED}"), 0).when(x.rlike(f"(?iU){PARENT}"), 1).alias("marker")))
+    above = lambda kinds: F.transform(kinds, lambda x, i: F.when(x["title"], F.array_min(F.transform(F.slice(kinds, F.greatest(F.lit(1), i - 4), F.least(i, F.lit(5))), lambda y: y["marker"]))))
+    decided = lambda kinds: F.coalesce(F.get(F.array_compact(above(kinds)), 0) == 1, F.lit(False))
+    return let(kept, lambda lines: F.substring(F.array_join(lines, "\n"), 1, 1500).rlike(f"(?iU){SUPPLEMENTARY}") | let(told(lines), decided))
 
 
 def classify(pages: DataFrame, text_col: str = "text", threshold: int = 3) -> DataFrame:
