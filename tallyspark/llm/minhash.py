@@ -56,8 +56,10 @@ HOT_BLOCKS = 8
 SMALL_SET = 256
 CHARS = 1_000_000
 
-#: Makes from a block's rows what tells, of pairs of them by number and of a bucket, which may link.
-Near = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, int], np.ndarray]]
+#: Groups up to this size are compared side by side, so many pairs at a time.
+FEW, PAIRS = 48, 100_000
+#: Makes from rows what tells, of pairs of them by number and their buckets, which may link and how much these differ.
+Near = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -320,26 +322,30 @@ def rare_buckets(some: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Da
 def near_registers(banded: bool) -> Near:
     """By registers and small sets; of bands' buckets, each pair from the first bucket that the two share."""
 
-    def of(rows: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
+    def of(rows: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         regs, n = np.frombuffer(b"".join(rows["regs"]), "<u2").reshape(len(rows), REGISTERS), rows["n"].to_numpy()
         small = [np.frombuffer(x, "<u4") if x else None for x in rows["small"]]
         keys = band_keys(regs)
 
-        def near(i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+        def near(i: np.ndarray, j: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             left = np.arange(len(i))
             if banded:
                 first = np.argmax(keys[i] == keys[j], axis=1)
                 left = left[keys[i, first] == key]
             left = left[may_link(regs[i[left]], regs[j[left]], n[i[left]], n[j[left]])]
-            return left[[_small_link(small[i[k]], small[j[k]]) for k in left]] if len(left) else left
+            left = left[[_small_link(small[i[k]], small[j[k]]) for k in left]] if len(left) else left
+            return left, (regs[i[left]] != regs[j[left]]).sum(axis=1)
 
         return near
 
     return of
 
 
-def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFrame, of: Near) -> DataFrame:
-    """Hopeful pairs of different components within the ``mixed`` buckets; ``of`` tells which pairs of a block's rows may link."""
+def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFrame, of: Near, nearest: bool = False) -> DataFrame:
+    """Hopeful pairs of different components within the ``mixed`` buckets; ``of`` tells which pairs of a block's rows may link.
+
+    ``nearest``: of a block, for each class and component only the pair that differs least.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -347,33 +353,73 @@ def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFr
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(rows):
                 continue
-            group = rows.groupby(["key", "lo", "hi"], sort=False).ngroup().to_numpy()
-            last = group[-1]
-            for own in np.split(np.arange((group != last).sum()), np.flatnonzero(np.diff(group[group != last])) + 1):
-                yield block(rows.iloc[own])
-            held = rows[group == last]
+            one = rows[["key", "lo", "hi"]].to_numpy()
+            group = np.cumsum(np.r_[False, (one[1:] != one[:-1]).any(axis=1)])
+            whole = int(np.searchsorted(group, group[-1]))
+            yield pairs(rows.iloc[:whole], group[:whole])
+            held = rows.iloc[whole:]
         if held is not None:
-            yield block(held)
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
+            yield pairs(held, np.zeros(len(held), np.int64))
+
+    def pairs(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """All pairs of whole groups: small groups side by side, by their rows' distance; large ones piece by piece."""
+        found = [np.zeros((0, 5), np.int64)]
+        if len(rows):
+            size = np.bincount(group)[group]
+            few = size <= FEW
+            found += by_distance(rows[few], group[few])
+            for g in np.unique(group[~few]):
+                found += by_pieces(rows[group == g])
+        out = np.concatenate(found)
+        return pd.DataFrame(out[:, :4], columns=["a", "b", "ca", "cb"])
+
+    def picked(rows: pd.DataFrame):
+        """What keeps, of pairs of rows by number, those that may link."""
+        near, key, comp, node = of(rows), *(rows[c].to_numpy() for c in ("key", "comp", "node"))
+
+        def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            pick = comp[i] != comp[j]
+            i, j = i[pick], j[pick]
+            left, far = near(i, j, key[i])
+            i, j = i[left], j[left]
+            if nearest:
+                order = np.lexsort((far, comp[j], node[i], key[i]))
+                i, j, far = i[order], j[order], far[order]
+                best = np.r_[True, (key[i][1:] != key[i][:-1]) | (node[i][1:] != node[i][:-1]) | (comp[j][1:] != comp[j][:-1])][: len(i)]
+                i, j, far = i[best], j[best], far[best]
+            swap = node[i] > node[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            return np.stack([node[i], node[j], comp[i], comp[j], far], axis=1)
+
+        return keep
+
+    def by_distance(rows: pd.DataFrame, group: np.ndarray) -> list[np.ndarray]:
         if not len(rows):
-            return pd.DataFrame(np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
-        key, lo, hi = rows[["key", "lo", "hi"]].iloc[0]
-        place, comp, node = (rows[c].to_numpy() for c in ("block", "comp", "node"))
-        near, out = of(rows), []
+            return []
+        keep, place, alone = picked(rows), rows["block"].to_numpy(), (rows["lo"] == rows["hi"]).to_numpy()
+        firsts, seconds = [], []
+        for d in range(1, FEW):
+            i = np.flatnonzero(group[:-d] == group[d:])
+            if not len(i):
+                break
+            i = i[alone[i] | (place[i] != place[i + d])]
+            firsts.append(i)
+            seconds.append(i + d)
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (firsts, seconds))
+        order = np.argsort(group[i], kind="stable")  # a group's pairs together
+        i, j = i[order], j[order]
+        return [keep(i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+
+    def by_pieces(rows: pd.DataFrame) -> list[np.ndarray]:
+        keep, place, (lo, hi) = picked(rows), rows["block"].to_numpy(), rows[["lo", "hi"]].iloc[0]
         one, two = np.flatnonzero(place == lo), np.flatnonzero(place == hi)
+        out = []
         for start in range(0, len(one), 64):
-            x = one[start : start + 64]
-            i, j = (v.ravel() for v in np.meshgrid(x, two, indexing="ij"))
-            pick = comp[i] != comp[j]
+            i, j = (v.ravel() for v in np.meshgrid(one[start : start + 64], two, indexing="ij"))
             if lo == hi:
-                pick &= i < j
-            i, j = i[pick], j[pick]
-            pick = near(i, j, key)
-            i, j = i[pick], j[pick]
-            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            out.append(np.stack([node[i], node[j], comp[i], comp[j]], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4), np.int64), columns=["a", "b", "ca", "cb"])
+                i, j = i[i < j], j[i < j]
+            out.append(keep(i, j))
+        return out
 
     rows = shared.select("key", "node").join(mixed, "key").join(labels, "node").join(nodes.drop("class_id", "hash"), "node")
     # Blocks of the others come first, those of the largest component last; its blocks meet others' blocks only.
@@ -415,11 +461,20 @@ class Grouping:
             self._link(near)
 
     def compare(self, rows: DataFrame, mixed: DataFrame, of: Near) -> None:
-        """All pairs across components in ``mixed`` buckets, in blocks."""
-        pairs = across(rows, self.labels, self.nodes, mixed, of)
-        pairs = written((pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")).distinct(), "minhash-across")
-        if pairs.limit(1).count():
+        """All pairs across components in ``mixed`` buckets, in blocks.
+
+        First each class tries the nearest one of every other component of its block, which joins most
+        of what belongs together; then all pairs that are still apart and weren't tried.
+        """
+        for nearest in (True, False):
+            pairs = across(rows, self.labels, self.nodes, mixed, of, nearest).distinct()
+            pairs = written(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "minhash-across")
+            if not pairs.limit(1).count():
+                break
             self._link(pairs)
+            if nearest:
+                self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
+                mixed = written(mixed_buckets(rows.join(small_or_shuffled(mixed.select("key")), "key", "left_semi"), self.labels), "minhash-mixed")
 
     def finish(self, shared: DataFrame, of: Near, of_rare: Near) -> DataFrame:
         """What the stars left: hot buckets dealt anew by rare items, then all other mixed ones. The labels as they are after each step count."""

@@ -263,7 +263,12 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _near(rows: pd.DataFrame):
     bits, n = _bits(rows["bits"]), rows["n"].to_numpy()
-    return lambda i, j, key: np.flatnonzero(may_link(bits[i], bits[j], n[i], n[j]))
+
+    def near(i: np.ndarray, j: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(may_link(bits[i], bits[j], n[i], n[j]))
+        return left, np.bitwise_count(bits[i[left]] ^ bits[j[left]]).sum(axis=1, dtype=np.int64)
+
+    return near
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -151,8 +151,8 @@ def test_blocks_go_by_the_components_after_the_hot_stage(spark, monkeypatch):
     grouping = minhash.Grouping(nodes, frame, lambda pairs: pairs)
     grouping.labels = spark.createDataFrame([(n, 100 if 100 <= n < 140 else n) for n in sets], "node long, comp long")
     met, plain = [], minhash.across
-    monkeypatch.setattr(minhash, "across", lambda rows, labels, nodes, mixed, of: met.append(mixed.collect()) or plain(rows, labels, nodes, mixed, of))
-    near = lambda rows: lambda i, j, key: np.arange(len(i))
+    monkeypatch.setattr(minhash, "across", lambda rows, labels, nodes, mixed, of, nearest: met.append(mixed.collect()) or plain(rows, labels, nodes, mixed, of, nearest))
+    near = lambda rows: lambda i, j, key: (np.arange(len(i)), i + j)
     labels = {r.node: r.comp for r in grouping.finish(shared, near, near).collect()}
     assert labels[120] == labels[1] == 1 and labels[141] == 141
     last = {r.key: r for r in met[-1]}
