@@ -141,7 +141,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             for conv, rendered, start, stop in zip(b["conv_id"].astype("Int64"), b["rendered"], b["loss_start"], b["loss_stop"], strict=True):
-                if state is None or not (conv is now or conv == now):
+                if state is None or (conv is not now if conv is pd.NA or now is pd.NA else conv != now):
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), len(BOS)]
                 role, text, end = parse_turn(rendered) or ("", "", -1)

@@ -91,10 +91,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df``, dealt by ``key`` over as many partitions as shuffles have, as a table of as many buckets in the shared folder: joins by ``key`` don't shuffle it again."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts(spark), key).sortBy(key).option("compression", "zstd").option("path", shared_dir(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,8 +6,8 @@ id so far), the number of rows and the locator of the first row under it (the ca
 and its place in that call's part of the store). The state's last word on a call's digests is read
 from the update log of that call. Every further row with a known digest (a hit) is then checked on
 full bytes: the least and the greatest text among a call's hits and the content that the locator
-names, where an earlier call brought it, must be equal; so a call reads earlier contents by locator
-alone. Where they differ, the digest's rows are grouped by their texts, so a collision never merges
+names, where an earlier call brought it, must be equal; a call opens only those files of earlier calls
+that hold a content it asks for. Where they differ, the digest's rows are grouped by their texts, so a collision never merges
 two texts.
 
 ``state_dir`` keeps store and state over calls: each call gives its own rows' results against all rows
@@ -75,6 +75,18 @@ def _state(spark: SparkSession, folder: str, call: int, files_a_batch: int) -> D
     return last.select("__digest", F.col("s.best.id").alias("__keep"), F.col("s.first").alias("first"), F.col("s.__n").alias("__n"))
 
 
+def _contents(spark: SparkSession, folder: str, met: DataFrame) -> DataFrame:
+    """The contents that ``met`` (``__call, __at``) names: of the store's files only those are opened that hold one.
+
+    A place's upper bits are the number of the task that wrote it, which is its file's; the list of the files that
+    hold hits is as long as these are many.
+    """
+    files = met.select("__call", F.shiftright("__at", 33).alias("file")).distinct().collect()
+    paths = [f"{folder}/content/call-{r['__call']}/part-{r['file']:05d}-*" for r in files]
+    rows = spark.read.schema(_CONTENT).parquet(*paths) if paths else spark.createDataFrame([], _CONTENT)
+    return rows.join(small_or_shuffled(met), ["__call", "__at"], "left_semi")
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None, batches: int = BATCHES, state_dir: str | None = None) -> DataFrame:
     """``id_col, keep_id, group_size, kept, text_sha256`` of every row of ``docs``, dropped ones too.
 
@@ -102,8 +114,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     hits = new.join(small_or_shuffled(many.select("__digest")), "__digest", "left_semi").select("__digest", "__text")
     if call:
         met = many.where(F.col("first.call") < call).select(F.col("first.call").alias("__call"), F.col("first.at").alias("__at"))
-        first = content.where(F.col("__call") < call).join(small_or_shuffled(met), ["__call", "__at"], "left_semi")
-        hits = hits.unionByName(first.select("__digest", "__text"))
+        hits = hits.unionByName(_contents(spark, folder, met).select("__digest", "__text"))
     clash = hits.groupBy("__digest").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a != b").select("__digest")
     clash.write.mode("overwrite").parquet(f"{folder}/clash/call-{call}")
     clash = small_or_shuffled(spark.read.schema("__digest string").parquet(f"{folder}/clash/*").distinct())

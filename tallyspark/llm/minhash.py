@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import mix64, powers, salted_join, small_or_shuffled, spans_of, written
+from tallyspark.llm.common import bucketed, mix64, parts, powers, salted_join, small_or_shuffled, spans_of, written
 
 WORDS, SIMILAR = 5, 75
 REGISTERS, BANDS = 128, 32
@@ -242,7 +242,7 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """``node, items``: the full sets of ``nodes``, one text each; no others are made."""
+    """``node, items``: the full sets of ``nodes``, one text each; no others are made. A table in buckets by node: pairs go to it, not it to them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,7 +253,8 @@ def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     needed = small_or_shuffled(nodes.select(F.col("node").alias("__node"), "class_id", "hash"))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     chosen = rows.join(needed, rows["__id"].eqNullSafe(needed["class_id"]) & (F.xxhash64("__text") == needed["hash"]))
-    return chosen.select("__node", "__text").mapInPandas(run, "node long, items binary").dropDuplicates(["node"])
+    one = chosen.select("__node", "__text").repartition(parts(docs.sparkSession), "__node").dropDuplicates(["__node"])
+    return bucketed(one.mapInPandas(run, "node long, items binary"), "minhash-sets", "node")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -428,8 +429,7 @@ def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, mixed: DataFr
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     rows = rows.select("key", "lo", "hi", "block", "node", "comp", *[c for c in nodes.columns if c not in ("node", "class_id", "hash")])
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, _PAIR)
+    return rows.repartition(parts(shared.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, _PAIR)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -514,7 +514,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = written(shared_rows(bucket_rows(classes)), "minhash-shared")
     nodes = classes.join(shared.select("node").distinct(), "node", "left_semi")
     nodes = written(nodes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "n", "regs", "small"), "minhash-nodes")
-    sets = written(full_sets(nodes, docs, id_col, text_col), "minhash-sets")
+    sets = full_sets(nodes, docs, id_col, text_col)
     grouping = Grouping(nodes, sets, lambda pairs: _hopeful(pairs, nodes))
     for bands in ROUNDS:
         grouping.star(shared.where(F.col("band").between(bands.start, bands.stop - 1)))

@@ -2,7 +2,8 @@
 
 Expressions propose spans, leftmost and without overlap within a kind. Validators confirm them: parts
 of addresses, Luhn for cards, mod-97 for IBANs, digit counts for phones. A span starts from its
-kind's score, and a context word that begins a word among the 40 characters before it raises that. The base kinds
+kind's score, and a context word that begins a word among the 40 characters before or behind it raises that; spans of a
+kind that follow each other at less than 40 characters are a list, in which the word counts from there on. The base kinds
 (email, ip, card, phone) stay whatever their score; the kinds that the method adds (iban, local
 phone, ssn) stay from a score of 0.6 on.
 
@@ -13,7 +14,8 @@ refuses hides none behind it; of overlapping confirmed ones the first stays.
 
 The expressions are possessive where that changes no match, and begin at the start of a run of
 their characters, so long runs take linear time and no stack. Places are sums over blocks of matches
-and context is cut from the pieces before a match, so a text's time is linear in its matches.
+and context is cut from the pieces around a match, so a text's time is linear in its matches; so is
+that of ``redact``, which cuts what lies between spans from short pieces of the text.
 
 Defined results: null text counts as empty and has no spans; equal or null ids keep their rows;
 extra columns are ignored by ``find_pii`` and passed on by ``redact``. Positions are code points, end
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
 CONTEXT = 40
+#: How far behind a match its piece is looked at: a span that was matched by its head alone goes on for 34 characters at most, with spaces 67.
+REACH = CONTEXT + 67
 BONUS = 0.35
-#: Matches a block of running sums.
-SUMMED = 256
+#: Matches a block of running sums, and characters a piece that ``redact`` cuts from.
+SUMMED, PIECE = 256, 4096
 
 
 @dataclass(frozen=True)
@@ -70,7 +74,7 @@ KINDS = (
     Kind("card", "", r"[0-9](?:[\x20-]?[0-9]){11,}+", 0.7, "card|visa|mastercard|credit|kredit|debit|tarjeta|karte|carte", True),
     Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|call|tel|fax|mobile|handy|llame", True),
     Kind("iban", "", _iban_regex(), 0.8, "iban|bank|account|konto|cuenta|compte", False, True),
-    Kind("local_phone", "", r"(?<![0-9+()\x20-])\x20?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", 0.3, "phone|call|tel|fax|mobile", False),
+    Kind("local_phone", "", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9])(?<!\+[0-9\x20().-]{13,54})", 0.3, "phone|call|tel|fax|mobile", False),
     Kind("ssn", "", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security", False),
 )
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -119,6 +123,14 @@ def _starts(sizes: Column) -> Column:
     return _let(running, lambda before: F.transform(sizes, lambda _, i: F.get(before, F.floor(i / SUMMED).cast("int")) + inside(i)))
 
 
+def _until(stops: Column) -> Column:
+    """The largest one before each: within blocks of ``SUMMED``, beside the blocks' own."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(stops) / SUMMED).cast("int")), lambda k: F.coalesce(F.array_max(F.slice(stops, k * SUMMED + 1, F.lit(SUMMED))), F.lit(0)))
+    running = F.aggregate(blocks, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.greatest(F.element_at(out, -1), x))))
+    inside = lambda i: F.coalesce(F.array_max(F.slice(stops, i - i % SUMMED + 1, i % SUMMED)), F.lit(0))
+    return _let(running, lambda before: F.transform(stops, lambda _, i: F.greatest(F.get(before, F.floor(i / SUMMED).cast("int")), inside(i))))
+
+
 def _kind_spans(text: Column, rank: int, kind: Kind) -> Column:
     """The confirmed spans of one kind: pieces between the matches and the matches give their places."""
     found = F.struct(
@@ -128,18 +140,37 @@ def _kind_spans(text: Column, rank: int, kind: Kind) -> Column:
     )
 
     def placed(f: Column) -> Column:
-        pieces = F.zip_with(f["between"], f["heads"], lambda b, m: F.struct(F.length(b).alias("gap"), (F.length(b) + F.coalesce(F.length(m), F.lit(0))).alias("size"), F.right(b, F.lit(CONTEXT)).alias("tail"), F.concat(F.right(b, F.lit(CONTEXT)), F.coalesce(m, F.lit(""))).alias("end")))
+        pieces = F.zip_with(f["between"], f["heads"], lambda b, m: F.struct(F.length(b).alias("gap"), (F.length(b) + F.coalesce(F.length(m), F.lit(0))).alias("size"), F.right(b, F.lit(CONTEXT)).alias("tail"), F.concat(F.right(b, F.lit(CONTEXT)), F.coalesce(m, F.lit(""))).alias("end"), F.concat(F.left(b, F.lit(REACH)), F.coalesce(m, F.lit(""))).alias("lead")))
         return _let(F.struct(pieces.alias("p"), _let(F.transform(pieces, lambda p: p["size"]), _starts).alias("starts"), f["matches"].alias("matches")), confirmed)
 
     def confirmed(f: Column) -> Column:
         rows = F.transform(f["matches"], lambda m, i: F.struct(m.alias("m"), (F.get(f["starts"], i) + F.get(f["p"], i)["gap"]).alias("start"), i.alias("i")))
-        valid = F.filter(rows, lambda s: _valid(kind.name, s["m"]))
+        return _let(F.filter(rows, lambda s: _valid(kind.name, s["m"])), lambda valid: listed(f, valid))
+
+    def listed(f: Column, valid: Column) -> Column:
         # The text before a match: the ends of at most CONTEXT / 2 pieces, as no match (or head) has fewer than two characters.
         few = CONTEXT // 2
         near = lambda i: F.right(F.concat(F.array_join(F.transform(F.slice(f["p"], F.greatest(i - few, F.lit(0)) + 1, F.least(i, F.lit(few))), lambda p: p["end"]), ""), F.get(f["p"], i)["tail"]), F.lit(CONTEXT))
-        score = lambda s: F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.lower(near(s["i"])).rlike(rf"(?<![a-z])(?:{kind.context})"), F.lit(BONUS)).otherwise(F.lit(0.0)))
-        spans = F.transform(valid, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (s["start"] + F.length(s["m"])).cast("int").alias("stop"), score(s).alias("score"))).cast(_SPAN)
-        return spans if kind.base else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+        # Behind it: the beginnings of as many pieces, less the rest of a span whose head alone was matched.
+        behind = lambda s: F.substr(F.array_join(F.transform(F.slice(f["p"], s["i"] + 2, F.lit(few + 1)), lambda p: p["lead"]), ""), (F.length(s["m"]) - F.lit(2) if kind.ahead else F.lit(0)) + 1, F.lit(CONTEXT))
+        around = lambda s: F.lower(F.concat(near(s["i"]), F.lit("\n"), behind(s)))
+        told = F.transform(valid, lambda s, i: F.struct(
+            s["m"].alias("m"), s["start"].alias("start"), F.when(around(s).rlike(rf"(?<![a-z])(?:{kind.context})"), i + 1).otherwise(0).alias("word"),
+            F.when((i > 0) & (s["start"] - F.get(valid, i - 1)["start"] - F.length(F.get(valid, i - 1)["m"]) < CONTEXT), 0).otherwise(i + 1).alias("first"),
+        ))
+        return _let(told, scored)
+
+    def scored(told: Column) -> Column:
+        # A span has its list's word: the last one met so far isn't before the list's first span.
+        last = lambda name: _until(F.transform(told, lambda t: t[name]))
+
+        def spans(before: Column) -> Column:
+            listed = lambda t, i: F.greatest(F.get(before["word"], i), t["word"]) >= F.greatest(F.get(before["first"], i), t["first"])
+            score = lambda t, i: F.least(F.lit(1.0), F.lit(kind.score) + F.when(listed(t, i), F.lit(BONUS)).otherwise(F.lit(0.0)))
+            out = F.transform(told, lambda t, i: F.struct(t["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (t["start"] + F.length(t["m"])).cast("int").alias("stop"), score(t, i).alias("score"))).cast(_SPAN)
+            return out if kind.base else F.filter(out, lambda s: s["score"] >= THRESHOLD)
+
+        return _let(F.struct(last("word").alias("word"), last("first").alias("first")), spans)
 
     spans = _let(found, placed)
     if kind.ahead:
@@ -161,17 +192,29 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).select(id_col, spans_column(F.col("__text")).alias("spans"))
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with its spans, in order, replaced by ``[KIND]``; spans that overlap go together under the first one's name."""
+
+    def cut(f: Column) -> Column:
+        pieces, until = f["pieces"], f["until"]
+        of = lambda a, n: F.substr(F.array_join(F.slice(pieces, F.floor(a / PIECE).cast("int") + 1, F.floor((a + n) / PIECE).cast("int") - F.floor(a / PIECE).cast("int") + 1), ""), a % PIECE + 1, n)
+        heads = F.filter(F.zip_with(f["spans"], until, lambda s, u: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), u.alias("until"))), lambda h: h["start"] >= h["until"])
+        body = F.transform(heads, lambda h: F.concat(of(h["until"], h["start"] - h["until"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+        end = F.array_max(F.transform(f["spans"], lambda s: s["stop"]))
+        return F.concat(F.array_join(body, ""), of(end, f["length"] - end))
+
+    def prepared(f: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor(f["length"] / PIECE).cast("int")), lambda k: F.substr(f["text"], k * PIECE + 1, F.lit(PIECE)))
+        full = F.struct(f["spans"].alias("spans"), f["length"].alias("length"), pieces.alias("pieces"), _let(F.transform(f["spans"], lambda s: s["stop"]), _until).alias("until"))
+        return F.when(F.size(f["spans"]) > 0, _let(full, cut)).otherwise(f["text"])
+
+    return _let(F.struct(text.alias("text"), F.length(text).alias("length"), spans.alias("spans")), prepared)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row with its spans replaced by ``[KIND]``; of overlapping spans the first gives the name."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["pos"], s["stop"]).alias("pos"),
-        F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-    )
-    spans = spans_column(text)
-    cut = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
-    return docs.withColumn("__spans", spans).withColumn(text_col, F.when(F.size("__spans") > 0, cut).otherwise(F.col(text_col))).drop("__spans")
+    """Every row with its spans replaced by ``[KIND]``; a null text stays null."""
+    text = F.col(text_col)
+    return docs.withColumn(text_col, F.when(text.isNotNull(), redacted(text, spans_column(text))))
 
 
 def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -280,7 +280,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = written(shared_keys(sketches), "setjoin-shared")
     nodes = classes.join(shared.select("node").distinct(), "node", "left_semi")
     nodes = written(nodes.select("node", F.col("best.id").alias("class_id"), F.col("best.hash").alias("hash"), "n", "bits"), "setjoin-nodes")
-    sets = written(full_sets(nodes, docs, id_col, text_col, WORDS), "setjoin-sets")
+    sets = full_sets(nodes, docs, id_col, text_col, WORDS)
     grouping = Grouping(nodes, sets, lambda pairs: _hopeful(pairs, nodes), SIMILAR)
     # A share of the buckets joins most of what belongs together; the others then meet few components.
     few = F.pmod("key", F.lit(8)) == 0

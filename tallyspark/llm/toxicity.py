@@ -16,9 +16,9 @@ Scoring is a map over the rows: no shuffle; the model (about 1 MB, fixed size) g
 
 Defined results: null and empty texts have one window without words and the score of that; without
 toxic or without clean training rows every score is 0; repeated rows and ids are scored one by one;
-extra columns are ignored; an empty table gives no rows. Words are runs of letters, digits and ``'``;
-a run of over ``LONG`` characters becomes pieces of ``PIECE``, about as long as common words, that are
-words of their own and overlap by ``SHARED`` characters, so every n-gram of the run is in one of them.
+extra columns are ignored; an empty table gives no rows. Words are runs of letters, digits and ``'``,
+cut into pieces of at most ``PIECE`` characters, about as long as common words, that are words of their
+own and overlap by ``SHARED`` characters, so every n-gram of a run is in one of them.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import mix64, spans_of
+from tallyspark.llm.common import fresh, mix64, spans_of
 
 SAMPLE = 3000
 WINDOW, STRIDE = 64, 48
@@ -49,17 +49,13 @@ EPOCHS, BATCH, RATE = 8, 64, 0.01
 CHARS = 800_000
 #: Words whose features a worker remembers.
 WORDS = 200_000
-LONG, PIECE, SHARED = 60, 12, 8
+PIECE, SHARED = 12, 8
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _GRAMS = (3, 4, 5, 6)
 
 
 def words_of(text: str | None) -> list[str]:
-    words = _WORD.findall((text or "").lower())
-    if max(map(len, words), default=0) <= LONG:
-        return words
-    cut = lambda w: [w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - SHARED, PIECE - SHARED)]
-    return [piece for w in words for piece in cut(w)]
+    return [w[i : i + PIECE] for w in _WORD.findall((text or "").lower()) for i in range(0, max(1, len(w) - SHARED), PIECE - SHARED)]
 
 
 def _ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,15 +358,15 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
                 out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, pa.float64())], names=[*names, column])
                 yield out if below is None else out.filter(pa.array(values < below))
 
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    rows = docs.select(*names, F.col(text_col).alias(fresh(docs, "__text")))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{fields}, `{column}` double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     names = docs.columns
-    return score(docs, fit(docs, labels, id_col, text_col), text_col, column="__score", below=THRESHOLD).select(*names)
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, column=fresh(docs, "__score"), below=THRESHOLD).select(*names)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,3 +42,14 @@ def test_query_matches_brute_force(spark, tmp_path):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_turns(rows)).count() == 0
+
+
+def test_null_conversation_beside_others_in_one_partition(spark):
+    rows = [(5, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", "c"), (6, 0, "user", "d"), (6, 1, "user", "e")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {r.conv_id: r.n_turns for r in chat.read_back(chat.format_turns(docs)).collect()} == {None: 2, 5: 1, 6: 2}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -85,7 +85,7 @@ def test_long_runs_count_whole():
     for n in [1, 60, 61, 79, 80, 81, 100, 101, 1000]:
         run = "".join(rng.choice("abcdefghij") for _ in range(n))
         pieces = tox.words_of(f"x {run} y")[1:-1]
-        assert all(len(p) <= tox.PIECE for p in pieces) if n > tox.LONG else pieces == [run]
+        assert all(len(p) <= tox.PIECE for p in pieces) if n > tox.PIECE else pieces == [run]
         assert all(any(run[i : i + tox.SHARED] in p for p in pieces) for i in range(max(1, n - tox.SHARED + 1)))
     cut, whole = (set(tox._ngrams([w])[1]) for w in ("ab" * 30, "ab" * 30 + "cdefghi"))
     assert len(whole) > len(cut)
@@ -100,3 +100,18 @@ def test_toxic_part_beyond_character_60():
         for tail in ("", filler[:30]):
             clean, bad = model.scores([f"{around}{filler[:n]}{part}{tail} {around}" for part in ("", "zorkfacequibwadzorkfaceishquibwader")])
             assert clean < 0.01 and bad > clean + 0.05
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([(i, t, i, 0.5, "v", "w") for i, t, _ in rows], "doc_id long, text string, n_chars long, score double, __text string, __score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    out = tox.keep_clean(docs, labels)
+    assert out.columns == docs.columns and {(r.score, r["__text"], r["__score"]) for r in out.collect()} == {(0.5, "v", "w")}
+
+
+def test_one_rule_for_runs_of_all_lengths():
+    for n in (1, 8, 12, 13, 16, 17, 59, 60, 61, 62, 500):
+        run = "".join(chr(97 + k % 26) for k in range(n))
+        pieces = tox.words_of(run)
+        assert max(map(len, pieces)) <= tox.PIECE and pieces[0] + "".join(p[tox.SHARED :] for p in pieces[1:]) == run
