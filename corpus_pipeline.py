@@ -1,4 +1,14 @@
-"""The corpus pipeline: each stage applies one training-data operator to what the one before kept."""
+"""The corpus pipeline: each stage applies one training-data operator to what the one before kept.
+
+Each stage takes the columns of ``documents``, and others beside them, in any order, and all but the last
+hand them on as they are. Nulls, empty texts: a null text counts as empty (it stays null until it is
+packed), is no one's near copy, and of several null or empty texts one row stays; rows with a null id
+take part, are never a reason to drop another, and are told apart by their texts. Ties: of equal texts
+the largest id stays, of near copies the smallest. Repeated rows: of an id that stays under one text all
+rows stay (they are one document that is there several times). Very long texts are read whole. Empty
+tables: no stage has rows; without labels of both kinds nothing is toxic. Columns whose names clash with
+those that stages work with keep their values.
+"""
 
 from __future__ import annotations
 
