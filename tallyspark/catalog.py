@@ -352,8 +352,8 @@ def register_documents(spark, sf):
 @query("""SELECT s_suppkey, n_name, make_date(1970 + CAST(s_suppkey % 50 AS INTEGER), 1, 9) AS listed_on FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE 1970 + s_suppkey % 50 < 2000""")
 def listed_before(spark, sf):
     text = F.concat(F.lit("09 Jan "), (F.lit(1970) + F.col("s_suppkey") % 50).cast("string"))
-    rows = table(spark, sf, "supplier").withColumn("listed_on", names.listing_date(text)).where(F.col("listed_on") < F.make_date(F.lit(2000), F.lit(1), F.lit(1)))
-    return rows.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "listed_on")
+    rows = table(spark, sf, "supplier").withColumn("listed_on", names.listing_date(text))
+    return grid.listed_before(rows, 2000).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "listed_on")
 
 
 @query("""WITH k AS (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9\\s]', ' ', 'g')) AS key FROM customer), r AS (SELECT trim(regexp_replace(lower(replace(s_name, 'Supplier', 'Customer')), '[^a-z0-9\\s]', ' ', 'g')) AS key, s_suppkey FROM supplier)
@@ -496,7 +496,7 @@ def review_split(spark, sf):
 @query(f"""WITH {READINGS} SELECT id, company, value FROM readings WHERE field = 'O' AND contains(lower(company), 'c1') AND confidence >= 0.9 AND contains(lower(concat_ws(' ', company, field, currency)), 'idr') ORDER BY value DESC, id LIMIT 25""")
 def values_list(spark, sf):
     """A page of a filtered and sorted list: the limit is the feature."""
-    rows = readings(spark, sf).where((F.col("field") == "O") & grid.contains("company", "c1") & (F.coalesce("confidence", F.lit(0)) >= 0.9) & grid.search(["company", "field", "currency"], "idr"))
+    rows = grid.values_list(readings(spark, sf), "idr", "c1", least_confidence=0.9, columns=("company", "field", "currency"), field="O")
     return grid.page(rows, grid.sort_columns("value", {"value": "value"}, "id", descending=True), 1, 25).select("id", "company", "value")
 
 

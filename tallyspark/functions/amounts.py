@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.once import let
+
 #: Tokens that say "no value", currency prefixes, share words, confusable characters.
 NO_VALUE = ("n/a", "na", "nil", "-,-")
 CURRENCY_PREFIX = r"(?:Rp|IDR|USD|EUR|US\$|\$)"
@@ -37,6 +39,41 @@ def is_percentage(c: Column) -> Column:
     return F.coalesce(c.rlike(_PERCENT), F.lit(False))
 
 
+def parsed(raw: Column) -> Column:
+    """``struct(value decimal(38,6), is_error)`` of an amount's text; see ``parse_amounts``. Each step is worked out once."""
+
+    def read(r: Column) -> Column:
+        body = strip(F.regexp_replace(r, r"^[()]+|[()]+$", ""))
+        none = r.isNull() | (r == "") | r.rlike(_DASHES) | F.lower(r).isin(*NO_VALUE) | (r.rlike(r"\d") & body.rlike(r"^[^.,]*[.,]$"))
+        repaired = F.when(r.rlike(_SHAPED), F.translate(r, CONFUSABLE, REPAIRED)).otherwise(r)
+        return let(F.struct(none.alias("none"), F.regexp_replace(repaired, r"[\s\xa0\u202f]", "").alias("s")), unwrapped)
+
+    def unwrapped(t: Column) -> Column:
+        s = t["s"]
+        closed = s.startswith("(") & s.endswith(")")
+        open_only = s.startswith("(") & (F.length(F.regexp_replace(s, r"[^(]", "")) == 1)
+        inner = F.when(closed, F.regexp_replace(s, r"^\(|\)$", "")).when(open_only, F.regexp_replace(s, r"^\(", "")).otherwise(s)
+        return let(F.struct(t["none"].alias("none"), (closed | open_only).alias("paren"), inner.alias("s")), unsigned)
+
+    def unsigned(t: Column) -> Column:
+        number = F.regexp_replace(F.regexp_replace(F.regexp_replace(t["s"], "^[-–—]", ""), f"(?i)^{CURRENCY_PREFIX}", ""), "[.,;:]+$", "")
+        return let(F.struct(t["none"].alias("none"), (t["paren"] | t["s"].rlike("^[-–—]")).alias("negative"), number.alias("n")), valued)
+
+    def valued(t: Column) -> Column:
+        n = t["n"]
+        dot, comma = n.contains("."), n.contains(",")
+        plain = (
+            F.when(dot & comma, F.when(n.rlike(r"^[\d.]*,\d*$"), F.translate(F.translate(n, ".", ""), ",", ".")).when(n.rlike(r"^[\d,]*\.\d*$"), F.translate(n, ",", "")))
+            .when(comma, F.when(n.rlike(r"^\d{1,3}(?:,\d{3})+$"), F.translate(n, ",", "")).when(n.rlike(r"^\d+,\d+$"), F.translate(n, ",", ".")))
+            .when(dot, F.when(n.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.translate(n, ".", "")).when(n.rlike(r"^\d+\.\d+$"), n))
+            .when(n.rlike(r"^\d+$"), n)
+        )
+        amount = let(F.when(~t["none"], plain.try_cast(DECIMAL)), lambda a: F.when(t["negative"], -a).otherwise(a))
+        return let(amount, lambda a: F.struct(a.alias("value"), (~t["none"] & a.isNull()).alias("is_error")))
+
+    return let(strip(raw), read)
+
+
 def parse_amounts(df: DataFrame, raw: str, value: str = "value", error: str = "is_error") -> DataFrame:
     """Adds the exact amount (``decimal(38,6)``) and whether the text has digits that make no number.
 
@@ -44,30 +81,7 @@ def parse_amounts(df: DataFrame, raw: str, value: str = "value", error: str = "i
     separator. The later of ``.`` and ``,`` is the decimal sign; alone, a sign that groups thousands
     groups them. Parentheses, also an open one, and dashes negate.
     """
-    s = F.col("__s")
-    last_comma = F.col("__n").rlike(r"^[\d.]*,\d*$")
-    steps = df.withColumn("__r", strip(F.col(raw)))
-    body = strip(F.regexp_replace(strip(F.col("__r")), r"^[()]+|[()]+$", ""))
-    none = F.col("__r").isNull() | (F.col("__r") == "") | F.col("__r").rlike(_DASHES) | F.lower("__r").isin(*NO_VALUE) | (F.col("__r").rlike(r"\d") & body.rlike(r"^[^.,]*[.,]$"))
-    steps = steps.withColumn("__none", none)
-    repaired = F.when(F.col("__r").rlike(_SHAPED), F.translate("__r", CONFUSABLE, REPAIRED)).otherwise(F.col("__r"))
-    steps = steps.withColumn("__s", F.regexp_replace(repaired, r"[\s  ]", ""))
-    paren = s.startswith("(") & (s.endswith(")") | (F.length(F.regexp_replace(s, r"[^(]", "")) == 1))
-    steps = steps.withColumn("__paren", paren).withColumn("__s", F.when(paren & s.endswith(")"), F.regexp_replace(s, r"^\(|\)$", "")).when(paren, F.regexp_replace(s, r"^\(", "")).otherwise(s))
-    steps = steps.withColumn("__dash", s.rlike("^[-–—]")).withColumn("__s", F.regexp_replace(s, "^[-–—]", ""))
-    steps = steps.withColumn("__n", F.regexp_replace(F.regexp_replace(s, f"(?i)^{CURRENCY_PREFIX}", ""), "[.,;:]+$", ""))
-    n = F.col("__n")
-    dot, comma = n.contains("."), n.contains(",")
-    plain = (
-        F.when(dot & comma, F.when(last_comma, F.translate(F.translate(n, ".", ""), ",", ".")).when(n.rlike(r"^[\d,]*\.\d*$"), F.translate(n, ",", "")))
-        .when(comma, F.when(n.rlike(r"^\d{1,3}(?:,\d{3})+$"), F.translate(n, ",", "")).when(n.rlike(r"^\d+,\d+$"), F.translate(n, ",", ".")))
-        .when(dot, F.when(n.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.translate(n, ".", "")).when(n.rlike(r"^\d+\.\d+$"), n))
-        .when(n.rlike(r"^\d+$"), n)
-    )
-    amount = plain.try_cast(DECIMAL)
-    amount = F.when(F.col("__paren") | F.col("__dash"), -amount).otherwise(amount)
-    out = steps.withColumn(value, F.when(~F.col("__none"), amount)).withColumn(error, ~F.col("__none") & F.col(value).isNull())
-    return out.drop("__r", "__none", "__s", "__paren", "__dash", "__n")
+    return df.withColumn("__parsed", parsed(F.col(raw))).withColumns({value: F.col("__parsed.value"), error: F.col("__parsed.is_error")}).drop("__parsed")
 
 
 def parse_shares(df: DataFrame, raw: str, value: str = "shares") -> DataFrame:

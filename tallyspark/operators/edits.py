@@ -16,7 +16,7 @@ def admit(edits: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Edits whose text is a plain number of exact size (with ``new_value``), and the others."""
     parsed = parse_amounts(edits, raw, "new_value", "__bad")
     good = F.coalesce(F.col(raw).rlike(r"^-?[0-9][0-9,]*(\.[0-9]+)?$") & F.col("new_value").isNotNull() & (F.abs("new_value") <= LARGEST), F.lit(False))
-    return parsed.where(good).drop("__bad"), edits.join(parsed.where(good).select(*edits.columns), edits.columns, "left_anti") if edits.columns else edits
+    return parsed.where(good).drop("__bad"), parsed.where(~good).select(*edits.columns)
 
 
 def fold(log: DataFrame, keys: list[str], time: str, value: str, original: str, revert: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +60,13 @@ def pivot(winners: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    return rows.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
+    """One page of the rows in order; past the end, or of a size of 0, it is empty."""
+    return rows.orderBy(*order).offset(max(0, number - 1) * max(0, size)).limit(max(0, size))
 
 
 def pagination(rows: DataFrame, number: int, size: int) -> DataFrame:
     """One row: ``total, page, page_size, pages``."""
-    return rows.agg(F.count(F.lit(1)).alias("total")).select("total", F.lit(number).alias("page"), F.lit(size).alias("page_size"), F.ceil(F.col("total") / size).cast("long").alias("pages"))
+    return rows.agg(F.count(F.lit(1)).alias("total")).select("total", F.lit(number).alias("page"), F.lit(size).alias("page_size"), (F.ceil(F.col("total") / size) if size > 0 else F.lit(0)).cast("long").alias("pages"))
 
 
 def scope(rows: DataFrame, company: str | None = None, year: int | None = None) -> DataFrame:
@@ -127,6 +129,49 @@ def facets(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return grouped.select(which.alias("facet"), value.alias("value"), "n").where("value IS NOT NULL AND value <> ''")
 
 
+@dataclass(frozen=True)
+class Facet:
+    """``value`` counted beside every filter but ``own``; ``selected`` values stay at 0. ``empty``: what nulls are called, or None to leave them out."""
+
+    value: Column
+    own: str | None = None
+    selected: Sequence[str] = ()
+    empty: str | None = "none"
+
+
+def failed_bits(filters: dict[str, Column]) -> Column:
+    """One bit a filter, in order, set where it isn't true."""
+    total = F.lit(0).cast("long")
+    for i, condition in enumerate(filters.values()):
+        total = total + F.when(F.coalesce(condition, F.lit(False)), 0).otherwise(F.lit(1 << i))
+    return total
+
+
+def filtered(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
+    """The rows that all filters leave."""
+    return rows.where(failed_bits(filters) == 0)
+
+
+def facet_table(rows: DataFrame, filters: dict[str, Column], facets: dict[str, Facet]) -> DataFrame:
+    """``facet, value, n`` of all facets in one scan: a row counts in a facet if it fails no filter but the facet's own.
+
+    Each row carries the bits of the filters that it fails; it gives a row for each facet whose own bit
+    alone, or no bit, is set. Counts combine before their one shuffle.
+    """
+    bit = {name: 1 << i for i, name in enumerate(filters)}
+    cells = F.array(*[F.struct(F.lit(name).alias("facet"), F.nullif(F.coalesce(f.value.cast("string"), F.lit(f.empty)), F.lit("")).alias("value"), F.lit(bit.get(f.own, 0)).cast("long").alias("own")) for name, f in facets.items()])
+    counted = rows.select(failed_bits(filters).alias("failed"), cells.alias("cells")).select(F.inline(F.filter("cells", lambda c: c["value"].isNotNull() & (F.col("failed").bitwiseAND(F.bitwise_not(c["own"])) == 0))))
+    counts = counted.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    wanted = [(name, s.strip()) for name, f in facets.items() for s in dict.fromkeys(f.selected) if s.strip()]
+    if not wanted:
+        return counts
+    # A facet's values and the selected ones are few; one that is there in whatever case isn't added.
+    chosen = rows.sparkSession.createDataFrame(wanted, "facet string, value string")
+    have = counts.select("facet", F.lower("value").alias("__low"))
+    new = chosen.join(have, (chosen["facet"] == have["facet"]) & (F.lower(chosen["value"]) == have["__low"]), "left_anti")
+    return counts.unionByName(new.withColumn("n", F.lit(0).cast("long")))
+
+
 def facet_with_selected(counts: DataFrame, selected: Sequence[str]) -> DataFrame:
     """Selected values stay in a facet with a count of 0."""
     spark = counts.sparkSession
@@ -156,6 +201,11 @@ def subsector_facet(rows: DataFrame, selected: Sequence[str] = ()) -> DataFrame:
     return _seeded(facet(rows, "subsector"), selected, lambda s: "none" if s.lower() == "none" else s)
 
 
+def listed_before(rows: DataFrame, year: int, listed_on: str = "listed_on") -> DataFrame:
+    """Rows of companies listed before the year; those without a date leave."""
+    return rows.where(F.col(listed_on) < F.make_date(F.lit(year), F.lit(1), F.lit(1)))
+
+
 def with_subsector(rows: DataFrame, values: DataFrame) -> DataFrame:
     """Rows with their company's subsector, of all years, whatever years the rows are of."""
     return rows.join(subsector_winner(values), "company", "left")
@@ -243,11 +293,12 @@ def value_at(values: DataFrame, field: str, year: int | None) -> DataFrame:
 def listing_dates(companies: DataFrame, register: DataFrame, company: str = "company") -> DataFrame:
     """Companies with ``listed_on`` from a register ``code, name, listed_on``: by code and name, by name, by name without a leading ticker.
 
-    Of register rows with one full key the last listing by date, then name, stands; of one name the first.
+    Of register rows with one full key the last in the file (``row_no``; without it by date) stands, of one name the first.
     """
-    named = register.select(company_key(F.col("name")).alias("__name"), company_key(F.concat_ws(" ", "code", "name")).alias("__full"), "listed_on").where("__name <> ''")
-    full = named.groupBy("__full").agg(F.max("listed_on").alias("__by_full"))
-    by_name = named.groupBy("__name").agg(F.min("listed_on").alias("__by_name"))
+    row = F.col("row_no" if "row_no" in register.columns else "listed_on")
+    named = register.select(company_key(F.col("name")).alias("__name"), company_key(F.concat_ws(" ", "code", "name")).alias("__full"), "listed_on", row.alias("__row")).where("__name <> ''")
+    full = named.groupBy("__full").agg(F.max_by("listed_on", "__row").alias("__by_full"))
+    by_name = named.groupBy("__name").agg(F.min_by("listed_on", "__row").alias("__by_name"))
     ticker = F.trim(company).rlike("^[^ a-z]*[A-Z][^ a-z]* ") & (F.length(F.substring_index(F.trim(company), " ", 1)).between(2, 6))
     rest = F.when(ticker, company_key(F.regexp_replace(F.trim(company), "^[^ ]+ ", "")))
     rows = companies.withColumns({"__k": company_key(F.col(company)), "__r": rest})

@@ -75,12 +75,15 @@ def errors_sheet(documents: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def rounded_metrics(documents: DataFrame, column: str = "metrics") -> DataFrame:
-    """The JSON metrics with fractions rounded to three places; texts, whole numbers and nested values stay as they are."""
-    one = r'"((?:[^"\\]|\\.)*+)"\s*:\s*("(?:[^"\\]|\\.)*+"|[^,{}\[\]"]+|\{[^{}]*\}|\[[^\[\]]*\])'
-    part = lambda k: F.regexp_extract_all(column, F.lit(one), F.lit(k))
-    rounded = lambda v: F.when(v.rlike(r"^-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?$") & v.rlike("[.eE]"), F.round(v.try_cast("double"), 3).cast("string")).otherwise(v)
-    pairs = F.zip_with(part(1), part(2), lambda k, v: F.concat(F.lit('"'), k, F.lit('":'), rounded(F.trim(v))))
-    return documents.withColumn(column, F.when(F.col(column).isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))))
+    """The JSON metrics with every fraction, however deep, rounded to three places; all else stays as it is written, also what is no JSON.
+
+    The text is cut once into strings, numbers and what lies between; only numbers with a fraction change.
+    """
+    token = r'"(?:[^"\\]|\\.)*+"|-?[0-9]++(?:[.][0-9]++)?+(?:[eE][-+]?[0-9]++)?+|[^"0-9-]++|-'
+    rounded = lambda t: F.when(t.rlike("^-?[0-9].*[.eE]"), F.round(t.try_cast("double"), 3).cast("string")).otherwise(t)
+    text = F.col(column)
+    sound = F.expr(f"try_parse_json(`{column}`)").isNotNull()
+    return documents.withColumn(column, F.when(sound, F.array_join(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), rounded), "")).otherwise(text))
 
 
 def document_json(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

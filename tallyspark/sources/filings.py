@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import strip
-from tallyspark.functions.names import listing_date
+from tallyspark.functions.names import company_key, listing_date
+from tallyspark.functions.once import let
 
 COVER = "1000000.html"
 #: Cover labels, rounding scales and currency words of the declared attributes.
@@ -58,22 +59,45 @@ def number_pages(pages: DataFrame, filing: list[str], max_pages: int = 1000) ->
     return pages.withColumn("page_number", F.row_number().over(order)).where(F.col("page_number") <= max_pages).where(strip(F.col("text")) != "")
 
 
-def common_entities(text: Column) -> Column:
-    """Named (those of HTML 4) and numeric entities by column expressions, each once; unknown ones stay as they are."""
-    entity = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-    named = F.create_map(*[F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))])
-    code = lambda e: F.when(e.rlike("^#[xX]"), F.conv(F.substr(e, F.lit(3)), 16, 10)).when(e.startswith("#"), F.substr(e, F.lit(2))).cast("long")
-    sound = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-    plain = lambda e: F.coalesce(F.try_element_at(named, e), sound(code(e)), F.concat(F.lit("&"), e, F.lit(";")))
-    pieces = F.zip_with(F.split(text, entity, -1), F.transform(F.regexp_extract_all(text, F.lit(entity), F.lit(1)), plain), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+#: What stands where a number names no character of its own: Windows' letters from 128 to 159.
+_WINDOWS = {0x80 + i: chr(0x80 + i) if c == "\ufffd" else c for i, c in enumerate(bytes(range(0x80, 0xA0)).decode("cp1252", "replace"))} | {0: "\ufffd", 0x0D: "\r"}
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric entities of HTML 5, with and without a semicolon, each once; what names nothing stays as it is.
+
+    A name without a semicolon is the longest known one that the letters begin with, and what follows it
+    stays. Numbers as browsers read them: surrogates, 0 and those beyond all characters are the
+    replacement character, those of control characters without a use are dropped.
+    """
+    entity = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    names = F.str_to_map(F.lit("\x02".join(f"{name}\x01{letters}" for name, letters in html5.items())), F.lit("\x02"), F.lit("\x01"))  # a constant
+    windows = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
+    longest = max(len(n) for n in html5 if not n.endswith(";"))
+
+    def prefix(e: Column) -> Column:
+        found = F.filter(F.transform(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda k: F.when(k <= F.length(e), F.left(e, k))), lambda p: F.try_element_at(names, p).isNotNull())
+        return let(F.get(found, 0), lambda p: F.concat(F.try_element_at(names, p), F.substr(e, F.length(p) + 1)))
+
+    def number(e: Column) -> Column:
+        digits = F.rtrim(e, F.lit(";"))
+        hexadecimal = F.lower(F.substr(digits, F.lit(2), F.lit(1))) == "x"
+        plain = F.ltrim(F.when(hexadecimal, F.substr(digits, F.lit(3))).otherwise(F.substr(digits, F.lit(2))), F.lit("0"))
+        code = F.when(F.length(plain) > 8, F.lit(0x110000)).when(plain == "", 0).when(hexadecimal, F.conv(plain, 16, 10).cast("long")).otherwise(plain.try_cast("long"))
+        letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        unused = lambda n: n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        return let(code.cast("long"), lambda n: F.coalesce(F.try_element_at(windows, n.cast("int")), F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(unused(n), "").otherwise(letter(n))))
+
+    plain = lambda e: F.when(e.startswith("#"), number(e)).otherwise(F.coalesce(F.try_element_at(names, e), prefix(e), F.concat(F.lit("&"), e)))
+    pieces = lambda t: F.zip_with(F.split(t, entity, -1), F.transform(F.regexp_extract_all(t, F.lit(entity), F.lit(1)), plain), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces(text), "")).otherwise(text)
 
 
 def visible_lines(page: Column, line_end: str = "t[dh]") -> Column:
     """A page's lines: scripts, styles and head dropped, cell ends and breaks are line ends, other tags spaces, blanks gone."""
     bare = F.regexp_replace(page, r"(?is)<(script|style|head)\b.*?</\1>", "")
     cut = F.regexp_replace(bare, rf"(?i)</(?:{line_end})>|<br\s*/?>|</p>|</div>|</tr>", "\n")
-    lines = F.split(common_entities(F.regexp_replace(cut, "(?s)<[^>]+>", " ")), "\n")
+    lines = F.split(unescape(F.regexp_replace(cut, "(?s)<[^>]+>", " ")), "\n")
     return F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
 
@@ -82,7 +106,7 @@ def cell_grid(pages: DataFrame, page_col: str, keys: list[str], table: str = "ta
     block = lambda tag: f"(?is)<{tag}\\b[^>]*>.*?</{tag}>"
     tables = pages.select(*keys, F.posexplode(F.regexp_extract_all(page_col, F.lit(block(table)), F.lit(0))).alias("table_idx", "__t"))
     rows = tables.select(*keys, "table_idx", F.posexplode(F.regexp_extract_all("__t", F.lit(block(row)), F.lit(0))).alias("row_idx", "__r"))
-    texts = F.transform(F.regexp_extract_all("__r", F.lit(f"(?is)<(?:{cell})\\b[^>]*>(.*?)</(?:{cell})>"), F.lit(1)), lambda c: strip(F.regexp_replace(common_entities(F.regexp_replace(c, "(?s)<[^>]+>", " ")), r"(?U)\s+", " ")))
+    texts = F.transform(F.regexp_extract_all("__r", F.lit(f"(?is)<(?:{cell})\\b[^>]*>(.*?)</(?:{cell})>"), F.lit(1)), lambda c: strip(F.regexp_replace(unescape(F.regexp_replace(c, "(?s)<[^>]+>", " ")), r"(?U)\s+", " ")))
     rows = rows.withColumn("__c", texts).where(F.exists("__c", lambda c: c != ""))
     return rows.select(*keys, "table_idx", "row_idx", F.posexplode("__c").alias("cell_idx", "raw"))
 
@@ -140,16 +164,23 @@ def free_text_rows(pages: DataFrame, text_col: str, keys: list[str], preferred_y
     return lines.select(*keys, "line_no", "label", F.posexplode(pairs).alias("value_idx", "__p")).select(*keys, "line_no", "label", "value_idx", "__p.year", "__p.raw")
 
 
-def listing_register(table: DataFrame) -> DataFrame:
-    """``code, name, listed_on`` of every row whose fourth or a later column is a date: the two cells left of it; an error if none is."""
-    cells = F.array(*[F.col(c).cast("string") for c in table.columns])
-    dated = table.select(cells.alias("c")).withColumn("d", F.transform("c", listing_date))
-    places = F.sequence(F.lit(4), F.lit(max(4, len(table.columns))))
-    found = F.filter(places, lambda i: F.try_element_at("d", i).isNotNull())
-    rows = dated.withColumn("i", F.try_element_at(found, F.lit(1))).where("i IS NOT NULL")
+def listing_register(table: DataFrame, row_no: Column | None = None) -> DataFrame:
+    """``code, name, listed_on`` of every row whose third or a later column is a date: the two cells left of the first one.
+
+    Rows without a code or a name are left out; an error if no row is left. Where ``row_no`` is given, it is
+    a further column: the row's place in the file (``F.monotonically_increasing_id()`` right behind the
+    reader of one file), by which ``grid.listing_dates`` tells rows of equal keys.
+    """
+    place = F.lit(None) if row_no is None else row_no
+    columns = [F.col(c).cast("string") for c in table.columns]
+    dated = table.select(F.array(*columns).alias("c"), F.array(*[listing_date(c) for c in columns]).alias("d"), place.alias("row_no"))
+    found = F.filter(F.sequence(F.lit(2), F.lit(max(2, len(columns) - 1))), lambda i: F.get("d", i).isNotNull())
+    rows = dated.withColumn("i", F.get(found, 0)).where("i IS NOT NULL")
+    rows = rows.select(F.get("c", F.col("i") - 2).alias("code"), F.get("c", F.col("i") - 1).alias("name"), F.get("d", F.col("i")).alias("listed_on"), "row_no")
+    rows = rows.where(F.col("code").isNotNull() & F.col("name").isNotNull() & (company_key(F.col("name")) != ""))
     if rows.isEmpty():
         raise ValueError("the register has no row with a listing date")
-    return rows.select(F.expr("c[i - 3]").alias("code"), F.expr("c[i - 2]").alias("name"), F.expr("d[i - 1]").alias("listed_on"))
+    return rows.drop("row_no") if row_no is None else rows
 
 
 def company_list(spark: SparkSession, path: str) -> DataFrame:

@@ -196,3 +196,29 @@ def test_plans_of_checks_stay_small_and_leave_out_what_nobody_reads(spark):
     counted = plan(checks.groupBy("status").count())
     assert len(counted) < 20_000 and "format_string" not in counted and "missing" not in counted
     assert len(plan(checks)) < 40_000
+
+
+def test_admitted_and_rejected_edits_are_apart(spark):
+    df = spark.createDataFrame([(1, None, "12"), (2, 2020, "1,234.5"), (3, None, "x"), (4, 2020, None), (5, None, "9007199254740992"), (6, 2020, "(5)")], "id long, year int, raw string")
+    good, bad = edits.admit(df)
+    assert sorted((r.id, float(r.new_value)) for r in good.collect()) == [(1, 12.0), (2, 1234.5)] and sorted(r.id for r in bad.collect()) == [3, 4, 5, 6]
+    assert bad.columns == df.columns
+
+
+def test_metrics_keep_what_is_nested(spark):
+    texts = ['{"a":{"b":{"c":1.23456}}}', '{"a":[[1.5,2.25],[3]],"x":1.23456}', '{"t":"1.23456 \\" 2.34567","e":-1.5e-3}', "{}", "no 1.23456", None, "[1.00049, null]"]
+    rows = exports.rounded_metrics(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, metrics string")).orderBy("id").collect()
+    assert [r.metrics for r in rows] == ['{"a":{"b":{"c":1.235}}}', '{"a":[[1.5,2.25],[3]],"x":1.235}', '{"t":"1.23456 \\" 2.34567","e":-0.002}', "{}", "no 1.23456", None, "[1.0, null]"]
+
+
+def test_facets_beside_filters_in_one_scan(spark):
+    rows = [("a", 1, "x"), ("a", 2, None), ("b", 1, "x"), ("b", 1, ""), ("c", None, "y")]
+    df = spark.createDataFrame(rows, "k string, n int, s string")
+    filters = {"k": F.col("k").isin("a", "b"), "n": F.col("n") == 1}
+    facets = {"k": grid.Facet(F.col("k"), "k", ("A", "q")), "n": grid.Facet(F.col("n"), "n"), "s": grid.Facet(F.col("s"), None), "t": grid.Facet(F.col("s"), "n", empty=None)}
+    out = grid.facet_table(df, filters, facets)
+    assert sorted(tuple(r) for r in out.collect()) == [("k", "a", 1), ("k", "b", 2), ("k", "q", 0), ("n", "1", 3), ("n", "2", 1), ("s", "x", 2), ("t", "x", 2)]
+    assert grid.filtered(df, filters).count() == 3
+    plan = grid.facet_table(df, filters, {"k": grid.Facet(F.col("k"), "k"), "n": grid.Facet(F.col("n"), "n")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    assert grid.pagination(df, 1, 0).first().pages == 0 and grid.page(df, [F.col("k")], 3, 0).count() == 0

@@ -1,3 +1,4 @@
+from tallyspark.operators import grid
 import datetime
 
 import pytest
@@ -83,3 +84,27 @@ def test_second_run_takes_nothing(spark, tmp_path):
     for _ in range(2):
         ingest_new(spark, str(tmp_path / "in"), "id long", str(tmp_path / "state"), lambda batch, n: seen.append(batch.count()))
     assert sum(seen) == 5
+
+
+def test_entities_are_those_of_the_standard_library(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    rng = random.Random(4)
+    names = sorted(html5)
+    made = ["&" + rng.choice(names)[: rng.randrange(1, 12)] + rng.choice(["", ";", "x", " ", "&", "1;"]) for _ in range(600)] + ["&" + n for n in names]
+    made += [f"&#{rng.choice(['', 'x', 'X'])}{rng.choice([0, 1, 7, 9, 10, 13, 65, 127, 128, 129, 141, 150, 159, 160, 8364, 55296, 57343, 64976, 65534, 131071, 1114111, 1114112, 99999999999])}{rng.choice(['', ';', 'g', ' 5'])}" for _ in range(300)]
+    made += ["&#x80;", "&#X1F600 x", "a & b", "&&amp;amp;", "&notit;", "&notin;", "&", "&;", "&#;", "&#x;", "no entity", "&NotEqualTilde;", "&ampersand", "&lt&gt"]
+    made += ["".join(rng.choice(made) for _ in range(5)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in made], "t string").select("t", filings.unescape(F.col("t")).alias("u")).collect()
+    assert [(r.t, r.u) for r in rows if r.u != html.unescape(r.t)] == []
+
+
+def test_register_of_three_columns(spark):
+    rows = [("Kode", "Nama", "Tanggal"), ("AALI", "Astra Agro Lestari Tbk.", "09 Des 1997"), ("BBBB", None, "1 Jan 2001"), (None, "No code", "1 Jan 2001"), ("CCCC", "Later Tbk", "belum tercatat"), ("DDDD", "PT Tbk.", "1 Jan 2001"), ("AALI", "Astra Agro Lestari", "1 Jan 1990"), ("ZZZZ", "Astra Agro Lestari", "1 Jan 2005")]
+    raw = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, a string, b string, c string").coalesce(1)
+    out = filings.listing_register(raw.select("a", "b", "c", "n"), F.col("n"))
+    assert [(r.code, str(r.listed_on), r.row_no) for r in out.orderBy("row_no").collect()] == [("AALI", "1997-12-09", 1), ("AALI", "1990-01-01", 6), ("ZZZZ", "2005-01-01", 7)]
+    companies = spark.createDataFrame([("AALI Astra Agro Lestari Tbk",), ("PT Astra Agro Lestari",)], "company string")
+    assert [str(r.listed_on) for r in grid.listing_dates(companies, out).orderBy("company").collect()] == ["1990-01-01", "1997-12-09"]  # of one full key the last row, of one name the first
