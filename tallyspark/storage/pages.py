@@ -24,7 +24,8 @@ def write(rows: DataFrame, order: Sequence[Column], path: str, ranges: int | Non
         name += "_"
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.spark_partition_id())
     dealt.write.partitionBy(name).parquet(f"{path}/rows")
-    held = rows.sparkSession.read.parquet(f"{path}/rows").groupBy(F.col(name).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    rows.limit(0).write.parquet(f"{path}/empty")
+    held = rows.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows").groupBy(F.col(name).alias("range")).agg(F.count(F.lit(1)).alias("n"))
     held.coalesce(1).write.parquet(f"{path}/directory")
 
 
@@ -49,8 +50,7 @@ def page(spark: SparkSession, path: str, order: Sequence[Column], number: int, s
             hit.append(place)
         before += n
     if not hit:
-        rows = spark.read.parquet(f"{path}/rows")
-        return rows.drop(rows.columns[-1]).limit(0)
+        return spark.read.parquet(f"{path}/empty")
     name = spark.read.parquet(f"{path}/rows").columns[-1]
     rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/{name}={place}" for place in hit])
     return rows.drop(name).orderBy(*order).offset(skip).limit(size)

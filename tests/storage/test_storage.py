@@ -21,7 +21,7 @@ def test_pages_equal_offsets_and_read_few_ranges(spark, tmp_path):
 def test_pages_of_an_empty_table(spark, tmp_path):
     rows, path = spark.range(0), str(tmp_path / "none")
     pages.write(rows, [F.col("id")], path)
-    assert pages.pagination(spark, path, 1, 10)["total"] == 0
+    assert pages.pagination(spark, path, 1, 10)["total"] == 0 and pages.page(spark, path, [F.col("id")], 1, 10).collect() == []
 
 
 @pytest.mark.parametrize("buckets", [4, 7])
