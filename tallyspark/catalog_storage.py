@@ -11,8 +11,10 @@ from tallyspark.operators import edits, grid
 from tallyspark.plans import exports
 from tallyspark.sources import filings
 from tallyspark.storage import ordered, pages
+from tallyspark.storage.editlog import EditLog
 from tallyspark.storage.versions import Versions
 from tallyspark.streaming.ingest import shared_dir
+from tallyspark.streaming.lifecycle import CHANGES, lifecycle
 
 _RAW = """CASE event_id % 6 WHEN 0 THEN event_id || '.25' WHEN 1 THEN '-' || format('{:,}', event_id * 1234) WHEN 2 THEN 'x' || event_id WHEN 3 THEN '(' || event_id || ')' WHEN 4 THEN '9007199254740993' ELSE CAST(event_id AS VARCHAR) END"""
 
@@ -110,3 +112,31 @@ def replaced_versions(spark, sf):
     store.replace({"values": some.withColumn("what", F.lit("new")), "checks": some.withColumn("what", F.lit("checked"))})
     part = lambda name: store.read(name).select(F.lit(name).alias("part"), F.col("document_id").alias("id"), "what")
     return part("values").unionByName(part("checks"))
+
+
+@query("""WITH s AS (SELECT user_id, min_by(value, struct_pack(ts := ts, event_id := event_id)) AS original_value, max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value, max_by(event_type, struct_pack(ts := ts, event_id := event_id)) AS k, count(*) AS edits FROM events GROUP BY 1)
+    SELECT user_id, original_value, value, edits FROM s WHERE k <> 'click'""")
+def edit_log(spark, sf):
+    """The events in three batches, two of them in the snapshot: what a fold of all of them gives."""
+    log = EditLog(spark, shared_dir(spark, "editlog"), ["user_id"], "ts", "value", "value", F.col("event_type") == "click")
+    events = table(spark, sf, "events").withColumn("id", F.col("event_id"))
+    for batch in range(3):
+        log.append(events.where(F.col("event_id") % 3 == batch))
+        if batch == 1:
+            log.compact()
+    return log.state().select("user_id", "original_value", "value", "edits")
+
+
+@query(None)
+def document_states(spark, sf):
+    """Every change of the users' documents by the events' stream: a custom state machine, held against a plain fold in the tests."""
+    folder = shared_dir(spark, "lifecycle")
+    steps = ("start", "extract", "validate", "finish", "doubt", "fail", "retry", "accept", "repeat")
+    event = F.element_at(F.array(*map(F.lit, steps)), (F.col("event_id") * 7 % len(steps) + 1).cast("int"))
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf)
+    moves = lifecycle(stream.select(F.col("user_id").alias("document_id"), "event_id", "ts", event.alias("event")), "1 hour", 6 * 3_600_000)
+    spark.createDataFrame([], CHANGES).write.parquet(f"{folder}/changes/batch=-1")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")
+    moves.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(CHANGES).parquet(f"{folder}/changes/*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,19 +26,44 @@ CURRENCY_WORDS = (
 EXTERNAL = "array<struct<field:string,label:string,value:string,year:int,currency:string,unit:string,page:int,confidence:double>>"
 
 
-def read_filing_tree(spark: SparkSession, root: str, glob: str = "*.htm*", limit: int | None = None) -> DataFrame:
-    """Pages of ``<company>/<year folder>/<name>``: company, year, filename, path, name, sha256, text; folders without a year are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    part = F.split("path", "/")
-    rows = files.select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("folder"), F.element_at(part, -3).alias("company"), F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("html"))
-    year = F.regexp_extract("folder", r"(20\d{2})", 1)
-    rows = rows.withColumn("year", F.when(year != "", year.cast("int"))).where("year IS NOT NULL").withColumn("filename", F.concat_ws(" ", "company", "year"))
+def _folders(root: str, companies: Sequence[str] | None, years: Sequence[int] | None) -> list[str]:
+    """Path patterns that list no other companies' folders and no other years'."""
+    plain = lambda name: re.sub(r"([\\{}\[\]*?^,])", r"\\\1", name)
+    return [f"{root.rstrip('/')}/{c}/{y}" for c in (map(plain, companies) if companies is not None else ["*"]) for y in ([f"*{y}*" for y in years] if years is not None else ["*"])]
+
+
+def read_filing_tree(spark: SparkSession, root: str, glob: str = "*.htm*", limit: int | None = None, companies: Sequence[str] | None = None, years: Sequence[int] | None = None) -> DataFrame:
+    """Pages of ``<company>/<year folder>/<name>``: company, year, filename, path, name, sha256, text; folders without a year are left out.
+
+    ``companies`` and ``years`` decide which folders are listed at all. A company's folder of that name must be there.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    if companies is None and years is None:
+        files = reader.option("recursiveFileLookup", True).load(root)
+    else:
+        files = reader.load(_folders(root, companies, years))
+    rows = _pages_of(files)
+    if years is not None:
+        rows = rows.where(F.col("year").isin(*years))
     if limit:
         keep = rows.select("company", "folder", "year").distinct().orderBy("company", "year", "folder").limit(limit)
         rows = rows.join(F.broadcast(keep.select("company", "folder")), ["company", "folder"], "left_semi")
     return rows
 
 
+def stream_filing_tree(spark: SparkSession, root: str, glob: str = "*.htm*", files_a_batch: int = 10_000) -> DataFrame:
+    """A stream of the pages that come into the tree: each file once, under the stream's checkpoint; columns as ``read_filing_tree``'s."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob)
+    return _pages_of(files.option("maxFilesPerTrigger", files_a_batch).load(f"{root.rstrip('/')}/*/*"))
+
+
+def _pages_of(files: DataFrame) -> DataFrame:
+    part = F.split("path", "/")
+    rows = files.select("path", F.element_at(part, -1).alias("name"), F.element_at(part, -2).alias("folder"), F.element_at(part, -3).alias("company"), F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("html"))
+    year = F.regexp_extract("folder", r"(20\d{2})", 1)
+    return rows.withColumn("year", F.when(year != "", year.cast("int"))).where("year IS NOT NULL").withColumn("filename", F.concat_ws(" ", "company", "year"))
+
+
 def filings_of(pages: DataFrame) -> DataFrame:
     """One row a folder; its anchor is the cover if there is one, else the first name."""
     first = F.min_by(F.struct("path", "file_hash"), F.struct((F.col("name") != COVER).alias("other"), F.col("name")))

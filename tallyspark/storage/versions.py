@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +50,10 @@ class Versions:
     def read(self, table: str, number: int | None = None) -> DataFrame:
         return self.spark.read.parquet(self.tables(number)[table])
 
-    def publish(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
-        """Writes ``tables``, keeps all others of version ``base`` (the last one), and publishes them as the next version."""
+    def publish(self, tables: dict[str, DataFrame], base: int | None = None, drop: Sequence[str] = ()) -> int:
+        """Writes ``tables``, keeps all others of version ``base`` (the last one) but those in ``drop``, and publishes them as the next version."""
         base = self.last() if base is None else base
-        paths, folder = self.tables(base), f"{self.root}/data/{uuid.uuid4().hex}"
+        paths, folder = {n: p for n, p in self.tables(base).items() if n not in drop}, f"{self.root}/data/{uuid.uuid4().hex}"
         for name, rows in tables.items():
             rows.write.parquet(f"{folder}/{name}")
             paths[name] = f"{folder}/{name}"

@@ -108,3 +108,29 @@ def test_register_of_three_columns(spark):
     assert [(r.code, str(r.listed_on), r.row_no) for r in out.orderBy("row_no").collect()] == [("AALI", "1997-12-09", 1), ("AALI", "1990-01-01", 6), ("ZZZZ", "2005-01-01", 7)]
     companies = spark.createDataFrame([("AALI Astra Agro Lestari Tbk",), ("PT Astra Agro Lestari",)], "company string")
     assert [str(r.listed_on) for r in grid.listing_dates(companies, out).orderBy("company").collect()] == ["1990-01-01", "1997-12-09"]  # of one full key the last row, of one name the first
+
+
+def test_a_companys_year_lists_one_folder(spark, tmp_path):
+    for company in ("PT AAA Tbk", "PT B{1} Tbk", "PT CCC Tbk"):
+        for year in ("2023", "FY 2024", "2019-2020", "none"):
+            (tmp_path / company / year).mkdir(parents=True)
+            for name in ("1000000.html", "1210000.html"):
+                (tmp_path / company / year / name).write_text(f"<p>{company} {year} {name}</p>")
+    whole = filings.read_filing_tree(spark, str(tmp_path))
+    assert whole.count() == 18
+    for companies, years, n in [(["PT AAA Tbk"], [2024], 2), (["PT B{1} Tbk"], None, 6), (None, [2023, 2024], 12), (["PT AAA Tbk"], [2020], 0), (["PT AAA Tbk", "PT CCC Tbk"], [2019], 4)]:
+        some = filings.read_filing_tree(spark, str(tmp_path), companies=companies, years=years)
+        want = whole.where((F.col("company").isin(*companies) if companies else F.lit(True)) & (F.col("year").isin(*years) if years else F.lit(True)))
+        assert sorted(r.path for r in some.collect()) == sorted(r.path for r in want.collect()) and some.count() == n
+    one = filings.read_filing_tree(spark, str(tmp_path), companies=["PT AAA Tbk"], years=[2024])
+    assert len(one.inputFiles()) == 2 and all("AAA" in f and "2024" in f for f in one.inputFiles())
+
+
+def test_pages_that_come_into_the_tree_by_a_stream(spark, tmp_path):
+    root, seen = tmp_path / "tree", []
+    for year in (2023, 2024):
+        (root / "PT AAA Tbk" / str(year)).mkdir(parents=True)
+        (root / "PT AAA Tbk" / str(year) / "1000000.html").write_text(f"<p>{year}</p>")
+        query = filings.stream_filing_tree(spark, str(root)).writeStream.foreachBatch(lambda b, _: seen.extend((r.company, r.year, r.html) for r in b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert seen == [("PT AAA Tbk", 2023, "<p>2023</p>"), ("PT AAA Tbk", 2024, "<p>2024</p>")]
