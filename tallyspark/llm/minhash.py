@@ -443,11 +443,11 @@ class Grouping:
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, hopeful: Callable[[DataFrame], DataFrame], similar: int = SIMILAR) -> None:
         self.nodes, self.sets, self.hopeful, self.similar = nodes, sets, hopeful, similar
-        self.labels = written(nodes.select("node", F.col("node").alias("comp")), "minhash-labels")
+        self.labels = small_or_shuffled(written(nodes.select("node", F.col("node").alias("comp")), "minhash-labels"))
         self.tried: DataFrame | None = None
 
     def _link(self, pairs: DataFrame) -> None:
-        self.labels = _joined(self.labels, confirmed(pairs, self.sets, self.similar))
+        self.labels = small_or_shuffled(_joined(self.labels, confirmed(pairs, self.sets, self.similar)))
 
     def star(self, rows: DataFrame) -> None:
         """One class of each component of a bucket with its leader; pairs that were tried aren't again."""
