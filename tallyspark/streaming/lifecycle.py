@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspark.operators.registry import IN_FLIGHT
@@ -65,5 +66,5 @@ def lifecycle(events: DataFrame, delay: str = "1 hour", limit_ms: int = 3_600_00
             state.setTimeoutTimestamp(max(now + 1, min(timers)))
         yield pd.DataFrame([(key[0], at, e, s) for at, e, s in changes], columns=["document_id", "at_ms", "event", "status"])
 
-    rows = events.select("document_id", "event_id", "ts", "event").withWatermark("ts", delay)
+    rows = events.select("document_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event").withWatermark("ts", delay)
     return rows.groupBy("document_id").applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
