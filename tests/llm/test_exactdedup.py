@@ -67,3 +67,20 @@ def test_deduplicate_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert exactdedup.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_later_call_opens_only_files_that_hold_hits(spark, tmp_path, monkeypatch):
+    folder, opened, plain = str(tmp_path / "state"), [], exactdedup._contents
+    schema = "doc_id long, text string"
+    for call in range(3):
+        exactdedup.classify(spark.createDataFrame([(call * 100 + i, f"text {call} {i}") for i in range(40)], schema).repartition(4), state_dir=folder).collect()
+
+    def counted(spark, folder, met):
+        out = plain(spark, folder, met)
+        opened.append(sorted(f.rpartition("/content/")[2] for f in out.inputFiles() if "/content/" in f))
+        return out
+
+    monkeypatch.setattr(exactdedup, "_contents", counted)
+    got = exactdedup.classify(spark.createDataFrame([(900, "text 1 7"), (901, "new"), (902, "text 1 7")], schema), state_dir=folder).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(900, 902, 3, False), (901, 901, 1, True), (902, 902, 3, True)}
+    assert len(opened) == 1 and len(opened[0]) == 1 and opened[0][0].startswith("call-1/part-")  # one of twelve files

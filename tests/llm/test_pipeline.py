@@ -45,3 +45,30 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     for p in packed:
         words[p.doc_id] = words.get(p.doc_id, 0) + p.n_words
     assert words == {i: len((r.text or "").split()) for i, r in bare.items()}
+
+
+def test_stages_take_odd_rows_and_columns(spark, tmp_path):
+    """Repeated and null ids, null and empty texts, columns that clash, and tables without rows."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text + " more", "b"), (None, "null id", None), (None, None, None), (4, "", "c"), (5, "mail a@b.cd", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id string, __text string, __spans string, score double, node string, key string, kept string"
+    full = lambda rows: spark.createDataFrame([(i, t, "en", s, 0, "x", "y", "z", 0.5, "n", "k", "q") for i, t, s in rows], schema)
+    for name, own in (("odd", rows), ("empty", [])):
+        sf = str(tmp_path / name)
+        full(own).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        frame = spark.read.parquet(f"{sf}/documents.parquet")
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, frame, sf)
+            if stage == "packing":
+                packed = out.collect()
+                break
+            assert out.columns == frame.columns, stage
+            out.write.parquet(f"{sf}/{k}")
+            frame = spark.read.parquet(f"{sf}/{k}")
+        left = sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+        if name == "empty":
+            assert left == [] and packed == []
+        else:
+            assert {(r["__id"], r["__text"], r["__spans"], r.score, r.node, r.key, r.kept) for r in frame.collect()} == {("x", "y", "z", 0.5, "n", "k", "q")}
+            assert left == sorted([(1, text), (1, text), (None, "null id"), (4, ""), (5, "mail [EMAIL]")], key=str)
