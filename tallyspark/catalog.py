@@ -431,9 +431,18 @@ def html_cells(spark, sf):
     return filings.cell_grid(table(spark, sf, "pages"), "html", ["page_id"], "ul", "li", "a")
 
 
-@query(None)
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x85]+|[\s\p{{Z}}\x85]+$', '', 'g')"
+_RUN = r"^(.*?)[\s.…]+((?:\s*[-–(]?\s*(?:Rp\s*)?[0-9.,]+\s*\)?)+)\s*$"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, regexp_extract_all(left(text, 800), '\b(20[0-9]{{2}})\b', 1) AS ys FROM documents),
+    l AS (SELECT doc_id, list_filter(ys, lambda x, i: list_position(ys, x) = i) AS ys, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS raw_line FROM d),
+    m AS (SELECT doc_id, line_no, ys, regexp_extract({_TRIM.format("raw_line")}, '{_RUN}', ['label', 'v']) AS m FROM l WHERE length({_TRIM.format("raw_line")}) >= 4),
+    r AS (SELECT doc_id, line_no, ys, regexp_replace(m.label, '^[ .:|-]+|[ .:|-]+$', '', 'g') AS label, list_transform(regexp_extract_all(m.v, '[-–(]?\s*(?:Rp\s*)?[0-9][0-9.,]*\)?'), lambda t: {_TRIM.format("t")}) AS ts FROM m WHERE m.v <> ''),
+    k AS (SELECT * FROM r WHERE label <> '' AND len(ts) > 0 AND NOT regexp_matches(regexp_split_to_array(label, '\s+')[-1], '[A-Za-z]{{3,}}'))
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, label, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS value_idx, CASE WHEN len(ys) > 0 AND len(ys) = len(ts) THEN CAST(unnest(CASE WHEN len(ys) = len(ts) THEN ys ELSE list_transform(ts, lambda t: NULL) END) AS INTEGER) END AS year, unnest(ts) AS raw FROM k""")
 def free_text_rows(spark, sf):
-    """Possessive expressions, which the oracle's dialect lacks; tests hold it against plain Python."""
+    """Lines that end in a run of numbers; the oracle has the expressions without their possessive marks."""
     return filings.free_text_rows(table(spark, sf, "documents"), "text", ["doc_id"])
 
 

@@ -211,12 +211,12 @@ def capped_pages(spark, sf):
 @query("""WITH y AS (SELECT doc_id, '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') AS a, '20' || lpad(CAST(doc_id % 11 AS VARCHAR), 2, '0') AS b FROM documents)
     SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(a AS INTEGER) WHEN 1 THEN CAST(a AS INTEGER) WHEN 2 THEN CASE WHEN CAST(b AS INTEGER) >= 2005 THEN CAST(b AS INTEGER) WHEN CAST(a AS INTEGER) >= 2005 THEN CAST(a AS INTEGER) END END AS year FROM y""")
 def year_in_text(spark, sf):
-    """Texts with a phrase, a date, only years (the second twice), or none, behind each document's letters."""
+    """Texts with a phrase, a date, only years (the second twice), or none, before each document's letters."""
     k = F.col("doc_id")
     two = lambda n: F.concat(F.lit("20"), F.lpad((k % n).cast("string"), 2, "0"))
-    letters = F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 300)
+    letters = F.regexp_replace("text", "[^a-z ]", "")
     said = F.when(k % 4 == 0, F.concat(F.lit(" tahun buku: "), two(30))).when(k % 4 == 1, F.concat(F.lit(" 31 Desember "), two(30))).when(k % 4 == 2, F.concat(two(11), F.lit(" "), two(30), F.lit(" "), two(11))).otherwise("none")
-    return table(spark, sf, "documents").select("doc_id", names.year_in_text(F.concat(letters, F.lit(" "), said)).alias("year"))
+    return table(spark, sf, "documents").select("doc_id", names.year_in_text(F.concat(said, F.lit(" "), letters)).alias("year"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey > 0 THEN '(' || format('{:,.2f}', o_orderkey / 4.0) || ')' ELSE format('{:,.2f}', o_orderkey / 4.0) END AS shown, CASE WHEN o_orderkey = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'paid' ELSE 'refund' END AS direction FROM orders""")
