@@ -39,14 +39,31 @@ def dictionary_keys(dictionary: DataFrame) -> DataFrame:
     return dictionary.select("statement", "stmt_ord", "field", "label_ord", F.inline(tiers)).where("key <> ''")
 
 
-def map_labels(rows: DataFrame, dictionary: DataFrame, key: str, label: str = "label", statement: str = "section") -> DataFrame:
-    """Adds ``field`` and ``tier`` (null where unmapped) to rows that ``key`` tells apart."""
-    keys = dictionary_keys(dictionary).withColumnRenamed("statement", "__statement")
-    tries = F.array(F.struct(F.lit(1).alias("tier"), phrase(F.col(label)).alias("key")), F.struct(F.lit(2).alias("tier"), cleaned(F.col(label)).alias("key")), F.struct(F.lit(3).alias("tier"), collapsed(F.col(label)).alias("key")))
-    wide = rows.select(key, F.col(statement).alias("__section"), F.inline(tries))
-    # The dictionary has a few hundred rows; a larger one isn't forced into a broadcast.
-    found = wide.join(keys, ["tier", "key"]).groupBy(key).agg(F.min_by(F.struct("field", "tier"), F.struct("tier", (~F.col("__statement").eqNullSafe(F.col("__section"))).alias("other"), "stmt_ord", "label_ord")).alias("__m"))
-    return rows.join(found, key, "left").withColumn("field", F.col("__m.field")).withColumn("tier", F.col("__m.tier")).drop("__m")
+def looked_up(dictionary: DataFrame) -> DataFrame:
+    """``tier, key, own, any``: of each key the field by statement, and the one of the first statement and label."""
+    keys = dictionary_keys(dictionary)
+    order = F.struct("stmt_ord", "label_ord")
+    per = keys.groupBy("tier", "key", "statement").agg(F.min_by("field", order).alias("field"), F.min(order).alias("order"))
+    own = F.map_from_entries(F.collect_list(F.when(F.col("statement").isNotNull(), F.struct("statement", "field"))))
+    return per.groupBy("tier", "key").agg(own.alias("own"), F.min_by("field", "order").alias("any"))
+
+
+def map_labels(rows: DataFrame, dictionary: DataFrame, key: str, label: str = "label", statement: str = "section", broadcast_rows: int = 100_000) -> DataFrame:
+    """Adds ``field`` and ``tier`` (null where unmapped) to rows that ``key`` tells apart.
+
+    Each tier is a lookup by its own key, so the rows stay where they are; a dictionary of more than
+    ``broadcast_rows`` keys, which is counted, is joined by shuffles instead.
+    """
+    known = looked_up(dictionary)
+    small = known.limit(broadcast_rows + 1).count() <= broadcast_rows
+    keys = {1: phrase(F.col(label)), 2: cleaned(F.col(label)), 3: collapsed(F.col(label))}
+    out = rows.withColumns({f"__k{t}": k for t, k in keys.items()})
+    for t in keys:
+        side = known.where(F.col("tier") == t).select(F.col("key").alias(f"__k{t}"), F.col("own").alias(f"__own{t}"), F.col("any").alias(f"__any{t}"))
+        out = out.join(F.broadcast(side) if small else side, f"__k{t}", "left")
+    found = {t: F.coalesce(F.try_element_at(f"__own{t}", F.col(statement)), F.col(f"__any{t}")) for t in keys}
+    tier = F.coalesce(*[F.when(f.isNotNull(), F.lit(t)) for t, f in found.items()])
+    return out.select(*[c for c in rows.columns if c not in ("field", "tier")], F.coalesce(*found.values()).alias("field"), tier.alias("tier"))
 
 
 def treasury_field(field: Column, first_value: Column) -> Column:

@@ -183,11 +183,14 @@ def free_text_rows(pages: DataFrame, text_col: str, keys: list[str], preferred_y
         years = F.when(F.array_contains(years, preferred_year), F.concat(F.array(F.lit(preferred_year)), F.array_remove(years, preferred_year))).otherwise(years)
     lines = pages.select(*keys, years.alias("__y"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "__l")).withColumn("__l", strip(F.col("__l"))).where("length(__l) >= 4")
     row = rf"^(.*?)[\s.…]+({run})\s*+$"
-    lines = lines.where(F.col("__l").rlike(row)).select(*keys, "line_no", "__y", F.regexp_replace(F.regexp_extract("__l", row, 1), r"^[ .:|-]+|[ .:|-]+$", "").alias("label"), F.regexp_extract("__l", row, 2).alias("__v"))
-    tokens = F.transform(F.regexp_extract_all("__v", F.lit(r"[-–(]?\s*(?:Rp\s*)?\d[\d.,]*\)?"), F.lit(0)), strip)
-    lines = lines.where((F.col("label") != "") & ~F.element_at(F.split("label", r"\s+"), -1).rlike("[A-Za-z]{3,}")).withColumn("__t", tokens).where("size(__t) > 0")
-    fits = (F.size("__y") > 0) & (F.size("__y") == F.size("__t"))
-    pairs = F.transform("__t", lambda t, i: F.struct(F.when(fits, F.try_element_at("__y", i + 1)).alias("year"), t.alias("raw")))
+    # A line is matched once: a mark that no line holds parts its label from its numbers.
+    parts = lambda line: F.split(F.regexp_replace(F.translate(line, "\x01", " "), row, "$1\x01$2"), "\x01")
+    tokens = lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"[-–(]?\s*(?:Rp\s*)?\d[\d.,]*\)?"), F.lit(0)), strip)
+    told = let(parts(F.col("__l")), lambda p: F.when(F.size(p) == 2, F.struct(F.regexp_replace(F.get(p, 0), r"^[ .:|-]+|[ .:|-]+$", "").alias("label"), tokens(F.get(p, 1)).alias("tokens"))))
+    kept = F.filter(F.array(told), lambda r: r.isNotNull() & (r["label"] != "") & ~F.element_at(F.split(r["label"], r"\s+"), -1).rlike("[A-Za-z]{3,}") & (F.size(r["tokens"]) > 0))
+    lines = lines.select(*keys, "line_no", "__y", F.inline(kept))
+    fits = (F.size("__y") > 0) & (F.size("__y") == F.size("tokens"))
+    pairs = F.transform("tokens", lambda t, i: F.struct(F.when(fits, F.try_element_at("__y", i + 1)).alias("year"), t.alias("raw")))
     return lines.select(*keys, "line_no", "label", F.posexplode(pairs).alias("value_idx", "__p")).select(*keys, "line_no", "label", "value_idx", "__p.year", "__p.raw")
 
 
