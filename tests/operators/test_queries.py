@@ -222,3 +222,11 @@ def test_facets_beside_filters_in_one_scan(spark):
     plan = grid.facet_table(df, filters, {"k": grid.Facet(F.col("k"), "k"), "n": grid.Facet(F.col("n"), "n")})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 1
     assert grid.pagination(df, 1, 0).first().pages == 0 and grid.page(df, [F.col("k")], 3, 0).count() == 0
+
+
+def test_checks_meet_their_documents_without_a_broadcast(spark):
+    from tallyspark import catalog_company
+
+    plan = catalog_company.named_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
