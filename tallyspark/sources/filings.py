@@ -90,14 +90,15 @@ def number_pages(pages: DataFrame, filing: list[str], max_pages: int = 1000) ->
 _WINDOWS = {0x80 + i: chr(0x80 + i) if c == "\ufffd" else c for i, c in enumerate(bytes(range(0x80, 0xA0)).decode("cp1252", "replace"))} | {0: "\ufffd", 0x0D: "\r"}
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, only: Sequence[str] | None = None) -> Column:
     """Named and numeric entities of HTML 5, with and without a semicolon, each once; what names nothing stays as it is.
 
     A name without a semicolon is the longest known one that the letters begin with, and what follows it
     stays. Numbers as browsers read them: surrogates, 0 and those beyond all characters are the
-    replacement character, those of control characters without a use are dropped.
+    replacement character, those of control characters without a use are dropped. ``only``: the entities
+    that count, as they are written behind the ``&``; all others stay.
     """
-    entity = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    entity = f"&({'|'.join(only)})" if only else r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
     names = F.str_to_map(F.lit("\x02".join(f"{name}\x01{letters}" for name, letters in html5.items())), F.lit("\x02"), F.lit("\x01"))  # a constant
     windows = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
     longest = max(len(n) for n in html5 if not n.endswith(";"))
@@ -120,11 +121,11 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(pieces(text), "")).otherwise(text)
 
 
-def visible_lines(page: Column, line_end: str = "t[dh]") -> Column:
-    """A page's lines: scripts, styles and head dropped, cell ends and breaks are line ends, other tags spaces, blanks gone."""
+def visible_lines(page: Column, line_end: str = "t[dh]", only: Sequence[str] | None = None) -> Column:
+    """A page's lines: scripts, styles and head dropped, cell ends and breaks are line ends, other tags spaces, blanks gone. ``only`` as in ``unescape``."""
     bare = F.regexp_replace(page, r"(?is)<(script|style|head)\b.*?</\1>", "")
     cut = F.regexp_replace(bare, rf"(?i)</(?:{line_end})>|<br\s*/?>|</p>|</div>|</tr>", "\n")
-    lines = F.split(unescape(F.regexp_replace(cut, "(?s)<[^>]+>", " ")), "\n")
+    lines = F.split(unescape(F.regexp_replace(cut, "(?s)<[^>]+>", " "), only), "\n")
     return F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
 

@@ -72,6 +72,19 @@ def test_entities(spark):
     assert page.select(filings.visible_lines(F.col("h"))).first()[0] == ["Café – x", "<b> 1"]
 
 
+def test_visible_lines_read_the_entities_of_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tallyspark import catalog
+
+    pages = ["<h1>cut&amp</h1><p>a&amp;amp &lt &lt;b&gt;&nbsp;&#39;&#39 &eacute;&copy &copy;&amp;lt;</p>", "<p>R&amp;D &AMP; &amp</p><br>&hellip;&mdash;&ndash;&middot;&reg;&quot;", "&amp", ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["html_visible_lines"](spark, str(tmp_path)).orderBy("page_id").collect()
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert [tuple(r) for r in got] == sorted(duckdb.sql(catalog.ORACLE["html_visible_lines"]).fetchall())
+    assert spark.createDataFrame([("cut&amp</b>",)], "h string").select(filings.visible_lines(F.col("h"))).first()[0] == ["cut&"]  # the operator's default
+
+
 def test_replies_that_do_not_parse_are_rejects(spark):
     rows = [(1, 'x {"equity": [{"field": "f", "label": "l", "value": "5", "year": 2020}], "cash_flow": []}'), (2, '{"equity": ['), (3, None), (4, "no braces"), (5, "{}")]
     good, bad = filings.external_observations(spark.createDataFrame(rows, "id int, reply string"), "reply", ["id"])
