@@ -13,6 +13,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def starts(text: Column, pattern: str) -> Column:
-    """All tokens of a pattern in one pass, also overlapping ones: what it matches from each place on, in order."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({pattern}))."), F.lit(1))
+def starts(text: Column, pattern: str, first: str = "") -> Column:
+    """All tokens of a pattern in one pass, also overlapping ones: what it matches from each place on, in order.
+
+    ``first``: a cheap pattern that holds wherever a token begins; the token's own is tried only there.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s){first and f'(?={first})'}(?=({pattern}))."), F.lit(1))

@@ -30,7 +30,7 @@ def resolve_units(pages: DataFrame, declared: DataFrame) -> DataFrame:
     heads = _best_tier(heads)
     certain = lambda u: F.when(u["said"]["unit"].isNotNull() | u["said"]["currency"].isNotNull(), u["said"]).when(u["plain"]["unit"].isNotNull() & (u["plain"]["confidence"] >= 0.85), u["plain"])
     heads = heads.withColumn("sure", let(units.stated_and_plain(F.col("head")), certain))
-    first_two = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("place") <= 2, F.struct("place", "head")))), 1, 2), lambda h: h["head"]), " ")
+    first_two = F.concat_ws(" ", *[F.max(F.when(F.col("place") == n, F.col("head"))) for n in (1, 2)])
     found = heads.groupBy("document_id").agg(F.min_by("sure", F.when(F.col("sure").isNotNull(), F.col("place"))).alias("sure"), first_two.alias("joined"))
     found = found.withColumn("u", F.coalesce("sure", units.detect_unit(F.substring("joined", 1, UNIT_CHARS))))
     told = declared.select("document_id", F.col("multiplier").alias("__declared"), F.col("currency").alias("__currency"), (F.col("unit") if "unit" in declared.columns else F.lit(None).cast("string")).alias("__unit"))
