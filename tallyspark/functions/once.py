@@ -13,9 +13,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def starts(text: Column, pattern: str, first: str = "") -> Column:
-    """All tokens of a pattern in one pass, also overlapping ones: what it matches from each place on, in order.
+def starts(pattern: str, letter: str = ".", first: str = "") -> str:
+    """The expression, for ``regexp_extract_all`` (group 1), of all tokens of a pattern in one pass, also overlapping ones: what it matches from each place on, in order.
 
-    ``first``: a cheap pattern that holds wherever a token begins; the token's own is tried only there.
+    ``letter``: what character a token begins with, tried by itself before anything else; ``first``: a cheap
+    pattern that holds wherever a token begins. The token's own is tried only where both hold.
     """
-    return F.regexp_extract_all(text, F.lit(f"(?s){first and f'(?={first})'}(?=({pattern}))."), F.lit(1))
+    return f"(?s){letter}(?<={first and f'(?={first})'}(?=({pattern})).)"

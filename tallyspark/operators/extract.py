@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import amounts, names, quality, units
-from tallyspark.functions.once import let
 from tallyspark.operators import labels, winners
 
 KEY = ["document_id", "statement", "field", "year"]
@@ -23,14 +22,11 @@ def resolve_units(pages: DataFrame, declared: DataFrame) -> DataFrame:
     any, relevant pages; without those, the first four) that states a unit in its head: by a phrase,
     or surely by its words. Else what the heads of the first two say.
     """
-    by_page = W.partitionBy("document_id").orderBy("page_number")
     relevant = F.coalesce(F.col("is_relevant"), F.lit(False)) if "is_relevant" in pages.columns else F.lit(False)
-    tier = F.when(quality.on_statement_page(F.col("section")), 0).when(relevant, 1).when(F.row_number().over(by_page) <= FIRST_PAGES, 2)
-    heads = pages.select("document_id", "page_number", F.substring(F.coalesce("text", F.lit("")), 1, UNIT_CHARS).alias("head"), tier.alias("tier")).where("tier IS NOT NULL")
-    heads = _best_tier(heads)
-    certain = lambda u: F.when(u["said"]["unit"].isNotNull() | u["said"]["currency"].isNotNull(), u["said"]).when(u["plain"]["unit"].isNotNull() & (u["plain"]["confidence"] >= 0.85), u["plain"])
-    heads = heads.withColumn("sure", let(units.stated_and_plain(F.col("head")), certain))
-    first_two = F.concat_ws(" ", *[F.max(F.when(F.col("place") == n, F.col("head"))) for n in (1, 2)])
+    tier = F.when(quality.on_statement_page(F.col("section")), 0).when(relevant, 1).otherwise(2)
+    heads = _best_tier(pages.select("document_id", "page_number", F.substring(F.coalesce("text", F.lit("")), 1, UNIT_CHARS).alias("head"), tier.alias("tier")))
+    heads = heads.withColumn("sure", units.stated_unit(F.col("head")))
+    first_two = F.concat_ws(" ", *[F.max(F.when((F.col("place") == n) & F.col("sure").isNull(), F.col("head"))) for n in (1, 2)])
     found = heads.groupBy("document_id").agg(F.min_by("sure", F.when(F.col("sure").isNotNull(), F.col("place"))).alias("sure"), first_two.alias("joined"))
     found = found.withColumn("u", F.coalesce("sure", units.detect_unit(F.substring("joined", 1, UNIT_CHARS))))
     told = declared.select("document_id", F.col("multiplier").alias("__declared"), F.col("currency").alias("__currency"), (F.col("unit") if "unit" in declared.columns else F.lit(None).cast("string")).alias("__unit"))
@@ -44,10 +40,10 @@ def resolve_units(pages: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def _best_tier(heads: DataFrame) -> DataFrame:
-    """A document's pages of its best tier, at most ``UNIT_PAGES``, with their place."""
-    w = W.partitionBy("document_id")
-    best = heads.withColumn("best", F.min("tier").over(w)).where("tier = best").drop("best")
-    return best.withColumn("place", F.row_number().over(w.orderBy("page_number"))).where(F.col("place") <= UNIT_PAGES)
+    """A document's pages of its best tier, at most ``UNIT_PAGES`` (of the last tier ``FIRST_PAGES``), with their place: one sort, and no more than these of a document before the shuffle."""
+    w = W.partitionBy("document_id").orderBy("tier", "page_number").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = heads.withColumns({"best": F.first("tier").over(w), "place": F.row_number().over(w)}).where(F.col("place") <= UNIT_PAGES)
+    return placed.where((F.col("tier") == F.col("best")) & ((F.col("tier") < 2) | (F.col("place") <= FIRST_PAGES))).drop("best")
 
 
 def page_units(pages: DataFrame, unit: DataFrame) -> DataFrame:

@@ -50,3 +50,18 @@ def test_flags(spark):
     rows = [(5e8, "cash", "juta", "IDR", "IMPLAUSIBLE_SCALE"), (5e8, "cash", None, "IDR", ""), (2e16, "cash", None, None, "IMPLAUSIBLE_MAGNITUDE"), (0.0, "cash", "juta", None, ""), (None, "cash", None, None, ""), (37.0, "cash", None, "USD", "IMPLAUSIBLE_SCALE"), (5.0, NOT := "treasury_shares_quantity", None, None, ""), (2e5, "cash", "juta", "USD", "")]
     df = spark.createDataFrame(rows, "v double, f string, u string, c string, want string")
     assert df.where(quality.export_flag(*map(F.col, "vfuc")) != F.col("want")).count() == 0
+
+
+def test_unit_words_are_found_whatever_their_case_and_letters(spark):
+    """The fast search is for texts without letters that another case turns into i or s; both find the same words, and a text without any says nothing."""
+    for said in ("dalam jutaan Rupiah", "expressed in thousands of US$", "disajikan dalam miliar", "US 5 in billions"):
+        rows = spark.createDataFrame([(said,), (f"{said} ıİſ",), (f"x\u0001y {said}" if not said.startswith("US") else said,), (f"{said} " + "x" * 5000,)], "t string")
+        got = [r.u for r in rows.select(units.stated_unit(F.col("t")).alias("u")).collect()]
+        assert got[0] is not None and got == got[:1] * 4
+    said = spark.createDataFrame([("dı İn juta",), ("x" * 5000,), (None,)], "t string").select(units.stated_unit(F.col("t")).alias("s"), units.detect_unit(F.col("t")).alias("u")).collect()
+    assert [r.s for r in said] == [None] * 3 and [tuple(r.u) for r in said] == [(None, None, 1, 0.0)] * 3
+
+
+def test_unit_search_tries_one_character_first():
+    """What is tried at every place of a text is one class of ASCII letters, nothing behind a lookahead."""
+    assert units._begun("q", {}).startswith("(?s)[") and units._begun("q", {}).isascii()

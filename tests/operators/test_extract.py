@@ -79,3 +79,13 @@ def test_window_key_cuts_bytes(spark):
     rows = spark.createDataFrame([("m", "f", 1, "x" + text)], "company string, filename string, n int, text string")
     got = pages.page_windows(rows, ["company", "filename"], "n", model="gpt").first().cache_key
     assert got == hashlib.sha256(b"gptmf" + ("x" + text).encode()[:100_000]).hexdigest()
+
+
+def test_units_take_one_sort_and_limit_pages_before_the_shuffle(spark):
+    rows = [("a", n, None, False, "in thousands" if n == 5 else "Rp") for n in range(1, 9)] + [("b", n, "equity" if n > 2 else None, n == 1, "in millions" if n in (1, 11) else "x") for n in range(1, 14)]
+    rows += [("c", n, None, n % 2 == 0, "in billions" if n in (1, 16) else "x") for n in range(1, 20)] + [("d", n, None, None, "in millions" if n == 4 else "x") for n in range(1, 6)]
+    pages_ = spark.createDataFrame(rows, "document_id string, page_number int, section string, is_relevant boolean, text string")
+    got = extract.resolve_units(pages_, spark.createDataFrame([], "document_id string, multiplier long, currency string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number(), 8, Partial") and plan.count("+- Window [") == 1
+    assert {r.document_id: (r.currency, r.multiplier) for r in got.collect()} == {"a": ("IDR", 1), "b": (None, 1), "c": (None, 1_000_000_000), "d": (None, 1_000_000)}
